@@ -90,13 +90,16 @@ def fit(docs: DataFrame, smoothing: float = 0.5) -> Profiles:
 
 
 def _em(lik, first, count, share, rounds):
-    """Shares after some rounds, and each document's log likelihood under them."""
-    for _ in range(rounds):
-        r = lik * np.repeat(share, count, 0)
-        r /= r.sum(1, keepdims=True)
-        share = np.add.reduceat(r, first, 0) / count[:, None]
-    s = np.log((lik * np.repeat(share, count, 0)).sum(1))
-    return share, np.add.reduceat(s, first)
+    """Shares after some rounds, and each document's log likelihood under them; all are (languages, ...), so that every step runs along contiguous words."""
+    n = count.astype(np.int64)
+    for _ in range(rounds + 1):
+        s = np.zeros(lik.shape[1], np.float32)
+        for x, y in zip(lik, share, strict=True):
+            s += x * np.repeat(y, n)
+        if _ < rounds:
+            np.divide(1, s, out=s)
+            share = np.stack([y * np.add.reduceat(x * s, first) / count if y.any() else y for x, y in zip(lik, share, strict=True)])
+    return share, np.add.reduceat(np.log(s), first)
 
 
 def infer(data: np.ndarray, offs: np.ndarray, p: Profiles, penalty: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,46 +113,47 @@ def infer(data: np.ndarray, offs: np.ndarray, p: Profiles, penalty: float, round
     if not len(start):
         return shares, n_words
     row = np.searchsorted(offs, start, "right") - 1
-    ll = p.logp[h]
-    ll[~ok] = 0
+    ok = ok.astype(np.float32)
     seen = np.add.reduceat(ok, start) > 0  # a number is no evidence
-    ll = np.add.reduceat(ll, start, 0)[seen]
+    ll = np.stack([np.add.reduceat(col[h] * ok, start)[seen] for col in p.logp.T.copy()])
     row = row[seen]
     if not len(row):
         return shares, n_words
     n_words = np.bincount(row, minlength=n)
-    lik = np.exp(np.maximum(ll - ll.max(1, keepdims=True), -60))
+    lik = np.exp(np.maximum(ll - ll.max(0), -60))
     docs = np.flatnonzero(n_words)
     count = n_words[docs]
     first = np.cumsum(count) - count
     pen = 0.5 * penalty * np.log(count + 1.0)
-    share, like = _em(lik, first, count, np.full((len(docs), k), 1 / k, np.float32), rounds)
-    score = like - pen * (share > 0).sum(1)
+    share, like = _em(lik, first, count.astype(np.float32), np.full((k, len(docs)), 1 / k, np.float32), rounds)
+    score = like - pen * (share > 0).sum(0)
     live = np.arange(len(docs))
     whole = True
     while len(live):
-        own = share[live]
+        own = share[:, live]
         if whole:
             trial = np.where(own >= 0.05, own, 0)  # all that is negligible leaves at once, if the likelihood allows
         else:
             trial = own.copy()
-            trial[np.arange(len(live)), np.where(own > 0, own, 2).argmin(1)] = 0
-        go = ((trial > 0) != (own > 0)).any(1) & (trial.sum(1) > 0)
-        if not whole:
-            live, trial = live[go], trial[go]
-            go = np.ones(len(live), bool)
-        at, trial = live[go], trial[go]
+            trial[np.where(own > 0, own, 2).argmin(0), np.arange(len(live))] = 0
+        go = ((trial > 0) != (own > 0)).any(0) & (trial.sum(0) > 0)
+        at, trial = live[go], trial[:, go]
         if len(at):
-            trial /= trial.sum(1, keepdims=True)
-            pick = np.repeat(first[at], count[at]) + np.arange(int(count[at].sum())) - np.repeat(np.cumsum(count[at]) - count[at], count[at])
-            trial, like = _em(lik[pick], np.cumsum(count[at]) - count[at], count[at], trial, max(2, rounds // 2))
-            new = like - pen[at] * (trial > 0).sum(1)
+            trial /= trial.sum(0)
+            n_at = count[at]
+            begin = np.cumsum(n_at) - n_at
+            pick = np.repeat(first[at] - begin, n_at) + np.arange(int(n_at.sum()))
+            trial, like = _em(lik[:, pick], begin, n_at.astype(np.float32), trial, max(2, rounds // 3) if (trial > 0).sum(0).max() > 1 else 0)
+            new = like - pen[at] * (trial > 0).sum(0)
             better = new >= score[at]
-            share[at[better]], score[at[better]] = trial[better], new[better]
+            share[:, at[better]], score[at[better]] = trial[:, better], new[better]
             if not whole:
                 live = at[better]
-        live = live[(share[live] > 0).sum(1) > 1]
+        elif not whole:
+            break
+        live = live[(share[:, live] > 0).sum(0) > 1]
         whole = False
+    share = share.T
     shares[docs] = share
     return shares, n_words
 
