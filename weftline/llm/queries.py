@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langmix
+from . import langmix, simhash
 from .session import table
 
 
@@ -15,8 +15,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmix.detect(docs, langmix.fit(docs))
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}

@@ -19,7 +19,7 @@ _WORD[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = 0x9E3779B97F4A7C15
-_POW = np.ones(64, np.uint64)
+_POW = np.ones(1, np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
