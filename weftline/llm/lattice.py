@@ -80,7 +80,7 @@ class Vocabulary:
             left = left[t[slot] != left]
 
     def _slot(self, h: np.ndarray, k: int) -> np.ndarray:
-        return (h * (_MULT + np.uint64(2 * 0x5851F42D4C957F2D * k & (1 << 64) - 1))) >> np.uint64(64 - _SLOTS)
+        return (h * np.uint64((int(_MULT) + 2 * 0x5851F42D4C957F2D * k) & (1 << 64) - 1)) >> np.uint64(64 - _SLOTS)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The piece with each hash, or -1. A piece is in a later table only if its slot is taken in every earlier one."""

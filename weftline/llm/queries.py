@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langmix, simhash
+from . import langmix, lattice, linedup, simhash
 from .session import table
 
 
@@ -15,12 +15,22 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmix.detect(docs, langmix.fit(docs))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.runs(table(spark, sf_dir, "documents"))
+
+
+def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.encode(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_sentencepiece_sampling": op6_sentencepiece_sampling,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
