@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langmix, lattice, linedup, simhash
+from . import langmix, lattice, linedup, simhash, warcseg
 from .session import table
 
 
@@ -27,11 +28,34 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warcseg.reassemble(warcseg.records(warcseg.archive(table(spark, sf_dir, "pages"))))
+    return found.select(
+        F.expr("try_cast(split(origin_id, ':')[2] as bigint)").alias("page_id"),
+        F.col("target_uri").alias("url"),
+        F.col("payload_bytes"),
+        F.col("segments").cast("long").alias("segments"),
+        F.length("body").cast("long").alias("body_bytes"),
+        F.md5("body").alias("body_md5"),
+        "status",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op5_line_dedup": op5_line_dedup,
     "op6_sentencepiece_sampling": op6_sentencepiece_sampling,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_warc_segments": op10_warc_segments,
 }
 
-ORACLES: dict[str, str] = {}
+_FRAMED = "72 + n + 7 * (n // 1000) + CASE WHEN n % 1000 = 0 THEN 5 WHEN n % 1000 < 16 THEN 10 WHEN n % 1000 < 256 THEN 11 ELSE 12 END"
+
+ORACLES: dict[str, str] = {
+    # 72 bytes of head, 7 of framing for each full chunk of 1000, 5 for the end and 5 to 7 for a shorter last chunk
+    "op10_warc_segments": f"""
+        SELECT page_id, url, payload_bytes, (payload_bytes + 2047) // 2048 AS segments, n AS body_bytes, body_md5, 'ok' AS status
+        FROM (SELECT page_id, url, n, body_md5, CAST({_FRAMED} AS BIGINT) AS payload_bytes
+              FROM (SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS n, md5(html) AS body_md5 FROM pages))
+    """,
+}
