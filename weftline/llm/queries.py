@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langmix, lattice, linedup, simhash, warcseg
+from . import langmix, lattice, licences, linedup, simhash, siteprior, warcseg
 from .session import table
 
 
@@ -16,6 +16,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmix.detect(docs, langmix.fit(docs))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return siteprior.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.runs(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.encode(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
@@ -43,8 +51,10 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_line_dedup": op5_line_dedup,
     "op6_sentencepiece_sampling": op6_sentencepiece_sampling,
+    "op7_license_scan": op7_license_scan,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_warc_segments": op10_warc_segments,
 }
