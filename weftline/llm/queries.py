@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langmix, lattice, licences, linedup, simhash, siteprior, warcseg
+from . import capfilter, langmix, lattice, licences, linedup, simhash, siteprior, toxicpu, warcseg
 from .session import table
 
 
@@ -20,6 +20,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return siteprior.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicpu.detect(docs, toxicpu.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.runs(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilter.groups(table(spark, sf_dir, "embeddings"))
+
+
 def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warcseg.reassemble(warcseg.records(warcseg.archive(table(spark, sf_dir, "pages"))))
     return found.select(
@@ -52,10 +61,12 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
     "op6_sentencepiece_sampling": op6_sentencepiece_sampling,
     "op7_license_scan": op7_license_scan,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_warc_segments": op10_warc_segments,
 }
 
