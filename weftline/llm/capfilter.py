@@ -1,11 +1,11 @@
 """Near duplicates of embeddings by spherical-cap filters.
 
 A filter is a cap around a random direction. Directions form a product code: the turned space is cut into up to BLOCKS
-blocks, each with a codebook of random unit vectors, and a direction is one codeword of every block. A vector belongs to
+blocks, each with a codebook of random unit vectors, and a direction is one codeword of every block; CODES such codes are independent. A vector belongs to
 each filter whose direction its inner product exceeds `bar`; list decoding finds all of them without visiting the rest:
 half sums that can't reach the bar with the best other half are dropped, and the rest is looked up in sorted
 order. The codebooks grow with the number of vectors so that filters outnumber them by `fill`, and the bar leaves each vector about
-`lists` filters, so chance meetings stay in proportion to the input. Vectors that share a filter are verified by their cosine; of a
+`lists` filters of each code, so chance meetings stay in proportion to the input. Vectors that share a filter are verified by their cosine; of a
 filter's close pairs only a spanning forest goes on, as a group is a connected component anyway.
 
 Equal vectors are folded first. Only vectors of equal length are compared.
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .components import components
 from .session import cut
 
-BLOCKS = 4
+BLOCKS = 2
+CODES = 3
 SEED = 31
 
 
@@ -59,8 +60,8 @@ def unit(vectors: DataFrame) -> DataFrame:
 class Code:
     """The product code for one dimension."""
 
-    def __init__(self, dim: int, size: int, lists: float):
-        rng = np.random.default_rng([SEED, dim])
+    def __init__(self, dim: int, which: int, size: int, lists: float):
+        rng = np.random.default_rng([SEED, dim, which])
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0].astype(np.float32)
         self.m = min(BLOCKS, dim)
         self.size = size
@@ -138,14 +139,15 @@ def links(prints: DataFrame, n: int, least: float, lists: float, fill: float) ->
         for b in batches:
             dims, raw = b.column("dim").to_numpy(), b.column("v").to_pylist()
             for dim in np.unique(dims):
-                code = codes.setdefault(int(dim), None) or Code(int(dim), size, lists)
-                codes[int(dim)] = code
+                if dim not in codes:
+                    codes[dim] = [Code(int(dim), c, size, lists) for c in range(CODES)]
                 own = np.flatnonzero(dims == dim)
                 for at in range(0, len(own), 256):
                     part = own[at : at + 256]
                     x = np.frombuffer(b"".join(raw[i] for i in part), np.float32).reshape(len(part), -1)
-                    row, key = code.decode(x)
-                    pick = pa.array(part[row])
+                    found = [code.decode(x) for code in codes[dim]]
+                    pick = pa.array(np.concatenate([part[row] for row, _ in found]))
+                    key = np.concatenate([key * CODES + c for c, (_, key) in enumerate(found)])
                     yield pa.RecordBatch.from_arrays([b.column("dim").take(pick), pa.array(key, pa.int64()), b.column("fid").take(pick), b.column("v").take(pick)], names=["dim", "key", "fid", "v"])
 
     def verify(batches):
@@ -165,7 +167,7 @@ def links(prints: DataFrame, n: int, least: float, lists: float, fill: float) ->
     return met.select("x").mapInArrow(verify, "a long, b long").distinct()
 
 
-def groups(vectors: DataFrame, least: float = 0.95, lists: float = 16, fill: float = 16) -> DataFrame:
+def groups(vectors: DataFrame, least: float = 0.95, lists: float = 12, fill: float = 4) -> DataFrame:
     """(vec_id, vh, group, kept) of the rows that have a near duplicate; group is the vec_id of the one kept."""
     rows = cut(unit(vectors))
     prints = rows.groupBy(F.col("vh").alias("fid")).agg(F.min("dim").alias("dim"), F.min("v").alias("v"))

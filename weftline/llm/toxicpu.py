@@ -2,12 +2,14 @@
 
 Confirmed toxic examples are the positives (at most `max_positive` of them, those with the smallest hash of doc_id);
 every document of the corpus is unlabelled text. Features say whether a document holds each of `width` words: of the
-words that `min_support` positives or more hold, those with the largest log-likelihood ratio of positives over the corpus. The loss is
+words that `min_support` positives or more hold (near copies among the positives share one vote), those with the largest log-likelihood ratio of positives over the corpus, if at
+least the share `least_rate` of the documents that hold the word would be toxic (prior times its rate in positives over its rate in the corpus). The loss is
 squared, so that the risk needs only means and second moments of the features: those of the unlabelled text are summed over all
 documents, as one small matrix a partition. Gradient steps follow the non-negative estimator: with class prior p,
     risk = p * E_pos[l(f)] + max(0, E_unl[l(-f)] - p * E_pos[l(-f)]),
 and where the bracket falls below zero a step goes against it instead of down the risk. The prior is the toxic rate of the labelled rows,
-unless it is given. The cut-off is where the corpus holds a share p above it, but never below `floor` of the positives' median score.
+unless it is given. The cut-off is where the corpus holds a share p above it, but never below the share `floor` of the way from a
+document without any of the words to the median positive that has some.
 
 Defined results. Null and empty texts score as a document without any of the words. Null labels and doc_ids are ignored; a doc_id with several labels is
 positive if any says so. Without positives nothing is toxic and the score is -1. Repeated rows get the same score. Extra columns are ignored.
@@ -75,6 +77,26 @@ def positives(docs: DataFrame, labels: DataFrame, max_positive: int) -> tuple[li
     return sorted(rows, key=lambda x: (len(x), x[:1].tolist())), float(rate)
 
 
+def votes(pos: list[np.ndarray], bands: int = 6, rows: int = 6) -> np.ndarray:
+    """One over the number of near copies of each positive, itself included; copies agree in a whole band of min-hashes."""
+    group = np.arange(len(pos))
+
+    def root(i):
+        while group[i] != i:
+            group[i] = i = group[group[i]]
+        return i
+
+    seen: dict[tuple, int] = {}
+    for i, x in enumerate(pos):
+        for b in range(bands):
+            key = (b, *(int(T.mix(x + np.uint64(b * rows + r + 1)).min()) if len(x) else 0 for r in range(rows)))
+            j = seen.setdefault(key, i)
+            if root(i) != root(j):
+                group[root(i)] = root(j)
+    group = np.array([root(i) for i in range(len(pos))], np.int64)
+    return 1 / np.bincount(group, minlength=len(pos))[group]
+
+
 def _summed(docs: DataFrame, shape: tuple[int, ...], part) -> np.ndarray:
     """The sum over all documents of part(row, h, rows) with the given shape; one array a partition, added up in two levels."""
 
@@ -124,14 +146,16 @@ def train(sp: np.ndarray, su: np.ndarray, prior: float, ridge: float = 1e-3, rou
     return best
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, width: int = 256, min_support: int = 8, prior: float | None = None, floor: float = 0.25) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, width: int = 256, min_support: int = 8, prior: float | None = None, least_rate: float = 0.5, floor: float = 0.2) -> Model:
     pos, rate = positives(docs, labels, max_positive)
     prior = rate if prior is None else prior
     none = Model(np.zeros(0, np.uint64), np.zeros(0), -1.0, 0.0)
     if not pos or not 0 < prior < 1:
         return none
-    words, support = np.unique(np.concatenate(pos), return_counts=True)
-    enough = support >= min(min_support, max(1, len(pos) // 10))
+    vote = votes(pos)
+    words, at = np.unique(np.concatenate(pos), return_inverse=True)
+    support = np.bincount(at, np.repeat(vote, [len(x) for x in pos]), len(words))
+    enough = support >= min(min_support, max(1, vote.sum() // 10))
     words, support = words[enough], support[enough]
     if not len(words):
         return none
@@ -145,25 +169,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, width: int
         return x
 
     counts = _summed(docs, (len(words) + 1,), df)
-    n_all, n_pos = counts[-1], len(pos)
+    n_all, n_pos = counts[-1], vote.sum()
     q, p = np.clip((counts[:-1] + 0.5) / (n_all + 1), 1e-9, 1 - 1e-9), np.clip(support / n_pos, 1e-9, 1 - 1e-9)
-    gain = np.where(p > q, support * np.log(p / q) + (n_pos - support) * np.log((1 - p) / (1 - q)), 0)
+    gain = np.where((p > q) & (prior * p / q >= least_rate), support * np.log(p / q) + (n_pos - support) * np.log((1 - p) / (1 - q)), 0)
     pick = np.lexsort((words, -gain))[:width]
     words = np.sort(words[pick[gain[pick] > 6]])
     if not len(words):
         return none
     d = len(words)
-    rows = np.repeat(np.arange(n_pos), [len(x) for x in pos])
-    xp = np.c_[presence(words, rows, np.concatenate(pos), n_pos), np.ones(n_pos)].astype(float)
+    rows = np.repeat(np.arange(len(pos)), [len(x) for x in pos])
+    xp = np.c_[presence(words, rows, np.concatenate(pos), len(pos)), np.ones(len(pos))].astype(float)
 
     def moments(row, h, n):
         x = np.c_[presence(words, row, h, n), np.ones(n, np.float32)]
         return x.T @ x
 
     su = _summed(docs, (d + 1, d + 1), moments)
-    w = train(xp.T @ xp / n_pos, su / max(su[-1, -1], 1), prior)
+    w = train((xp * vote[:, None]).T @ xp / n_pos, su / max(su[-1, -1], 1), prior)
     score = xp @ w
-    return Model(words, w[:-1], float(w[-1]), float(max(_cut(docs, words, w, prior), floor * np.median(score) + (1 - floor) * w[-1])))
+    some = score[xp[:, :-1].any(1)]
+    middle = np.median(some) if len(some) else w[-1]
+    return Model(words, w[:-1], float(w[-1]), float(max(_cut(docs, words, w, prior), floor * middle + (1 - floor) * w[-1])))
 
 
 def _cut(docs: DataFrame, words: np.ndarray, w: np.ndarray, prior: float, bins: int = 4096) -> float:
