@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capfilter, langmix, lattice, licences, linedup, simhash, siteprior, toxicpu, warcseg
+from . import capfilter, decontam, langmix, lattice, licences, linedup, simhash, siteprior, toxicpu, warcseg
 from .session import table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langmix.detect(docs, langmix.fit(docs))
@@ -59,6 +63,7 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_language_id": op2_language_id,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_toxicity": op4_toxicity,
