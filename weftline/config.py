@@ -1,0 +1,48 @@
+"""Settings, from a file of `section.key: value` lines, the environment and arguments, each before the one it overrides."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, fields, replace
+
+PREFIX = "WEFTLINE_"
+
+
+@dataclass(frozen=True)
+class Settings:
+    frontier_max_active: int = 512
+    frontier_politeness: int = 5
+    frontier_session_budget: int = 5
+    fetcher_timeout_ms: int = 3000
+    fetcher_user_agent: str = "GoBot/1.0"
+    ring_vnodes: int = 16
+    ring_successors: int = 2
+    batch_period_ms: int = 15_000
+    warc_file_bytes: int = 1_000_000_000
+    bloom_rate: float = 0.01
+
+
+def env_key(name: str) -> str:
+    """An environment name as a setting: `__` stands for an underscore inside a word, `_` for the dot between words."""
+    return name.lower().replace("__", " ").replace("_", ".").replace(" ", "_")
+
+
+def settings(lines: str = "", env: dict[str, str] | None = None, args: dict[str, object] | None = None) -> Settings:
+    """Values that aren't positive numbers or that don't parse keep the default."""
+    found: dict[str, object] = {}
+    for line in lines.splitlines():
+        key, _, value = line.partition("#")[0].partition(":")
+        if value.strip():
+            found[key.strip()] = value.strip()
+    found |= {env_key(k.removeprefix(PREFIX)): v for k, v in (env or {}).items() if k.startswith(PREFIX)}
+    found |= {k: v for k, v in (args or {}).items() if v is not None}
+    out = Settings()
+    for f in fields(Settings):
+        raw = found.get(f.name.replace("_", ".", 1), found.get(f.name))
+        kind = type(getattr(out, f.name))
+        try:
+            value = kind(raw) if raw is not None else None
+        except (TypeError, ValueError):
+            continue
+        if value is not None and (kind is str or value > 0):
+            out = replace(out, **{f.name: value})
+    return out
