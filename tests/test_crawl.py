@@ -1,0 +1,234 @@
+"""The crawl engine: every query against its SQL, the stateful parts against plain Python, and the archive round trip."""
+
+import hashlib
+import os
+
+import duckdb
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from weftline.config import Settings, env_key, settings as read_settings
+from weftline.functions import robots, scheduling, urls
+from weftline.operators import frontier, ring
+from weftline.plans import queries, rounds
+from weftline.sources import tables, warc
+from weftline.streaming import crawl
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for t in ("pages", "events"):
+        c.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    return c
+
+
+def plain(v):
+    return repr(v) if v is not None else ""
+
+
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_query_equals_its_sql(spark, duck, name):
+    df = queries.QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    got = sorted(tuple(map(plain, r)) for r in df.select(*cols).collect())
+    found = duck.execute(queries.ORACLES[name])
+    names = [d[0] for d in found.description]
+    want = sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in found.fetchall())
+    assert sorted(names) == cols
+    assert got == want
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
+def test_other_queries_run(spark, name):
+    assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_hosts_and_links(spark):
+    rows = [("https://A.b:8080/x", "A.b"), ("mailto:a@b", ""), ("", ""), ("https://u:p@h/", "h"), ("http://[::1]:80/", "::1"), ("http://a_b.c/", "a_b.c"), (None, "")]
+    got = spark.createDataFrame([(u,) for u, _ in rows], "u string").select("u", urls.host(urls.F.col("u")).alias("h")).collect()
+    assert {r.u: r.h for r in got} == dict(rows)
+    assert urls.robots_url(urls.F.lit("https://h:1/p?q=1#f")) is not None
+    base = "https://h/a/b?q#f"
+    want = {"/x": "https://h/x", "c": "https://h/a/c", "../d": "https://h/d", "//o/p": "https://o/p", "#t": "https://h/a/b?q#t", "?z": "https://h/a/b?z", "": base, "mailto:m@n": "mailto:m@n", "http://%zz": None}
+    got = spark.createDataFrame([(base, h) for h in want], "b string, h string").select("h", urls.resolve(urls.F.col("b"), urls.F.col("h")).alias("u")).collect()
+    assert {r.h: r.u for r in got} == want
+
+
+def test_page_parser_decodes_entities():
+    assert urls.parse_page("<head><title>a &amp; b</title><a href='/x?a&amp;b'>t</a>")[1:] == ("a & b", ["/x?a&b"])
+
+
+def test_float32_budgets(spark):
+    rows = [(3000,), (None,), (0,), (5000,), (6000,)]
+    df = spark.createDataFrame(rows, "t long")
+    got = {r.t: (r.a, r.b, r.c) for r in df.select("t", scheduling.session_budget(df.t, 5).alias("a"), scheduling.session_budget(df.t, 20).alias("b"), scheduling.url_weight(df.t, 20).alias("c")).collect()}
+    assert got[3000] == (1, 7, 12) and got[None] == (5, 20, 1) and got[0] == (5, 20, 1) and got[5000] == (0, 0, 20) and got[6000] == (0, 0, 24)
+
+
+def queue(spark, rows):
+    return spark.createDataFrame(rows, rounds.QUEUE)
+
+
+def test_fifo(spark):
+    own = queue(spark, [("myqueue1", i, str(i), 1) for i in range(10)])
+    first, rest = frontier.pop(own, 1)
+    assert [r.url for r in first.collect()] == ["0"] and frontier.peek(rest).first().url == "1"
+
+
+def test_queues_are_isolated(spark):
+    own = queue(spark, [(f"myqueue{q}", i, str(i), 1) for q in range(3, 13) for i in range(10)])
+    assert frontier.length(own).filter("host = 'myqueue12'").first().n == 10
+    assert frontier.pop(own, 10)[1].count() == 0
+
+
+def test_session_prefix(spark):
+    own = queue(spark, [("h", 0, "a", 3), ("h", 1, "b", 3), ("h", 2, "c", 1)])
+    take = lambda b: [r.url for r in frontier.session_prefix(own, scheduling.F.lit(b)).orderBy("seq").collect()]
+    assert take(5) == ["a", "b"] and take(0) == ["a"]
+
+
+def test_nearest_priority_first(spark):
+    assert frontier.next_hosts(spark.createDataFrame([("10", 1), ("12", 2)], "host string, next_at_ms long"), 1).first().host == "10"
+
+
+def test_rotation(spark):
+    hosts = spark.createDataFrame([("A", "inactive", True, 0), ("B", "inactive", False, 1), ("C", "inactive", False, 2), ("D", "inactive", False, 3)], "host string, status string, locked boolean, inactive_rank long")
+    own = queue(spark, [(h, 0, "u", 1) for h in "ACD"])
+    assert [r.host for r in frontier.available(hosts, own, 1).collect()] == ["C"]
+    assert [r.host for r in frontier.rotate(hosts, own, 1).orderBy("inactive_rank").collect()] == ["D", "A", "B"]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.text("ab", max_size=3), st.lists(st.text("ab", min_size=1, max_size=3), min_size=1, max_size=4, unique=True))
+def test_ring_owner_is_total(key, members):
+    ids = sorted((ring.key_of(f"{m}:{i}"), m) for m in members for i in range(3))
+    k = hashlib.sha1(key.encode()).hexdigest()
+    assert next((m for v, m in ids if v >= k), ids[0][1]) in members
+
+
+def test_between(spark):
+    rows = [(5, 1, 9, True), (1, 1, 9, False), (9, 1, 9, False), (0, 9, 1, True), (5, 9, 1, False), (9, 9, 1, False), (3, 3, 3, False), (4, 3, 3, True)]
+    df = spark.createDataFrame(rows, "k int, a int, b int, want boolean")
+    assert df.filter(ring.between(df.k, df.a, df.b) != df.want).count() == 0
+
+
+def test_ring_by_literals_and_by_bisection(spark):
+    made = ring.build(tables.members(spark, tables.JOINED))
+    keys = spark.range(500).selectExpr("sha1(cast(id as string)) as key")
+    a = ring.owner(keys, made).select("key", "owner")
+    assert a.exceptAll(ring.owner(keys, made, most_literals=1).select("key", "owner")).count() == 0
+    assert ring.finger_id("0" * 40, 0) == ring.finger_id("0" * 40, 1) == "0" * 39 + "1"
+
+
+def test_robots_longest_match():
+    rules = robots.parse("User-agent: *\nDisallow: /a\nAllow: /a/b\nDisallow: /*.gif$\n\nUser-agent: x\nUser-agent: y\nDisallow: /")
+    ok = lambda agent, path: robots.allowed(rules, agent, path)
+    assert [ok("GoBot/1.0", p) for p in ("/", "/a", "/a/b", "/i.gif", "/i.gif?")] == [True, False, True, False, True]
+    assert not ok("y", "/") and robots.allowed([], "y", "/")
+
+
+def test_capture_carries_id_and_date(spark):
+    at = scheduling.F.lit("2020-02-02 02:02:02").cast("timestamp")
+    base = warc.resource(spark.createDataFrame([("qwerty", "")], "url string, html string"), at, "text/plain")
+    other = warc.metadata(spark.createDataFrame([("qwerty", 1), ("qwerty", 2)], "url string, ttr_ms long"), scheduling.F.current_timestamp())
+    id_ = base.first().record_id
+    assert [(r.date, r.headers["warc-concurrent-to"]) for r in warc.capture(base, other).collect()] == [("2020-02-02T02:02:02Z", id_)] * 2
+
+
+def test_archive_round_trip(spark, tmp_path):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("url", "html")
+    records = warc.resource(pages, scheduling.F.lit("2020-02-02 02:02:02").cast("timestamp"))
+    files = warc.write(records, f"{tmp_path}/out", most=50_000).collect()
+    assert sum(f.records for f in files) == records.count() and len(files) == len(os.listdir(f"{tmp_path}/out")) > 1
+    back = warc.read(spark, f"{tmp_path}/out/*.gz")
+    assert back.filter("type = 'warcinfo'").count() == len(files)
+    shape = lambda df: sorted((r.record_id, r.date, tuple(sorted(r.headers.items())), bytes(r.content)) for r in df.collect())
+    assert shape(back.filter("type = 'resource'")) == shape(records)
+
+
+def simulate(pages, seeds, conf, n):
+    """What the rounds fetch, host by host, in plain Python."""
+    queues, seen, ttr, ready, fetched = {}, set(), {}, [], []
+    host = lambda u: u.split("/")[2]
+    for u in seeds:
+        queues.setdefault(host(u), []).append((u, 1))
+        if host(u) not in ready:
+            ready.append(host(u))
+    budget = dict.fromkeys(queues, conf.session_budget)
+    for _ in range(n):
+        known, old, found = dict(ttr), set(seen), []
+        for h in sorted(queues):
+            spent, own, took = 0, queues[h], set()
+            if not own:
+                continue
+            while own and (spent < budget[h] or not spent):
+                u, w = own.pop(0)
+                spent += w
+                if u in old or u in took:
+                    continue
+                took.add(u)
+                fetched.append(u)
+                seen.add(u)
+                if u in pages:
+                    ttr[h] = pages[u][0]
+                    found += pages[u][1]
+            budget[h] = max(0, budget[h] - spent)
+            if budget[h] <= 0 or not own:
+                budget[h] = None
+        for u in found:
+            if u not in old:
+                w = max(1, int(known[host(u)] / 5000 * conf.session_budget)) if host(u) in known else 1
+                if host(u) not in queues:
+                    budget[host(u)] = conf.session_budget
+                queues.setdefault(host(u), []).append((u, w))
+        for h, b in budget.items():
+            if b is None:
+                budget[h] = max(0, int((1 - ttr[h] / 5000) * conf.session_budget)) if h in ttr else conf.session_budget
+    return fetched
+
+
+def test_rounds_against_a_simulation(spark, tmp_path):
+    conf = rounds.Conf(max_active=100, session_budget=3)
+    site = {f"https://h{h}/p{p}": (1000 * h, sorted({f"https://h{(h * 3 + p) % 4}/p{(p + 1) % 5}", f"https://h{h}/p{(p * 2) % 5}"})) for h in range(4) for p in range(5) if (h, p) != (2, 2)}
+    seeds = ["https://h0/p0", "https://h1/p3"]
+    web = spark.createDataFrame([(u, t, links) for u, (t, links) in site.items()], "url string, ttr_ms long, links array<string>")
+
+    def fetch(rows):
+        return rows.join(web, "url", "left").select("host", "seq", "url", scheduling.F.col("links").isNotNull().alias("ok"), "ttr_ms", "links")
+
+    state = rounds.put(rounds.start(spark), spark.createDataFrame([(u, i) for i, u in enumerate(seeds)], "url string, ord long"), conf)
+    got = []
+    for v in range(4):
+        state, out = rounds.crawl_round(state, fetch, conf)
+        got.append(sorted(r.url for r in out.collect()))
+        state = state.save(str(tmp_path), v)
+    flat = [u for r in got for u in r]
+    assert len(flat) == len(set(flat))
+    assert sorted(flat) == sorted(simulate(site, seeds, conf, 4))
+    assert {r.url for r in state.seen.collect()} == set(flat)
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    stream = crawl.crawl_stream(spark, SF)
+    got = crawl.run_once(crawl.windows(stream, "1 day", "0 seconds"), "days", "append", f"{tmp_path}/a")
+    batch = {(r.start, r.n, r.good) for r in crawl.windows(tables.crawl_log(spark, SF), "1 day").collect()}
+    rows = {tuple(r) for r in got.collect()}
+    assert rows <= batch and len(batch) - len(rows) <= 1
+    state = crawl.run_once(crawl.host_state(crawl.crawl_stream(spark, SF)), "hosts", "update", f"{tmp_path}/b")
+    last = {r.host: r.ttr_ms for r in frontier.last_ttr(tables.crawl_log(spark, SF)).collect()}
+    assert {r.host: r.ttr_ms for r in state.collect() if r.good} == last
+
+
+def test_seeds_stop_at_the_first_bad_line(spark, tmp_path):
+    (tmp_path / "seeds.txt").write_text("https://a/\nhttps://b/\nhttp://%zz\nhttps://c/\n")
+    assert [r.url for r in tables.seeds(spark, str(tmp_path / "seeds.txt")).orderBy("line_no").collect()] == ["https://a/", "https://b/"]
+
+
+def test_settings():
+    assert env_key("FRONTIER_MAX__ACTIVE") == "frontier.max_active"
+    got = read_settings("frontier.max_active: 7\nring.vnodes: x\nfrontier.politeness: 3", {"WEFTLINE_FRONTIER_POLITENESS": "4"}, {"frontier.session_budget": 9, "ring.successors": -1})
+    assert got == Settings(frontier_max_active=7, frontier_politeness=4, frontier_session_budget=9)

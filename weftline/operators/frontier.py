@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-BY_HOST = W.partitionBy("host").orderBy("seq")
+
+def by_host():
+    return W.partitionBy("host").orderBy("seq")
 
 
 def fifo(queue: DataFrame) -> DataFrame:
-    return queue.withColumn("rn", F.row_number().over(BY_HOST).cast("long"))
+    return queue.withColumn("rn", F.row_number().over(by_host()).cast("long"))
 
 
 def peek(queue: DataFrame) -> DataFrame:
@@ -45,8 +47,8 @@ def bounds(queue: DataFrame) -> DataFrame:
 
 def session_prefix(queue: DataFrame, budget: Column) -> DataFrame:
     """What one session takes: rows while the weights before them are below the budget, and the first in any case."""
-    spent = F.coalesce(F.sum("weight").over(BY_HOST.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return queue.withColumn("__spent", spent).withColumn("__rn", F.row_number().over(BY_HOST)).filter((F.col("__spent") < budget) | (F.col("__rn") == 1)).drop("__spent", "__rn")
+    spent = F.coalesce(F.sum("weight").over(by_host().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return queue.withColumn("__spent", spent).withColumn("__rn", F.row_number().over(by_host())).filter((F.col("__spent") < budget) | (F.col("__rn") == 1)).drop("__spent", "__rn")
 
 
 def sessions(queue: DataFrame, budget: int) -> DataFrame:
@@ -84,7 +86,7 @@ def last_ttr(outcomes: DataFrame) -> DataFrame:
 
 def ttr_before(outcomes: DataFrame) -> DataFrame:
     """outcomes with `known_ttr`: the response time known when the row was added."""
-    return outcomes.withColumn("known_ttr", F.last(F.when(F.col("ok"), F.col("ttr_ms")), True).over(BY_HOST.rowsBetween(W.unboundedPreceding, -1)))
+    return outcomes.withColumn("known_ttr", F.last(F.when(F.col("ok"), F.col("ttr_ms")), True).over(by_host().rowsBetween(W.unboundedPreceding, -1)))
 
 
 def admit(hosts: DataFrame, most: int) -> DataFrame:

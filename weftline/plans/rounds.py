@@ -80,10 +80,10 @@ def schedule(state: State) -> tuple[DataFrame, DataFrame]:
 def timed(outcomes: DataFrame, hosts: DataFrame, conf: Conf) -> DataFrame:
     """outcomes (host, seq, url, ok, ttr_ms) with `at_ms` and `done_ms`; hosts are serial, so a host's times are running sums."""
     own = outcomes.join(hosts.select("host", F.col("ttr_ms").alias("__rt"), "next_at_ms"), "host")
-    known = F.coalesce(F.last(F.when(F.col("ok"), F.col("ttr_ms")), True).over(frontier.BY_HOST.rowsBetween(W.unboundedPreceding, 0)), "__rt")
+    known = F.coalesce(F.last(F.when(F.col("ok"), F.col("ttr_ms")), True).over(frontier.by_host().rowsBetween(W.unboundedPreceding, 0)), "__rt")
     took = F.coalesce("ttr_ms", F.lit(0).cast("long"))
     own = own.withColumn("__next", scheduling.next_access_ms(took, known, conf.politeness))
-    before = F.coalesce(F.sum("__next").over(frontier.BY_HOST.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("__next").over(frontier.by_host().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     own = own.withColumn("at_ms", F.col("next_at_ms") + before)
     return own.withColumns({"done_ms": F.col("at_ms") + took, "next_ms": F.col("at_ms") + F.col("__next")}).drop("__rt", "__next", "next_at_ms")
 

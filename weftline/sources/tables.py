@@ -32,7 +32,7 @@ def members(spark: SparkSession, addrs=MEMBERS) -> DataFrame:
 
 def seeds(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, url) of a seed list, up to its first line that isn't a URL."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "url"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "url"))
     parsed = lines.withColumn("bad", F.col("url").rlike(r"[\x00-\x20\x7f]|%(?![0-9A-Fa-f]{2})|^:|^[A-Za-z][A-Za-z0-9+.-]*://\[[^\]]*$|^[^/?#]*//[^/?#]*:[^0-9/?#@][^@/?#]*([/?#]|$)"))
     first_bad = parsed.agg(F.min(F.when(F.col("bad"), F.col("line_no"))).alias("stop"))
     return parsed.crossJoin(F.broadcast(first_bad)).filter("url <> '' and (stop is null or line_no < stop)").select(F.col("line_no").cast("long").alias("line_no"), "url")
