@@ -441,9 +441,9 @@ def encode(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed: int = 0, model
                         rows.column(0).take(pa.array(sel)),
                         pa.array(np.full(len(sel), t + 1), pa.int32()),
                         T.lists(ids, count[sel], pa.int32()),
-                        pa.array(p.total[sel]),
-                        pa.array(perturbed[t][sel]),
-                        pa.array(log_in[sel]),
+                        pa.array(p.total[sel], pa.float64()),
+                        pa.array(perturbed[t][sel], pa.float64()),
+                        pa.array(log_in[sel], pa.float64()),
                         pa.array(good[sel]),
                     ],
                     names=["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion", "round_trip"],

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import textcore as T
-from .session import cut
+from .session import cut, fresh
 
 DOC = ["doc_id", "th"]
 _SPACE = np.zeros(256, bool)
@@ -197,13 +197,15 @@ def runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 def strip(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """docs without the later copies; a document of which nothing is left is dropped, and n_chars follows the text."""
-    gone = runs(docs, min_words).groupBy(*DOC).agg(F.collect_list(F.struct("start_line", (F.col("start_line") + F.col("n_lines")).alias("end_line"))).alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "__gone")
-    on = docs["doc_id"].cast("long").eqNullSafe(F.col("__d")) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col("__t"))
-    joined = docs.join(gone, on, "left").drop("__d", "__t")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.exists("__gone", lambda g: (i >= g["start_line"]) & (i < g["end_line"])))
-    joined = joined.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept)).filter("__kept is null or size(__kept) > 0")
-    out = joined.withColumn("text", F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col("text")))
+    d, t, gone, kept = fresh(docs, "__d", "__t", "__gone", "__kept")
+    lost = runs(docs, min_words).groupBy(*DOC).agg(F.collect_list(F.struct("start_line", (F.col("start_line") + F.col("n_lines")).alias("end_line"))).alias(gone))
+    lost = lost.select(F.col("doc_id").alias(d), F.col("th").alias(t), gone)
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col(d)) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col(t))
+    joined = docs.join(lost, on, "left").drop(d, t)
+    rest = F.filter(F.split("text", "\n"), lambda x, i: ~F.exists(gone, lambda g: (i >= g["start_line"]) & (i < g["end_line"])))
+    joined = joined.withColumn(kept, F.when(F.col(gone).isNotNull(), rest)).filter(F.col(kept).isNull() | (F.size(kept) > 0))
+    changed = F.col(kept).isNotNull()
+    out = joined.withColumn("text", F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
