@@ -6,7 +6,7 @@ two passages. Weights are tf-idf with frequencies over all blocks, less a floor
 `common` of the blocks; each item's RAREST rarest words keep a weight. The latent space is a randomised SVD of the
 blocks of all documents together with the items: a random test matrix goes once through A^T A in a distributed pass, the
 result is orthonormalised, and a second pass gives the projected problem that a small eigenproblem solves. Every passage
-is a query: those with a latent cosine of `near` or more to an item are its candidates.
+is a query: the items with which it shares a weighted word and has a latent cosine of `near` or more are its candidates.
 
 A candidate's surroundings (the passage and an item's length on either side) are aligned with the item by their longest common
 subsequence of words. A share of `copy` is a copy. From `paraphrase` on, the answer must be there too: the share `answer` of the
@@ -24,14 +24,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as T
-from .session import cut
+from .session import cut, without
 
 BLOCK = 32
 RAREST = 4
+DENSE = 6000  # words up to which a square matrix of the vocabulary is held
 SCHEMA = "doc_id long, th long, item_id long, start_word int, cosine double, lcs double, kind string"
 
 
@@ -92,6 +94,17 @@ def _blocks(batch: pa.RecordBatch, kind) -> tuple[np.ndarray, np.ndarray, np.nda
     return (np.concatenate(parts) if parts else np.zeros(0, kind)).astype(np.int64), np.r_[0, np.cumsum(n)], np.cumsum(count) - count, count
 
 
+def _pieces(batches, words: int = 1 << 19):
+    """The batches in slices of whole rows of about `words` words, so that what is held for one stays small."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        size = pc.binary_length(b.column("codes")).to_numpy(zero_copy_only=False)
+        for a, z in _parts(np.maximum(size, 1), 2 * words):
+            if z > a:
+                yield b.slice(a, z - a)
+
+
 def _terms(code: np.ndarray, bounds: np.ndarray, first: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(block, word, tf * weight) of the weighted words, by block; words count from 0."""
     at = np.flatnonzero((code > 0) & (weight[code - 1] > 0))
@@ -157,29 +170,55 @@ def item_matrix(own: Items, w: np.ndarray) -> np.ndarray:
     return _normal(x)
 
 
+def _pairs(size_a: np.ndarray, start_a: np.ndarray, size_b: np.ndarray, start_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, i, j) of every place in each run of a with every place in the same group's run of b."""
+    n = size_a * size_b
+    g = np.repeat(np.arange(len(n)), n)
+    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return g, start_a[g] + k // size_b[g], start_b[g] + k % size_b[g]
+
+
+def _runs(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+    return start, np.diff(np.r_[start, len(block)])
+
+
+def _parts(cost: np.ndarray, step: int) -> list[tuple[int, int]]:
+    """Cuts of a range into runs of about `step` in cost."""
+    edges = np.unique(np.r_[0, np.searchsorted(np.cumsum(cost), np.arange(step, cost.sum(), step)) + 1, len(cost)]).astype(int)
+    return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
+
 def _gram(encoded: DataFrame, own: Items, w: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """A^T A m over the unit rows A of all blocks."""
-    kind = own.kind
+    """A^T A m over the unit rows A of all blocks.
+
+    As blocks hold few weighted words, a batch's own A^T A is summed from their pairs and multiplied once where it fits in memory;
+    a larger vocabulary goes through A block by block. Both give the same sums.
+    """
+    kind, v = own.kind, len(w)
     m32 = m.astype(np.float32)
 
-    def part(b, step=1 << 15):
-        out = np.zeros(m.shape, np.float64)
+    def part(b):
         block, word, x = _terms(*_blocks(b, kind)[:3], w)
         if not len(block):
-            return out
-        start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        size = np.diff(np.r_[start, len(block)])
-        x = (x / np.repeat(np.sqrt(np.add.reduceat(x * x, start)), size)).astype(np.float32)
-        # whole blocks in runs of about `step` terms
-        edges = np.unique(np.r_[0, np.searchsorted(start, np.arange(step, len(block), step)), len(start)])
-        for a, z in zip(edges[:-1], edges[1:], strict=True):
-            lo, hi = start[a], start[z] if z < len(start) else len(block)
+            return 0
+        start, size = _runs(block)
+        x = x / np.repeat(np.sqrt(np.add.reduceat(x * x, start)), size)
+        if v <= DENSE:
+            g = np.zeros(v * v, np.float32)
+            for a, z in _parts(size * size, 1 << 21):
+                _, i, j = _pairs(size[a:z], start[a:z], size[a:z], start[a:z])
+                g += np.bincount(word[i] * v + word[j], x[i] * x[j], v * v).astype(np.float32)
+            return g.reshape(v, v) @ m32
+        out = np.zeros(m.shape)
+        x = x.astype(np.float32)
+        for a, z in _parts(size, 1 << 12):
+            lo, hi = start[a], start[a] + size[a:z].sum()
             y = np.add.reduceat(m32[word[lo:hi]] * x[lo:hi, None], start[a:z] - lo, axis=0)
-            who = np.repeat(np.arange(z - a), size[a:z])
             order = np.argsort(word[lo:hi], kind="stable")
-            ws = word[lo:hi][order]
-            heads = np.flatnonzero(np.r_[True, ws[1:] != ws[:-1]])
-            out[ws[heads]] += np.add.reduceat(y[who[order]] * x[lo:hi][order, None], heads, axis=0)
+            heads, _ = _runs(word[lo:hi][order])
+            who = np.repeat(np.arange(z - a), size[a:z])
+            out[word[lo:hi][order][heads]] += np.add.reduceat(y[who[order]] * x[lo:hi][order, None], heads, axis=0)
         return out
 
     return _sum_arrays(encoded, m.shape, part)
@@ -248,51 +287,85 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, common: float
     encoded = cut(encoded)
     w, n_blocks = weights(encoded, own, common)
     space = latent(encoded, own, w, n_blocks, rank).astype(np.float32)
-    target = _normal(item_matrix(own, w) @ space).astype(np.float32)
-    kind = own.kind
+    matrix = item_matrix(own, w)
+    target = _normal(matrix @ space).astype(np.float32)
+    kind, v, n_items = own.kind, len(w), len(own.codes)
+    item_of, word_of = np.nonzero(matrix)
+    by_word = np.argsort(word_of, kind="stable")
+    posted, post_at = item_of[by_word], np.searchsorted(word_of[by_word], np.arange(v + 1))
 
     def run(batches):
-        for b in batches:
+        near_words = space @ space.T if v <= DENSE else None
+        near_items = space @ target.T if v <= DENSE else None
+
+        def product(i, table, other, j):
+            """Inner products of the words i with rows j of `other`, in the latent space."""
+            if table is not None:
+                return table[i, j]
+            return np.concatenate([np.zeros(0, np.float32), *(np.einsum("ij,ij->i", space[i[a : a + 4096]], other[j[a : a + 4096]]) for a in range(0, len(i), 4096))])
+
+        for b in _pieces(batches):
             code, bounds, first, count = _blocks(b, kind)
             block, word, x = _terms(code, bounds, first, w)
             if not len(block):
                 continue
-            start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            start, size = _runs(block)
             live = block[start]
+            row = np.searchsorted(first, live, "right") - 1
+            pair = np.flatnonzero((live[1:] == live[:-1] + 1) & (row[1:] == row[:-1]))
+
+            def inner(p, q):
+                out = np.zeros(len(p))
+                for a, z in _parts(size[p] * size[q], 1 << 20):
+                    g, i, j = _pairs(size[p[a:z]], start[p[a:z]], size[q[a:z]], start[q[a:z]])
+                    out[a:z] = np.bincount(g, x[i] * x[j] * product(word[i], near_words, space, word[j]), z - a)
+                return out
+
+            every = np.arange(len(live))
+            norm = inner(every, every)
+            joint = norm[pair] + norm[pair + 1] + 2 * inner(pair, pair + 1)
+            # only an item that shares a weighted word with the passage can pass the alignment
+            n = post_at[word + 1] - post_at[word]
+            at = np.repeat(post_at[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            alone = np.unique(np.repeat(np.repeat(every, size), n) * n_items + posted[at])
+            left, right = np.full(len(live), -1), np.full(len(live), -1)
+            right[pair], left[pair + 1] = np.arange(len(pair)), np.arange(len(pair))
+            who, what = alone // n_items, alone % n_items
+            both = np.unique(np.concatenate([side[who[side[who] >= 0]] * n_items + what[side[who] >= 0] for side in (left, right)]))
+            p, k = both // n_items, both % n_items
+            known = np.unique(np.concatenate([alone, pair[p] * n_items + k, (pair[p] + 1) * n_items + k]))
+            who, what = known // n_items, known % n_items
+            value = np.zeros(len(known))
+            for a, z in _parts(size[who], 1 << 20):
+                g, i, _ = _pairs(size[who[a:z]], start[who[a:z]], np.ones(z - a, np.int64), np.zeros(z - a, np.int64))
+                value[a:z] = np.bincount(g, x[i] * product(word[i], near_items, target, what[a:z][g]), z - a)
+            of = lambda key: value[np.searchsorted(known, key)]
+            who, what = alone // n_items, alone % n_items
+            cosine = np.concatenate([of(alone) / np.sqrt(np.maximum(norm[who], 1e-12)), (of(pair[p] * n_items + k) + of((pair[p] + 1) * n_items + k)) / np.sqrt(np.maximum(joint[p], 1e-12))])
+            begin = np.concatenate([who, pair[p]])
+            width = np.concatenate([np.ones(len(who), np.int64), np.full(len(p), 2)])
+            item_no = np.concatenate([what, k])
+            pick = np.flatnonzero(cosine >= near)
             out: dict[tuple[int, int], tuple] = {}
-            x = x.astype(np.float32)
-            for a in range(0, len(start), 4096):
-                # the last block of a run is the first of the next, so that no passage is lost
-                z = min(a + 4097, len(start))
-                lo, hi = start[a], start[z] if z < len(start) else len(block)
-                y = np.add.reduceat(space[word[lo:hi]] * x[lo:hi, None], start[a:z] - lo, axis=0)
-                ids = live[a:z]
-                row = np.searchsorted(first, ids, "right") - 1
-                pair = np.flatnonzero((ids[1:] == ids[:-1] + 1) & (row[1:] == row[:-1]))
-                at = np.r_[np.arange(z - a), pair]
-                width = np.r_[np.ones(z - a, np.int64), np.full(len(pair), 2)]
-                y = np.concatenate([y, y[pair] + y[pair + 1]])
-                sim = _normal(y) @ target.T
-                p, k = np.nonzero(sim >= near)
-                for p1, k1, c in sorted(zip(p.tolist(), k.tolist(), sim[p, k].tolist(), strict=True), key=lambda t: -t[2]):
-                    r = int(row[at[p1]])
-                    begin = int(ids[at[p1]] - first[r]) * BLOCK
-                    had = out.get((r, k1))
-                    if had and had[2] >= 1:
-                        continue
-                    item = own.codes[k1]
-                    text = code[bounds[r] : bounds[r + 1]]
-                    lo1, hi1 = max(0, begin - len(item)), min(len(text), begin + int(width[p1]) * BLOCK + len(item))
-                    share, what = judge(text, item, own.answers[k1], w, lo1, hi1, copy, paraphrase, answer)
-                    if what and (not had or share > had[2]):
-                        out[r, k1] = (begin, c, share, what)
+            for c in pick[np.lexsort((begin[pick], -cosine[pick]))].tolist():
+                r, k1 = int(row[begin[c]]), int(item_no[c])
+                had = out.get((r, k1))
+                if had and had[2] >= 1:
+                    continue
+                item = own.codes[k1]
+                text = code[bounds[r] : bounds[r + 1]]
+                at_word = int(live[begin[c]] - first[r]) * BLOCK
+                lo, hi = max(0, at_word - len(item)), min(len(text), at_word + int(width[c]) * BLOCK + len(item))
+                share, found = judge(text, item, own.answers[k1], w, lo, hi, copy, paraphrase, answer)
+                if found and (not had or share > had[2]):
+                    out[r, k1] = (at_word, float(cosine[c]), share, found)
             keys = sorted(out)
             if keys:
                 rows = pa.array([r for r, _ in keys])
-                v = [out[x] for x in keys]
+                got = [out[y] for y in keys]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(rows), b.column(1).take(rows), pa.array([own.ids[k] for _, k in keys], pa.int64()), pa.array([x[0] for x in v], pa.int32()), pa.array([round(x[1], 5) for x in v]), pa.array([x[2] for x in v], pa.float64()), pa.array([x[3] for x in v])],
-                    names=[x.split()[0] for x in SCHEMA.split(", ")],
+                    [b.column(0).take(rows), b.column(1).take(rows), pa.array([own.ids[y] for _, y in keys], pa.int64()), pa.array([y[0] for y in got], pa.int32()), pa.array([round(y[1], 5) for y in got]), pa.array([y[2] for y in got], pa.float64()), pa.array([y[3] for y in got])],
+                    names=[y.split()[0] for y in SCHEMA.split(", ")],
                 )
 
     return encoded.mapInArrow(run, SCHEMA)
@@ -300,5 +373,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, common: float
 
 def drop(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """docs without those that hold an item of the benchmark."""
-    lost = leaks(docs, benchmark, **params).select(F.col("doc_id").alias("__lost_id"), F.col("th").alias("__lost_th")).distinct()
-    return docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(F.col("__lost_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__lost_th")), "left_anti")
+    return without(docs, leaks(docs, benchmark, **params))
