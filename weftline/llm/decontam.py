@@ -6,7 +6,8 @@ two passages. Weights are tf-idf with frequencies over all blocks, less a floor
 `common` of the blocks; each item's RAREST rarest words keep a weight. The latent space is a randomised SVD of the
 blocks of all documents together with the items: a random test matrix goes once through A^T A in a distributed pass, the
 result is orthonormalised, and a second pass gives the projected problem that a small eigenproblem solves. Every passage
-is a query: the items with which it shares a weighted word and has a latent cosine of `near` or more are its candidates.
+is a query: the items with which it shares weighted words (two of an item of at most a passage's length, else one) and
+has a latent cosine of `near` or more are its candidates.
 
 A candidate's surroundings (the passage and an item's length on either side) are aligned with the item by their longest common
 subsequence of words. A share of `copy` is a copy. From `paraphrase` on, the answer must be there too: the share `answer` of the
@@ -185,6 +186,8 @@ def _runs(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _parts(cost: np.ndarray, step: int) -> list[tuple[int, int]]:
     """Cuts of a range into runs of about `step` in cost."""
+    if not len(cost):
+        return []
     edges = np.unique(np.r_[0, np.searchsorted(np.cumsum(cost), np.arange(step, cost.sum(), step)) + 1, len(cost)]).astype(int)
     return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
@@ -292,6 +295,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, common: float
     kind, v, n_items = own.kind, len(w), len(own.codes)
     item_of, word_of = np.nonzero(matrix)
     by_word = np.argsort(word_of, kind="stable")
+    # words that a passage must share with an item: two where the item fits into a passage and weighs four or more, as an alignment takes half of them
+    enough = np.array([2 if len(c) <= 2 * BLOCK and (r > 0).sum() >= RAREST else 1 for c, r in zip(own.codes, matrix, strict=True)])
     posted, post_at = item_of[by_word], np.searchsorted(word_of[by_word], np.arange(v + 1))
 
     def run(batches):
@@ -321,18 +326,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, common: float
                     out[a:z] = np.bincount(g, x[i] * x[j] * product(word[i], near_words, space, word[j]), z - a)
                 return out
 
-            every = np.arange(len(live))
-            norm = inner(every, every)
-            joint = norm[pair] + norm[pair + 1] + 2 * inner(pair, pair + 1)
-            # only an item that shares a weighted word with the passage can pass the alignment
+            # only an item that shares weighted words with the passage can pass the alignment
             n = post_at[word + 1] - post_at[word]
             at = np.repeat(post_at[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            alone = np.unique(np.repeat(np.repeat(every, size), n) * n_items + posted[at])
+            alone, shared = np.unique(np.repeat(np.repeat(np.arange(len(live)), size), n) * n_items + posted[at], return_counts=True)
             left, right = np.full(len(live), -1), np.full(len(live), -1)
             right[pair], left[pair + 1] = np.arange(len(pair)), np.arange(len(pair))
             who, what = alone // n_items, alone % n_items
-            both = np.unique(np.concatenate([side[who[side[who] >= 0]] * n_items + what[side[who] >= 0] for side in (left, right)]))
+            sides = [(side[who[side[who] >= 0]] * n_items + what[side[who] >= 0], shared[side[who] >= 0]) for side in (left, right)]
+            both, back = np.unique(np.concatenate([k for k, _ in sides]), return_inverse=True)
+            both = both[np.bincount(back, np.concatenate([c for _, c in sides]), len(both)) >= enough[both % n_items]]
+            alone = alone[shared >= enough[what]]
             p, k = both // n_items, both % n_items
+            blocks = np.unique(np.concatenate([alone // n_items, pair[p], pair[p] + 1]))
+            norm = np.zeros(len(live))
+            norm[blocks] = inner(blocks, blocks)
+            joint = np.zeros(len(pair))
+            meet = np.unique(p)
+            joint[meet] = norm[pair[meet]] + norm[pair[meet] + 1] + 2 * inner(pair[meet], pair[meet] + 1)
             known = np.unique(np.concatenate([alone, pair[p] * n_items + k, (pair[p] + 1) * n_items + k]))
             who, what = known // n_items, known % n_items
             value = np.zeros(len(known))
