@@ -243,6 +243,32 @@ def test_list_decoding_finds_every_filter():
     assert set(zip(*map(np.ndarray.tolist, code.decode(x)), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(full >= code.bar)), strict=True))
 
 
+@pytest.mark.parametrize("dim, n", [(64, 2_000), (64, 200_000), (64, 5_000_000), (2, 200_000), (3, 200_000), (5, 200_000), (8, 5_000_000), (12, 200_000), (256, 200_000)])
+def test_recall_of_caps_at_any_size(dim, n):
+    rng = np.random.default_rng(7)
+    x, z = rng.standard_normal((2, 150, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    size, met, n_filters = capfilter.book_size(dim, n, 0.95, 12, 4), set(), 0
+    for c in range(capfilter.CODES):
+        code = capfilter.Code(dim, c, size, 12)
+        a, b = (set(zip(*map(np.ndarray.tolist, code.decode(v.astype(np.float32))), strict=True)) for v in (x, y))
+        met |= {row for row, _ in a & b}
+        n_filters += len(a)
+    assert len(met) >= 0.93 * 150
+    assert 24 < n_filters / 150 < 48
+
+
+@pytest.mark.parametrize("dim, least", [(2, 0.9999), (3, 0.999), (5, 0.97)])
+def test_caps_in_few_dimensions(spark, dim, least):
+    x = np.random.default_rng(4).standard_normal((400, dim))
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    near = list(zip(*np.nonzero(np.triu(u @ u.T >= least, 1)), strict=True))
+    group = {r.vec_id: r.group for r in capfilter.groups(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), least).collect()}
+    assert len(near) > 20 and np.mean([group.get(i, -1) == group.get(j, -2) for i, j in near]) >= 0.9
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.binary(max_size=300), st.integers(1, 40))
 def test_chunked_framing_round_trip(body, chunk):

@@ -4,9 +4,11 @@ A filter is a cap around a random direction. Directions form a product code: the
 blocks, each with a codebook of random unit vectors, and a direction is one codeword of every block; CODES such codes are independent. A vector belongs to
 each filter whose direction its inner product exceeds `bar`; list decoding finds all of them without visiting the rest:
 half sums that can't reach the bar with the best other half are dropped, and the rest is looked up in sorted
-order. The codebooks grow with the number of vectors so that filters outnumber them by `fill`, and the bar leaves each vector about
-`lists` filters of each code, so chance meetings stay in proportion to the input. Vectors that share a filter are verified by their cosine; of a
-filter's close pairs only a spanning forest goes on, as a group is a connected component anyway.
+order. The codebooks grow with the number of vectors of a length so that filters outnumber them by `fill`, and the bar, from the measure of a cap in that
+dimension, leaves each vector `lists` filters of each code on average, so chance meetings stay in proportion to the input. They stop growing
+where a vector at cosine `least` would leave more than 1 - STAY of its neighbour's filters: from there on filters fill up instead, so that recall
+does not fall with the number of vectors (64 dimensions and cosine .95: from some 2 million on). Below NARROW dimensions a direction is one codeword.
+Vectors that share a filter are verified by their cosine; of a filter's close pairs only a spanning forest goes on, as a group is a connected component anyway.
 
 Equal vectors are folded first. Only vectors of equal length are compared.
 
@@ -16,7 +18,7 @@ vec_id and embedding; repeated rows are one. The keeper of a group is its smalle
 
 from __future__ import annotations
 
-from statistics import NormalDist
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,60 @@ from .session import cut
 
 BLOCKS = 2
 CODES = 3
+NARROW = 8
+STAY = 0.4
 SEED = 31
 
 
+@lru_cache(64)
+def _angles(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Angles to a direction, their density on the sphere, and the share of the sphere within each."""
+    a = np.linspace(0, np.pi, 50_001)
+    f = np.exp((dim - 2) * np.log(np.maximum(np.sin(a), 1e-300)))
+    c = np.concatenate([[0], np.cumsum((f[1:] + f[:-1]) / 2)])
+    return a, f, c / c[-1]
+
+
+def cap(dim: int, t) -> np.ndarray:
+    """The share of the unit sphere whose inner product with a direction exceeds t."""
+    if dim == 1:
+        return np.where(np.less(t, -1), 1, np.where(np.less(t, 1), 0.5, 0))
+    a, _, c = _angles(dim)
+    return np.interp(np.arccos(np.clip(t, -1, 1)), a, c)
+
+
+def bar_of(dim: int, share: float) -> float:
+    """The inner product with a direction that the given share of the unit sphere exceeds."""
+    if dim == 1:
+        return 0.0
+    a, _, c = _angles(dim)
+    return float(np.cos(np.interp(share, c, a)))
+
+
+def stays(dim: int, least: float, bar: float) -> float:
+    """The chance that a vector at cosine `least` from one in a cap is in the cap as well."""
+    if dim == 1:
+        return 1.0
+    a, f, _ = _angles(dim)
+    at = np.unique(np.linspace(0, max(1, np.searchsorted(a, np.arccos(bar))), 1000).astype(int))
+    need = (bar - least * np.cos(a[at])) / np.maximum(np.sqrt(max(0, 1 - least**2)) * np.sin(a[at]), 1e-12)
+    return float(np.trapezoid(f[at] * cap(dim - 1, need), a[at]) / np.trapezoid(f[at], a[at]))
+
+
+def book_size(dim: int, n: int, least: float, lists: float, fill: float) -> int:
+    """Codewords a block for n vectors."""
+    lo, hi = 0.0, 1 - 1e-6
+    for _ in range(30):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if stays(dim, least, mid) >= STAY else (lo, mid)
+    total = min(fill * max(n, 1), lists / max(float(cap(dim, lo)), 1e-300))
+    return max(4, int(np.ceil(total ** (1 / _blocks(dim)))))
+
+
+def _blocks(dim: int) -> int:
+    return 1 if dim < NARROW else BLOCKS
+
+
 def unit(vectors: DataFrame) -> DataFrame:
     """(vec_id, vh, dim, v): unit vectors as bytes with their hash; unusable ones are left out."""
 
@@ -63,7 +116,7 @@ class Code:
     def __init__(self, dim: int, which: int, size: int, lists: float):
         rng = np.random.default_rng([SEED, dim, which])
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0].astype(np.float32)
-        self.m = min(BLOCKS, dim)
+        self.m = _blocks(dim)
         self.size = size
         self.cuts = np.linspace(0, dim, self.m + 1).astype(int)
         self.books = []
@@ -71,7 +124,7 @@ class Code:
             c = rng.standard_normal((b - a, size))
             self.books.append((c / np.linalg.norm(c, axis=0) * np.sqrt((b - a) / dim)).astype(np.float32))
         total = size**self.m
-        self.bar = NormalDist().inv_cdf(1 - min(0.5, lists / total)) / np.sqrt(dim)
+        self.bar = bar_of(dim, min(0.5, lists / total))
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of every filter that a row of x exceeds."""
@@ -108,6 +161,8 @@ def _forest(ids: np.ndarray, x: np.ndarray, least: float, block: int = 2048) ->
     edges = []
     for a in range(0, n, block):
         for b in range(a, n, block):
+            if (label[a : a + block] == label[a]).all() and (label[b : b + block] == label[a]).all():
+                continue
             r, c = np.nonzero(x[a : a + block] @ x[b : b + block].T >= least)
             r, c = r + a, c + b
             keep = r < c
@@ -130,9 +185,9 @@ def _forest(ids: np.ndarray, x: np.ndarray, least: float, block: int = 2048) ->
     return edges
 
 
-def links(prints: DataFrame, n: int, least: float, lists: float, fill: float) -> DataFrame:
+def links(prints: DataFrame, least: float, lists: float, fill: float) -> DataFrame:
     """(a, b) close pairs that connect every group found; prints are (fid, dim, v)."""
-    size = max(4, int(np.ceil((fill * max(n, 1)) ** (1 / BLOCKS))))
+    size = {r["dim"]: book_size(r["dim"], r["count"], least, lists, fill) for r in prints.groupBy("dim").count().collect()}
 
     def filters(batches):
         codes = {}
@@ -140,7 +195,7 @@ def links(prints: DataFrame, n: int, least: float, lists: float, fill: float) ->
             dims, raw = b.column("dim").to_numpy(), b.column("v").to_pylist()
             for dim in np.unique(dims):
                 if dim not in codes:
-                    codes[dim] = [Code(int(dim), c, size, lists) for c in range(CODES)]
+                    codes[dim] = [Code(int(dim), c, size[int(dim)], lists) for c in range(CODES)]
                 own = np.flatnonzero(dims == dim)
                 for at in range(0, len(own), 256):
                     part = own[at : at + 256]
@@ -171,7 +226,7 @@ def groups(vectors: DataFrame, least: float = 0.95, lists: float = 12, fill: flo
     """(vec_id, vh, group, kept) of the rows that have a near duplicate; group is the vec_id of the one kept."""
     rows = cut(unit(vectors))
     prints = rows.groupBy(F.col("vh").alias("fid")).agg(F.min("dim").alias("dim"), F.min("v").alias("v"))
-    labels = components(cut(links(prints, prints.count(), least, lists, fill)))
+    labels = components(cut(links(prints, least, lists, fill)))
     joined = cut(rows.select("vec_id", "vh").join(labels, F.col("vh") == F.col("fid"), "left").select("vec_id", "vh", F.coalesce("label", "vh").alias("comp")))
     best = joined.groupBy("comp").agg(F.min(F.struct(F.col("vec_id").isNull().alias("z"), "vec_id", "vh")).alias("k"), F.count("*").alias("n")).filter("n > 1")
     kept = F.col("vec_id").eqNullSafe(F.col("k.vec_id")) & (F.col("vh") == F.col("k.vh"))
