@@ -129,6 +129,13 @@ def test_toxicity_on_labels(documents, labels):
     assert np.mean(caught) > 0.5
 
 
+def test_risk_starts_despite_rounding():
+    x = np.c_[np.arange(100) < 10, np.ones(100)].astype(float)
+    sp = x[:10].T @ x[:10] / 10
+    sp[-1, -1] += 1e-15
+    assert toxicpu.train(sp, x.T @ x / 100, 0.1)[0] > 1
+
+
 def test_risk_stays_non_negative():
     rng = np.random.default_rng(1)
     x = np.c_[rng.random((500, 6)) < 0.3, np.ones(500)].astype(float)

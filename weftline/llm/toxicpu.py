@@ -3,13 +3,15 @@
 Confirmed toxic examples are the positives (at most `max_positive` of them, those with the smallest hash of doc_id);
 every document of the corpus is unlabelled text. Features say whether a document holds each of `width` words: of the
 words that `min_support` positives or more hold (near copies among the positives share one vote), those with the largest log-likelihood ratio of positives over the corpus, if at
-least the share `least_rate` of the documents that hold the word would be toxic (prior times its rate in positives over its rate in the corpus). The loss is
+least the share `least_rate` of the documents that hold the word would be toxic (prior times its rate in positives over its rate in the corpus). In these
+rates, the moments and the prior a document counts as one over its near copies in the corpus, be they labelled or not. The loss is
 squared, so that the risk needs only means and second moments of the features: those of the unlabelled text are summed over all
 documents, as one small matrix a partition. Gradient steps follow the non-negative estimator: with class prior p,
     risk = p * E_pos[l(f)] + max(0, E_unl[l(-f)] - p * E_pos[l(-f)]),
-and where the bracket falls below zero a step goes against it instead of down the risk. The prior is the toxic rate of the labelled rows,
-unless it is given. The cut-off is where the corpus holds a share p above it, but never below the share `floor` of the way from a
-document without any of the words to the median positive that has some.
+and where the bracket falls below zero a step goes against it instead of down the risk. The prior, unless it
+is given, is the corpus's own: the share of positives that, mixed with the labelled negatives, gives the corpus's rates of words; without negatives, the largest
+share that the rates allow; the labels' rate, where there are too few of them for that. The cut-off is the share `floor` of the way from a document without any of the words to the median positive that has some,
+however many documents lie above it.
 
 Defined results. Null and empty texts score as a document without any of the words. Null labels and doc_ids are ignored; a doc_id with several labels is
 positive if any says so. Without positives nothing is toxic and the score is -1. Repeated rows get the same score. Extra columns are ignored.
@@ -56,15 +58,52 @@ def presence(words: np.ndarray, row: np.ndarray, h: np.ndarray, n: int) -> np.nd
     return x
 
 
+def sketches(row: np.ndarray, h: np.ndarray, n: int, bands: int = 6, rows: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """(document, key) of each band of min-hashes; documents without words have none. Near copies share a key."""
+    some, at = np.unique(row, return_index=True)
+    keys = []
+    for b in range(bands if len(h) else 0):
+        key = np.full(len(some), b + 1, np.uint64)
+        for r in range(rows):
+            odd = T.mix(np.array([b * rows + r + 1], np.uint64)) | np.uint64(1)
+            key = T.mix(key + np.minimum.reduceat(h * odd, at))
+        keys.append(key)
+    return np.tile(some, len(keys)), np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+
+
+def copied(docs: DataFrame, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys that several documents share, with their numbers of documents; of a large corpus only those of a `most`-th of it or more."""
+
+    def run(batches):
+        for rows, row, h in _ids(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(sketches(row, h, rows.num_rows)[1].view(np.int64))], names=["key"])
+
+    least = max(2, -(-_text(docs).count() // most))
+    found = _text(docs).mapInArrow(run, "key long").groupBy("key").count().filter(F.col("count") >= least).toArrow()
+    key, n = found["key"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def shares(known: tuple[np.ndarray, np.ndarray], row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """One over the number of near copies of each document in the corpus, itself included."""
+    size = np.ones(n)
+    if len(known[0]) and len(h):
+        doc, key = sketches(row, h, n)
+        at = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
+        hit = known[0][at] == key
+        np.maximum.at(size, doc[hit], known[1][at[hit]])
+    return 1 / size
+
+
 def _text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).filter("text <> ''")
 
 
-def positives(docs: DataFrame, labels: DataFrame, max_positive: int) -> tuple[list[np.ndarray], float]:
-    """The distinct words of each positive, and the toxic rate of the labelled rows."""
+def labelled(docs: DataFrame, labels: DataFrame, most: int, y: int = 1) -> list[np.ndarray]:
+    """The distinct words of each document labelled y."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    rate = known.agg(F.avg("y")).first()[0] or 0.0
-    chosen = known.filter("y > 0").orderBy(F.xxhash64("__id"), "__id").limit(max_positive).select("__id")
+    chosen = known.filter(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(most).select("__id")
 
     def run(batches):
         for rows, row, h in _ids(batches):
@@ -74,7 +113,7 @@ def positives(docs: DataFrame, labels: DataFrame, max_positive: int) -> tuple[li
 
     found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("text <> ''").join(F.broadcast(chosen), F.col("id") == F.col("__id")).select("id", "text").mapInArrow(run, "id long, h array<long>").toArrow()
     rows = [np.asarray(x, np.int64).view(np.uint64) for x in found["h"].to_pylist()]
-    return sorted(rows, key=lambda x: (len(x), x[:1].tolist())), float(rate)
+    return sorted(rows, key=lambda x: (len(x), x[:1].tolist()))
 
 
 def votes(pos: list[np.ndarray], bands: int = 6, rows: int = 6) -> np.ndarray:
@@ -134,7 +173,7 @@ def train(sp: np.ndarray, su: np.ndarray, prior: float, ridge: float = 1e-3, rou
         look = w + 0.9 * speed
         negative = 1 + 2 * mu @ look + look @ su @ look - prior * (1 + 2 * mp @ look + look @ sp @ look)
         grad_neg = 2 * (mu + su @ look) - 2 * prior * (mp + sp @ look)
-        if negative < 0:
+        if negative < -1e-12:  # at the start it is 0 but for rounding, and going against it would lead nowhere
             grad = -grad_neg
         else:
             grad = 2 * prior * (sp @ look - mp) + grad_neg + 2 * reg @ look
@@ -146,46 +185,77 @@ def train(sp: np.ndarray, su: np.ndarray, prior: float, ridge: float = 1e-3, rou
     return best
 
 
+def class_prior(p: np.ndarray, q: np.ndarray, r: np.ndarray, n_pos: float, n_neg: float) -> float:
+    """The toxic share of a corpus from the rates of words in positives, corpus and negatives, as q = prior * p + (1 - prior) * r.
+
+    It is fitted over the words that tell positives from negatives. Without negatives it is the largest share that the words allow, as q >= prior * p for each.
+    """
+    if not n_neg:
+        return 1.0
+    noise = p * (1 - p) / n_pos + r * (1 - r) / n_neg + 1 / (n_pos * n_neg)
+    diff = p - r
+    use = diff > 4 * np.sqrt(noise)
+    return float(np.sum((diff * (q - r) / noise)[use]) / max(np.sum((diff**2 / noise)[use]), 1e-300)) if use.any() else 1.0
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, width: int = 256, min_support: int = 8, prior: float | None = None, least_rate: float = 0.5, floor: float = 0.2) -> Model:
-    pos, rate = positives(docs, labels, max_positive)
-    prior = rate if prior is None else prior
+    pos = labelled(docs, labels, max_positive)
     none = Model(np.zeros(0, np.uint64), np.zeros(0), -1.0, 0.0)
-    if not pos or not 0 < prior < 1:
+    if not pos or not (prior is None or 0 < prior < 1):
         return none
     vote = votes(pos)
     words, at = np.unique(np.concatenate(pos), return_inverse=True)
     support = np.bincount(at, np.repeat(vote, [len(x) for x in pos]), len(words))
     enough = support >= min(min_support, max(1, vote.sum() // 10))
-    words, support = words[enough], support[enough]
+    words = words[enough]
     if not len(words):
         return none
 
+    known = copied(docs)
+
     def df(row, h, n):
         x = np.zeros(len(words) + 1)
         at = np.minimum(np.searchsorted(words, h), len(words) - 1)
         hit = words[at] == h
-        x[:-1] = np.bincount(np.unique(row[hit] * len(words) + at[hit]) % len(words), minlength=len(words))
-        x[-1] = n
+        held = np.unique(row[hit] * len(words) + at[hit])
+        share = shares(known, row, h, n)
+        x[:-1] = np.bincount(held % len(words), share[held // len(words)], len(words))
+        x[-1] = share.sum()
         return x
 
     counts = _summed(docs, (len(words) + 1,), df)
-    n_all, n_pos = counts[-1], vote.sum()
+    rows = np.repeat(np.arange(len(pos)), [len(x) for x in pos])
+    weight = shares(known, rows, np.concatenate(pos), len(pos))
+    support = np.bincount(at, weight[rows], len(enough))[enough]
+    n_all, n_pos = counts[-1], weight.sum()
     q, p = np.clip((counts[:-1] + 0.5) / (n_all + 1), 1e-9, 1 - 1e-9), np.clip(support / n_pos, 1e-9, 1 - 1e-9)
+    if prior is None:
+        neg = labelled(docs, labels, max_positive, 0)
+        held = np.repeat(np.arange(len(neg)), [len(x) for x in neg])
+        h = np.concatenate([np.zeros(0, np.uint64), *neg])
+        by = shares(known, held, h, len(neg))
+        spot = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        hit = words[spot] == h
+        r = np.bincount(spot[hit], by[held[hit]], len(words)) / max(by.sum(), 1e-9)
+        prior = class_prior(p, q, r, n_pos, by.sum())
+        if not 0 < prior < 1 and neg:  # too few labels to tell words apart
+            prior = labels.filter("doc_id is not null").agg(F.avg(F.col("toxic").cast("int"))).first()[0]
+        if not 0 < prior < 1:
+            return none
     gain = np.where((p > q) & (prior * p / q >= least_rate), support * np.log(p / q) + (n_pos - support) * np.log((1 - p) / (1 - q)), 0)
     pick = np.lexsort((words, -gain))[:width]
     words = np.sort(words[pick[gain[pick] > 6]])
     if not len(words):
         return none
     d = len(words)
-    rows = np.repeat(np.arange(len(pos)), [len(x) for x in pos])
     xp = np.c_[presence(words, rows, np.concatenate(pos), len(pos)), np.ones(len(pos))].astype(float)
 
     def moments(row, h, n):
         x = np.c_[presence(words, row, h, n), np.ones(n, np.float32)]
-        return x.T @ x
+        return x.T @ (x * shares(known, row, h, n)[:, None])
 
     su = _summed(docs, (d + 1, d + 1), moments)
-    w = train((xp * vote[:, None]).T @ xp / n_pos, su / max(su[-1, -1], 1), prior)
+    w = train((xp * weight[:, None]).T @ xp / n_pos, su / max(su[-1, -1], 1), prior)
     score = xp @ w
     some = score[xp[:, :-1].any(1)]
     middle = np.median(some) if len(some) else w[-1]
