@@ -129,6 +129,33 @@ def test_toxicity_on_labels(documents, labels):
     assert np.mean(caught) > 0.5
 
 
+@pytest.fixture(scope="module")
+def insulted(spark):
+    """3,000 documents, 300 of them with two of ten insults, and the labels of every third; further ones by copies and heat."""
+    rng = random.Random(8)
+    said = lambda: rng.choices([f"w{k}" for k in range(400)], k=40)
+    rude = lambda: " ".join(said() + [f"bad{k}" for k in rng.sample(range(10), 2)])
+    rows = [(i, rude() if i % 10 == 0 else " ".join(said())) for i in range(3000)]
+    more = {
+        "copies": [(10_000 + i, " ".join(["bad1 bad2 bad3 bad4 bad5", *(f"w{k}" for k in range(80)), f"n{i}"])) for i in range(900)],
+        "hot": [(20_000 + i, rude()) for i in range(1000)],
+        "plain": [],
+    }
+    known = [(i, int(i % 10 == 0)) for i in range(0, 3000, 3)]
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string").cache()
+    return {k: frame(rows + x) for k, x in more.items()}, spark.createDataFrame(known, "doc_id long, toxic int")
+
+
+@pytest.mark.parametrize("corpus, only_positives", [("copies", False), ("hot", False)])
+def test_toxicity_does_not_hang_on_how_many_others_are_toxic(insulted, corpus, only_positives):
+    tables, known = insulted
+    model = toxicpu.fit(tables[corpus], known.filter("toxic = 1") if only_positives else known)
+    rows = toxicpu.detect(tables[corpus], model).collect()
+    toxic = lambda i: i >= 10_000 or i % 10 == 0
+    assert np.mean([r.toxic for r in rows if toxic(r.doc_id)]) > 0.97
+    assert np.mean([r.toxic for r in rows if not toxic(r.doc_id)]) < 0.01
+
+
 def test_risk_starts_despite_rounding():
     x = np.c_[np.arange(100) < 10, np.ones(100)].astype(float)
     sp = x[:10].T @ x[:10] / 10

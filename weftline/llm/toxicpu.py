@@ -259,20 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, width: int
     score = xp @ w
     some = score[xp[:, :-1].any(1)]
     middle = np.median(some) if len(some) else w[-1]
-    return Model(words, w[:-1], float(w[-1]), float(max(_cut(docs, words, w, prior), floor * middle + (1 - floor) * w[-1])))
-
-
-def _cut(docs: DataFrame, words: np.ndarray, w: np.ndarray, prior: float, bins: int = 4096) -> float:
-    """The score above which the corpus holds the share `prior`, from a histogram over all documents."""
-    lo, hi = w[-1] - np.abs(w[:-1]).sum() - 1e-9, w[-1] + np.abs(w[:-1]).sum() + 1e-9
-
-    def histogram(row, h, n):
-        f = presence(words, row, h, n) @ w[:-1] + w[-1]
-        return np.bincount(np.clip(((f - lo) / (hi - lo) * bins).astype(int), 0, bins - 1), minlength=bins).astype(float)
-
-    n = _summed(docs, (bins,), histogram)
-    above = np.cumsum(n[::-1])[::-1]
-    return lo + (hi - lo) * int(np.searchsorted(-above, -prior * above[0], "right")) / bins if above[0] else 0.0
+    return Model(words, w[:-1], float(w[-1]), float(floor * middle + (1 - floor) * w[-1]))
 
 
 def detect(docs: DataFrame, model: Model) -> DataFrame:
