@@ -146,7 +146,7 @@ def insulted(spark):
     return {k: frame(rows + x) for k, x in more.items()}, spark.createDataFrame(known, "doc_id long, toxic int")
 
 
-@pytest.mark.parametrize("corpus, only_positives", [("copies", False), ("hot", False)])
+@pytest.mark.parametrize("corpus, only_positives", [("copies", False), ("hot", False), ("plain", True), ("hot", True)])
 def test_toxicity_does_not_hang_on_how_many_others_are_toxic(insulted, corpus, only_positives):
     tables, known = insulted
     model = toxicpu.fit(tables[corpus], known.filter("toxic = 1") if only_positives else known)

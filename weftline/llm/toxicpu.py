@@ -191,7 +191,8 @@ def class_prior(p: np.ndarray, q: np.ndarray, r: np.ndarray, n_pos: float, n_neg
     It is fitted over the words that tell positives from negatives. Without negatives it is the largest share that the words allow, as q >= prior * p for each.
     """
     if not n_neg:
-        return 1.0
+        low = p - np.sqrt(p * (1 - p) / n_pos)
+        return float(np.min(q[low > 0] / low[low > 0], initial=1.0))
     noise = p * (1 - p) / n_pos + r * (1 - r) / n_neg + 1 / (n_pos * n_neg)
     diff = p - r
     use = diff > 4 * np.sqrt(noise)
