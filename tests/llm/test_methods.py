@@ -214,6 +214,79 @@ def test_segmentations(spark, documents):
     assert all(r.log_inclusion <= 1e-9 for r in rows)
 
 
+def all_segmentations(v, text):
+    """Every path of a text with its normalised log probability: characters without a piece take byte pieces."""
+    raw = b" " + text.encode() if text else b""
+    ids = {b: i for i, b in enumerate(v.bytes) if len(b) and not (len(b) == 1 and i in set(v.byte_id.tolist()))}
+    heads = [i for i, b in enumerate(raw) if b & 0xC0 != 0x80] + [len(raw)]
+    found = {len(raw): [((), 0.0)]}
+    for a, z in zip(heads[-2::-1], heads[:0:-1], strict=True):
+        out = [((ids[raw[a:e]], *rest), v.logw[ids[raw[a:e]]] + w) for e in heads if e > a and raw[a:e] in ids for rest, w in found[e]]
+        if raw[a:z] not in ids:
+            own = tuple(int(v.byte_id[x]) for x in raw[a:z])
+            out += [((*own, *rest), sum(v.logw[i] for i in own) + w) for rest, w in found[z]]
+        found[a] = out
+    total = np.logaddexp.reduce([w for _, w in found[0]])
+    return {ids: w - total for ids, w in found[0]}
+
+
+@pytest.mark.parametrize("text", ["a", "the cat", "thing", "é ж", "日本 x🙂", "aaaa", "12 34", "  b\n", ""])
+def test_all_segmentations_come_once_each(text):
+    v = lattice.vocabulary(lattice.MODEL, 1.0)
+    want = all_segmentations(v, text)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    k = min(len(want), 60) + 1
+    found = lattice.Search(lattice.Lattice(v), raw, np.array([0, len(raw)]), np.array([77], np.uint64), k)
+    got = [tuple(found.lat.piece[p.edge].tolist()) for p, has in zip(found.paths, found.has, strict=True) if has[0]]
+    assert len(got) == len(set(got)) == min(len(want), k) and set(got) <= set(want)
+    for ids, p in zip(got, found.paths, strict=False):
+        assert abs(found.lat.logp[p.edge].sum() - want[ids]) < 1e-9
+    shown = [x[0] for x in found.perturbed[: len(got)]]
+    assert shown == sorted(shown, reverse=True) and (found.kappa[0] < shown[-1] if len(want) > k else found.kappa[0] == -np.inf)
+
+
+@pytest.mark.parametrize("text, k", [("the", 2), ("thing", 3)])
+def test_samples_without_replacement_follow_the_model(text, k):
+    v = lattice.vocabulary(lattice.MODEL, 0.3)
+    p = {ids: np.exp(w) for ids, w in all_segmentations(v, text).items()}
+    n = 20_000
+    raw = np.frombuffer(text.encode() * n, np.uint8)
+    found = lattice.Search(lattice.Lattice(v), raw, np.arange(n + 1) * len(text), lattice.T.mix(np.arange(n, dtype=np.uint64)), k)
+    ids = [[tuple(x.tolist()) for x in np.split(found.lat.piece[q.edge], q.bounds[1:-1])] for q in found.paths]
+    count = Counter(zip(*ids, strict=True))
+    for drawn in itertools.permutations(sorted(p, key=p.get)[-6:], k):
+        want, left = 1.0, 1.0
+        for x in drawn:
+            want, left = want * p[x] / left, left - p[x]
+        assert abs(count[drawn] / n - want) < 5 * np.sqrt(want / n) + 2e-4
+    # an inclusion score is the chance of exceeding kappa, so inverse scores are without bias
+    weight = np.zeros(n)
+    for q, own in zip(found.paths, ids, strict=True):
+        logp = np.array([np.log(p[x]) for x in own])
+        weight += np.exp(logp) / -np.expm1(-np.exp(logp - found.kappa))
+    assert abs(weight.mean() - 1) < 5 * weight.std() / np.sqrt(n)
+
+
+def test_solved_units_and_slices_change_nothing(spark, documents, monkeypatch):
+    some = documents.limit(40)
+    rows = [(r.doc_id, r.text) for r in some.collect()]
+    v = lattice.vocabulary(lattice.MODEL, 1.0)
+
+    def paths():
+        lat, out = lattice.Lattice(v), []
+        for part in (rows[:7], rows[7:], rows[3:5]):
+            raw = [t.encode() for _, t in part]
+            found = lattice.Search(lat, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), lattice.T.mix(np.array([d for d, _ in part], np.uint64)), 3)
+            out += [lat.piece[p.edge].tolist() for p in found.paths] + [np.round(x, 6).tolist() for x in found.perturbed]
+        return out
+
+    first = paths()
+    for name, small in (("SLICE", 50), ("EARLY", 0), ("SOLVED", 1), ("HIGHEST", 1e9)):
+        with monkeypatch.context() as m:
+            m.setattr(lattice, name, small)
+            assert paths() == first
+
+
 def test_first_samples_follow_the_model(spark):
     docs = spark.createDataFrame([(i, "thing") for i in range(4000)], "doc_id long, text string")
     first = [(tuple(r.ids), r.log_prob) for r in lattice.encode(docs, k=1).collect()]

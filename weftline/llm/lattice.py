@@ -4,7 +4,7 @@ The pieces of a given vocabulary span a lattice over a text's bytes: an edge is
 character has none of its own. A path's weight is the product of its pieces' weights, Zipf's law over the order in
 which the vocabulary ranks them, to the power alpha. Forward filtering is exact: the backward sums of a unit give the
 probability of every edge at its state. A unit ends where no piece holds the two bytes on either side, so the lattice
-of a text is the product of its units' lattices, and each distinct unit of a chunk is solved once.
+of a text is the product of its units' lattices. A task keeps the lattices of the units it has solved, up to SOLVED bytes of them.
 
 Top-k by Gumbel noise, without replacement: a perturbed best-first search. The best path is an ordinary sample, found
 from the left; at each of its states, all edges not taken form one subtree in the queue, whose Gumbel maximum is drawn
@@ -33,6 +33,11 @@ SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, perturbed do
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
 _SLOTS = 21
+CHUNK = 1 << 20
+SLICE = 1 << 16  # units drawn at a time
+EARLY = 24  # edges of a path whose subtrees are queued before the others
+HIGHEST = 37.0  # Gumbel noise from a 52-bit uniform number stays below this
+SOLVED = 2 << 20  # bytes of units whose lattices are kept between chunks
 
 
 class Vocabulary:
@@ -58,8 +63,7 @@ class Vocabulary:
         self.logw[order] = -np.log(np.arange(len(order)) + 2.0)
         self.logw *= alpha
         self.size = np.array([len(b) for b in self.bytes])
-        self.pool = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.at = np.cumsum(self.size) - self.size
+        self.pieces = pa.array(self.bytes, pa.binary())
         self.longest = max((len(self.bytes[i]) for i in ids), default=0)
         self.joined = np.zeros((256, 256), bool)
         hashes = np.zeros(n, np.uint64)
@@ -104,92 +108,174 @@ def vocabulary(model: str, alpha: float) -> Vocabulary:
 
 
 class Lattice:
-    """The lattices of many units, laid end to end in `data` with boundaries `offs`."""
-
-    def __init__(self, v: Vocabulary, data: np.ndarray, offs: np.ndarray):
-        n = len(data)
+    """The lattices of many units, laid end to end as a table of edges by their first byte; it grows as units are added.
+
+    Of the bytes' edges, first[x]:first[x + 1], `cum` is the running probability and `others` the log of what the rest of them have.
+    """
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self._forget()
+        self.cols = {"end": np.int32, "piece": np.int32, "logp": np.float64, "cum": np.float64, "others": np.float64, "final": bool}
+        for name, kind in self.cols.items():
+            setattr(self, name, np.zeros(0, kind))
+
+    def _forget(self) -> None:
+        self.hash, self.lo = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.n = self.m = 0
+        self.first = np.zeros(1, np.int32)
+
+    def place(self, h: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The first byte in here of each unit, given its hash and its place in the text; the new ones are solved."""
+        kinds, which, back = np.unique(h, return_index=True, return_inverse=True)
+        new = self._missing(kinds)
+        size = (end - start)[which]
+        if self.n and self.n + int(size[new].sum()) > SOLVED:
+            self._forget()
+            new = np.arange(len(kinds))
+        if len(new):
+            size, begin = size[new], start[which[new]]
+            offs = np.r_[0, np.cumsum(size)].astype(np.int64)
+            self._solve(text[np.repeat(begin - offs[:-1], size) + np.arange(int(offs[-1]))], offs)
+            h = np.concatenate([self.hash, kinds[new]])
+            lo = np.concatenate([self.lo, (offs[:-1] + self.n - offs[-1]).astype(np.int32)])
+            order = np.argsort(h, kind="stable")
+            self.hash, self.lo = h[order], lo[order]
+        return self.lo[np.searchsorted(self.hash, kinds)][back]
+
+    def _missing(self, kinds: np.ndarray) -> np.ndarray:
+        if not len(self.hash):
+            return np.arange(len(kinds))
+        at = np.minimum(np.searchsorted(self.hash, kinds), len(self.hash) - 1)
+        return np.flatnonzero(self.hash[at] != kinds)
+
+    def _solve(self, data: np.ndarray, offs: np.ndarray) -> None:
+        v, n = self.v, len(data)
         size = np.diff(offs)
         unit = np.repeat(np.arange(len(size)), size)
-        rest = offs[1:][unit] - np.arange(n)  # bytes from here to the end of the unit
-        lead = np.where(data < 0x80, 1, np.where(data >= 0xF0, 4, np.where(data >= 0xE0, 3, np.where(data >= 0xC0, 2, 1))))
+        rel = np.arange(n) - offs[unit]
+        rest = size[unit] - rel  # bytes from here to the end of the unit
+        lead = np.where(data >= 0xF0, 4, np.where(data >= 0xE0, 3, np.where(data >= 0xC0, 2, 1)))
         lead = np.minimum(lead, rest)
-        bare = np.zeros(n, bool)
+        bare = np.zeros(n, bool)  # characters without a piece
+        count = np.zeros(n, np.int32)
         at, h = np.arange(n), np.zeros(n, np.uint64)
-        start, piece = [], []
+        start, piece, slot = [], [], []
+
+        def add(where, what):
+            start.append(where)
+            piece.append(what)
+            slot.append(count[where])
+            count[where] += 1
+
         for length in range(1, v.longest + 1):
-            more = rest[at] >= length
-            at, h = at[more], h[more]
-            if not len(at):
+            more = np.flatnonzero(rest[at] >= length)
+            if not len(more):
                 break
+            if len(more) < len(at):
+                at, h = at[more], h[more]
             h = h * _STEP + data[at + length - 1].astype(np.uint64) + np.uint64(1)
             got = v.find(h)
             hit = got >= 0
-            start.append(at[hit])
-            piece.append(got[hit])
+            add(at[hit], got[hit])
             if length <= 4:
-                none = at[~hit & (lead[at] == length)]
-                none = none[(data[none] < 0x80) | (data[none] >= 0xC0) | True]
-                for k in range(length):
-                    bare[none[lead[none] > k] + k] = True
-        # a continuation byte inside a character that has a piece needs no byte piece
-        inside = np.zeros(n, bool)
+                bare[at[~hit & (lead[at] == length)]] = True
+        # a continuation byte is its character's, which needs byte pieces for all of its bytes or for none
         for k in (1, 2, 3):
-            heads = np.flatnonzero(lead > k)
-            inside[heads + k] = True
-        own = np.ones(n, bool)
-        own[inside] = False
-        head_bare = bare & own
-        bare = head_bare.copy()
+            bare[np.flatnonzero(lead > k) + k] = False
+        heads = bare.copy()
         for k in (1, 2, 3):
-            heads = np.flatnonzero(head_bare & (lead > k))
-            bare[heads + k] = True
+            bare[np.flatnonzero(heads & (lead > k)) + k] = True
         at = np.flatnonzero(bare)
-        start.append(at)
-        piece.append(v.byte_id[data[at]])
-        start, piece = np.concatenate(start), np.concatenate(piece)
-        end = start + v.size[piece]
-        rel = start - offs[unit[start]] if n else start
-        order = np.lexsort((start, -rel))
-        start, piece, end, rel = start[order], piece[order], end[order], rel[order]
+        add(at, v.byte_id[data[at]])
+        start, piece, slot = np.concatenate(start), np.concatenate(piece), np.concatenate(slot)
+        # from the units' ends to their beginnings: all places equally far from the beginning at once
+        order = np.argsort((-rel).astype(np.int16 if len(size) and size.max() < 1 << 15 else np.int64), kind="stable")
+        first = np.zeros(n + 1, np.int64)
+        np.cumsum(count[order], out=first[1:])
+        into = np.empty(n, np.int64)
+        into[order] = first[:-1]
+        place = into[start] + slot
+        m = len(start)
+        what, to = np.empty(m, np.int64), np.empty(m, np.int64)
+        what[place], to[place] = piece, start + v.size[piece]
         beta = np.full(n + 1, -np.inf)
-        last = np.zeros(n + 1, bool)
-        last[offs[1:]] = True
-        w = v.logw[piece]
-        value = np.empty(len(start))
-        # a unit's end is the next unit's start, so sums at ends are kept apart
-        cuts = np.flatnonzero(np.r_[True, rel[1:] != rel[:-1], True]) if len(rel) else np.array([0])
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            e = end[a:b]
-            x = w[a:b] + np.where(last[e], 0.0, beta[e])
-            value[a:b] = x
-            s = start[a:b]
-            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            top = np.maximum.reduceat(x, first)
+        ends = np.zeros(n + 1, bool)
+        ends[offs[1:]] = True
+        final = ends[to]
+        value = v.logw[what]
+        far = rel[order]
+        steps = np.flatnonzero(np.r_[True, far[1:] != far[:-1], True]) if n else np.zeros(1, np.int64)
+        for a, b in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
+            lo, hi = first[a], first[b]
+            own = count[order[a:b]]
+            some = np.flatnonzero(own)
+            if not len(some):
+                continue
+            own, heads = own[some], first[a:b][some] - lo
+            # a unit's end is the next unit's start, so sums at ends are kept apart
+            x = value[lo:hi] + np.where(final[lo:hi], 0.0, beta[to[lo:hi]])
+            top = np.maximum.reduceat(x, heads)
             safe = np.where(np.isfinite(top), top, 0)
             with np.errstate(divide="ignore"):
-                beta_s = safe + np.log(np.add.reduceat(np.exp(x - np.repeat(safe, np.diff(np.r_[first, b - a]))), first))
-            if rel[a]:
-                beta[s[first]] = beta_s
-                value[a:b] -= np.repeat(np.where(np.isfinite(beta_s), beta_s, 0), np.diff(np.r_[first, b - a]))
-            else:
-                value[a:b] -= np.repeat(beta_s, np.diff(np.r_[first, b - a]))
-        order = np.argsort(start, kind="stable")
-        self.start, self.end, self.piece, self.logp = start[order], end[order], piece[order], value[order]
-        self.p = np.exp(self.logp)
-        self.final = last[self.end]
-        first = np.flatnonzero(np.r_[True, self.start[1:] != self.start[:-1]]) if len(start) else np.zeros(0, np.int64)
-        self.first = np.r_[first, len(start)]
-        self.state = np.full(n + 1, -1)
-        self.state[self.start[first]] = np.arange(len(first))
-        run = np.cumsum(self.p)
-        run -= np.repeat((run[first] - self.p[first]) if len(first) else run, np.diff(self.first))
-        total = np.repeat(run[self.first[1:] - 1], np.diff(self.first))
-        run = np.where(total > 0, run / np.where(total > 0, total, 1), 0)
-        self.cum = np.repeat(np.arange(len(first)), np.diff(self.first)) + np.minimum(run, 1.0)
-
-    def draw(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
-        e = np.searchsorted(self.cum, state + u, "right")
-        return np.minimum(np.maximum(e, self.first[state]), self.first[state + 1] - 1)
+                total = safe + np.log(np.add.reduceat(np.exp(x - np.repeat(safe, own)), heads))
+            if far[a]:
+                beta[order[a:b][some]] = total
+            value[lo:hi] = x - np.repeat(np.where(np.isfinite(total), total, 0), own)
+        # back to the order of the places, the likeliest edge of each first
+        own = np.repeat(np.flatnonzero(count), count[count > 0])
+        first = np.zeros(n + 1, np.int64)
+        np.cumsum(count, out=first[1:])
+        back = np.arange(m) + (into - first[:-1])[own]
+        value, what, to, final = value[back], what[back], to[back], final[back]
+        lo, hi = first[own], first[own + 1]
+        heads = first[:-1][count > 0]
+        if m:
+            top = np.flatnonzero(value == np.repeat(np.maximum.reduceat(value, heads), count[count > 0]))
+            top = top[np.r_[True, own[top[1:]] != own[top[:-1]]]]
+            for x in (value, what, to, final):
+                x[heads], x[top] = x[top], x[heads]
+        p = np.exp(value)
+        # the others are added up one by one: a difference of sums would lose the small ones
+        others, on, k = np.zeros(m), np.flatnonzero(hi - lo > 1), 0
+        while len(on):
+            e = lo[on] + k
+            others[on] += np.where(e == on, 0, p[e])
+            k += 1
+            on = on[e + 1 < hi[on]]
+        with np.errstate(divide="ignore"):
+            others = np.log(others)
+        run = np.cumsum(p)
+        base = (run - p)[lo]
+        total = run[hi - 1] - base
+        cum = np.minimum((run - base) / np.where(total > 0, total, 1), 1.0)
+        self._room(self.m + m)
+        for name, x in (("end", to + self.n), ("piece", what), ("logp", value), ("cum", cum), ("others", others), ("final", final)):
+            getattr(self, name)[self.m : self.m + m] = x
+        self.first = np.concatenate([self.first[:-1], (first + self.m).astype(np.int32)])
+        self.n, self.m = self.n + n, self.m + m
+
+    def _room(self, m: int) -> None:
+        if m <= len(self.end):
+            return
+        size = max(m, min(2 * len(self.end), 3 * SOLVED), len(self.end) + SOLVED // 4)
+        for name, kind in self.cols.items():
+            new = np.zeros(size, kind)
+            new[: self.m] = getattr(self, name)[: self.m]
+            setattr(self, name, new)
+
+    def start(self, edge: np.ndarray) -> np.ndarray:
+        return self.end[edge] - self.v.size[self.piece[edge]]
+
+    def draw(self, pos: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """An edge from each place; the likely ones come first, so most draws end at once."""
+        e, top = self.first[pos], self.first[pos + 1] - 1
+        on = np.flatnonzero((self.cum[e] <= u) & (e < top))
+        while len(on):
+            e[on] += 1
+            x = e[on]
+            on = on[(self.cum[x] <= u[on]) & (x < top[on])]
+        return e
 
 
 def units(v: Vocabulary, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -212,202 +298,223 @@ def _noise(seed: np.ndarray, salt: int, at: np.ndarray) -> np.ndarray:
     return T.uniform(T.mix(seed + np.uint64(salt * 0xD1342543DE82EF95 & (1 << 64) - 1) + at.astype(np.uint64) * _MULT))
 
 
-class _Paths:
-    """The edges of one path a row, in order, with bounds by row, the bytes where they begin, and log probabilities before each."""
-
-    def __init__(self, row, edge, byte, logp, n):
-        self.edge, self.byte, self.logp = edge, byte, logp
-        self.bounds = np.searchsorted(row, np.arange(n + 1))
-        self.row = row
-        run = np.cumsum(logp)
-        before = run - logp
-        start = self.bounds[:-1]
-        base = np.where(start < len(before), before[np.minimum(start, max(0, len(before) - 1))], 0) if len(before) else np.zeros(n)
-        self.before = before - base[row]
-        self.total = np.bincount(row, logp, n)
-
-
-def _walk(lat: Lattice, seed, salt, tok, pos, lo, unit_lo, row):
-    """Draws the rest of each token's unit from a lattice position: tokens, edges and bytes, in no order."""
-    toks, edges, bytes_, rounds = [], [], [], []
-    r = 0
+def _walk(lat: Lattice, seed: np.ndarray, salt: int, pos: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Draws the rest of each unit from a place in it, at a byte of its text: number of the unit, edge and byte, in order."""
+    toks, edges, places = [], [], []
+    tok, shift = np.arange(len(pos)), byte - pos
     while len(tok):
-        state = lat.state[pos]
-        byte = unit_lo[tok] + pos - lo[tok]
-        e = lat.draw(state, _noise(seed[row[tok]], salt, byte))
+        at = pos + shift[tok]
+        e = lat.draw(pos, _noise(seed[tok], salt, at))
         toks.append(tok)
         edges.append(e)
-        bytes_.append(byte)
-        rounds.append(np.full(len(tok), r))
-        on = ~lat.final[e]
-        tok, pos = tok[on], lat.end[e[on]]
-        r += 1
-    if not toks:
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    toks, edges, bytes_, rounds = map(np.concatenate, (toks, edges, bytes_, rounds))
-    count = np.bincount(toks)
-    place = (np.cumsum(count) - count)[toks] + rounds
-    out = [np.empty(len(toks), np.int64) for _ in range(3)]
-    for o, x in zip(out, (toks, edges, bytes_), strict=True):
-        o[place] = x
-    return tuple(out)
-
-
-def sample(v: Vocabulary, data: np.ndarray, offs: np.ndarray, seed: np.ndarray, k: int):
-    """Per path number t < k: (rows that have it, _Paths, lattice, perturbed, kappa), and the texts they cover."""
-    n = len(offs) - 1
-    text, toffs, bounds, row = units(v, data, offs)
-    size = np.diff(bounds)
-    h = T.span_hash(text, bounds[:-1], bounds[1:]) if len(size) else np.zeros(0, np.uint64)
-    _, which, kind = np.unique(h, return_index=True, return_inverse=True)
-    toff = np.r_[0, np.cumsum(size[which])].astype(np.int64)
-    src = np.repeat(bounds[:-1][which] - toff[:-1], size[which]) + np.arange(int(toff[-1]))
-    lat = Lattice(v, text[src], toff)
-    lo = toff[:-1][kind]
-    unit_lo = bounds[:-1] - toffs[row]  # bytes count from the text's own start, whatever chunk it is in
-    tok, edge, byte = _walk(lat, seed, 1, np.arange(len(size)), lo.copy(), lo, unit_lo, row)
-    paths = [_Paths(row[tok], edge, byte, lat.logp[edge], n)]
-    tokens = [tok]
-    every = np.arange(n)
-    perturbed = [-np.log(-np.log(_noise(seed, 2, np.zeros(n))))]
-    has = [np.ones(n, bool)]
-    queue = []  # (row, value, mass, path, step, taken edges)
-
-    def push(t, sel, taken, mass, limit, salt):
-        p = paths[t]
+        places.append(at)
+        on = np.flatnonzero(~lat.final[e])
+        tok, pos = tok[on], lat.end[e[on]].astype(np.int64)
+    count = np.bincount(np.concatenate(toks), minlength=len(byte)) if toks else np.zeros(0, np.int64)
+    head = np.cumsum(count) - count
+    edge, at = np.empty(int(count.sum()), np.int64), np.empty(int(count.sum()), np.int64)
+    for r, (tok, e, x) in enumerate(zip(toks, edges, places, strict=True)):
+        to = head[tok] + r
+        edge[to], at[to] = e, x
+    return np.repeat(np.arange(len(byte)), count), edge, at
+
+
+def _best(row: np.ndarray, value: np.ndarray, most: int) -> np.ndarray:
+    """Which entries are among the `most` largest of their row; rows come in order."""
+    if not len(row):
+        return np.zeros(0, np.int64)
+    value = value.copy()
+    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    size = np.diff(np.r_[start, len(row)])
+    keep = []
+    for _ in range(most):
+        top = np.repeat(np.maximum.reduceat(value, start), size)
+        hit = np.flatnonzero((value == top) & (top > -np.inf))
+        if not len(hit):
+            break
+        hit = hit[np.r_[True, row[hit[1:]] != row[hit[:-1]]]]
+        keep.append(hit)
+        value[hit] = -np.inf
+    return np.sort(np.concatenate(keep)) if keep else np.zeros(0, np.int64)
+
+
+class Paths:
+    """The edges of one path a row, in order, with bounds by row."""
+
+    def __init__(self, edge: np.ndarray, count: np.ndarray):
+        self.edge, self.bounds = edge, np.r_[0, np.cumsum(count)].astype(np.int64)
+
+
+class Search:
+    """The k best perturbed paths of every row of a chunk.
+
+    The queue holds subtrees: the edges not taken at one step of a path. As only the first k - t of a row can still be opened
+    after t paths, and one more gives kappa, no more than these are kept.
+    """
+
+    FIELDS = {"row": np.int64, "g": np.float64, "path": np.int64, "step": np.int64, "tok": np.int64, "byte": np.int64, "before": np.float64}
+
+    def __init__(self, lat: Lattice, data: np.ndarray, offs: np.ndarray, seed: np.ndarray, k: int):
+        self.lat, self.seed, self.k, self.n = lat, seed, k, len(offs) - 1
+        self.text, self.offs, bounds, self.row = units(lat.v, data, offs)
+        start, end = bounds[:-1], bounds[1:]
+        self.lo = lat.place(T.span_hash(self.text, start, end), self.text, start, end) if len(start) else np.zeros(0, np.int32)
+        self.at = start - self.offs[self.row]  # bytes count from the text's own start, whatever chunk it is in
+        self.paths: list[Paths] = []
+        self.perturbed = [-np.log(-np.log(_noise(seed, 2, np.zeros(self.n))))]
+        self.has = [np.ones(self.n, bool)]
+        self.queue = {f: np.zeros(0, kind) for f, kind in self.FIELDS.items()} | {"taken": np.zeros((0, k), np.int64)}
+        edge, count = self._rest(0, np.arange(len(start)), self.lo, self.at, np.zeros(self.n, np.int64), np.zeros(self.n), self.perturbed[0], 1, 3)
+        self.paths.append(Paths(edge, count))
+        for t in range(1, k):
+            self._open(t)
+        self.kappa = np.full(self.n, -np.inf)
+        np.maximum.at(self.kappa, self.queue["row"], self.queue["g"])
+
+    def _push(self, salt: int, mass: np.ndarray, limit: np.ndarray, most: int, **entry) -> None:
+        """Queues subtrees with their Gumbel maximum below `limit`; rows come in order."""
         with np.errstate(divide="ignore", invalid="ignore"):
-            u = _noise(seed[p.row[sel]], salt, p.byte[sel])
+            u = _noise(self.seed[entry["row"]], salt, entry["byte"])
             g = mass - np.log(np.exp(np.minimum(mass - limit, 700)) - np.log(u))
-        ok = np.isfinite(mass) & np.isfinite(g)
-        queue.append((p.row[sel][ok], g[ok], mass[ok], np.full(int(ok.sum()), t), sel[ok], taken[ok]))
-
-    def rest(t, sel, limit, salt):
-        p = paths[t]
-        e = p.edge[sel]
-        others = lat.first[lat.state[lat.start[e]] + 1] - lat.first[lat.state[lat.start[e]]] > 1
-        sel, limit = sel[others], limit[others]
-        e = p.edge[sel]
-        taken = np.full((len(sel), k), -1)
-        taken[:, 0] = e
-        with np.errstate(divide="ignore"):
-            left = np.log(np.maximum(_others(lat, e, taken), 0))
-        push(t, sel, taken, p.before[sel] + left, limit, salt)
-
-    sel = np.arange(len(edge))
-    rest(0, sel, perturbed[0][paths[0].row], 3)
-    kappa = np.full(n, -np.inf)
-    for t in range(1, k + 1):
-        q = [np.concatenate(x) for x in zip(*queue, strict=True)]
-        queue[:] = [tuple(q)]
-        best = np.full(n, -np.inf)
-        np.maximum.at(best, q[0], q[1])
-        if t == k:
-            kappa = best
-            break
-        cand = np.flatnonzero(q[1] == best[q[0]])
-        rows, first = np.unique(q[0][cand], return_index=True)
-        pick = cand[first]
-        g, mass, parent, step, taken = (x[pick] for x in q[1:])
-        queue[:] = [tuple(np.delete(x, pick, 0) for x in q)]
+        g[~(np.isfinite(mass) & np.isfinite(g))] = -np.inf
+        sel = _best(entry["row"], g, most)
+        entry["g"] = g
+        new = {f: np.concatenate([self.queue[f], entry[f][sel]]) for f in self.FIELDS}
+        taken = entry["taken"][sel]
+        if taken.ndim == 1:
+            taken = np.column_stack([taken, np.full((len(sel), self.k - 1), -1)])
+        new["taken"] = np.concatenate([self.queue["taken"], taken])
+        order = np.argsort(new["row"], kind="stable")
+        keep = order[_best(new["row"][order], new["g"][order], most)]
+        self.queue = {f: x[keep] for f, x in new.items()}
+
+    def _rest(self, t, tok, pos, byte, step, before, limit, salt_walk, salt_push):
+        """Draws the units `tok` from the places `pos` on for path t, a slice at a time, and queues what it leaves: edges, and their number by row.
+
+        step and before: the number of edges that each row's path has so far, and their log probability.
+        """
+        lat, found, most = self.lat, [], self.k - t
+        step, before, count = step.copy(), before.copy(), np.zeros(self.n, np.int64)
+        begin = step + EARLY
+        for a in range(0, len(tok), SLICE):
+            part = tok[a : a + SLICE]
+            who, edge, at = _walk(lat, self.seed[self.row[part]], salt_walk, pos[a : a + SLICE].astype(np.int64), byte[a : a + SLICE])
+            found.append(edge.astype(np.int32))
+            row = self.row[part][who]
+            some = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            size = np.diff(np.r_[some, len(row)])
+            logp = lat.logp[edge]
+            run = np.cumsum(logp)
+            ahead = run - logp
+            ahead += np.repeat(before[row[some]] - ahead[some], size)
+            place = np.arange(len(row)) + np.repeat(step[row[some]] - some, size)
+            early = place < begin[row]
+            # a subtree of mass x has its maximum below x + HIGHEST, so behind the early ones most can't come among those kept
+            for first in (True, False):
+                sel = np.flatnonzero(early if first else ~early & (ahead > self._least(most)[row] - HIGHEST))
+                sel = sel[lat.others[edge[sel]] > -np.inf]
+                e, r = edge[sel], row[sel]
+                self._push(salt_push, ahead[sel] + lat.others[e], limit[r], most, row=r, path=np.full(len(sel), t), step=place[sel], tok=part[who[sel]], byte=at[sel], before=ahead[sel], taken=e)
+            end = some + size - 1
+            step[row[some]] += size
+            count[row[some]] += size
+            before[row[some]] = ahead[end] + logp[end]
+        return np.concatenate(found) if found else np.zeros(0, np.int32), count
+
+    def _least(self, most: int) -> np.ndarray:
+        """What an entry of each row must exceed to be kept: the smallest of the `most` that it has, if it has as many."""
+        row, least = self.queue["row"], np.full(self.n, np.inf)
+        np.minimum.at(least, row, self.queue["g"])
+        least[np.bincount(row, minlength=self.n) < most] = -np.inf
+        return least
+
+    def _open(self, t: int) -> None:
+        """Path t of every row that has one: the largest subtree of its queue is opened."""
+        lat, n, q = self.lat, self.n, self.queue
+        pick = _best(q["row"], q["g"], 1)
+        x = {f: y[pick] for f, y in q.items()}
+        self.queue = {f: np.delete(y, pick, 0) for f, y in q.items()}
+        rows, parent, step, tok0, taken = x["row"], x["path"], x["step"], x["tok"], x["taken"]
         found = np.zeros(n, bool)
         found[rows] = True
         value = np.full(n, -np.inf)
-        value[rows] = g
-        # the edge at which each path leaves its parent: any that isn't taken
-        where = np.zeros(len(rows), np.int64)
-        for s in range(t):
-            m = parent == s
-            where[m] = paths[s].edge[step[m]]
-        state = lat.state[lat.start[where]]
-        left = _others(lat, where, taken)
-        bytes0 = np.zeros(len(rows), np.int64)
-        before0 = np.zeros(len(rows))
-        tok0 = np.zeros(len(rows), np.int64)
-        for s in range(t):
-            m = parent == s
-            bytes0[m], before0[m], tok0[m] = paths[s].byte[step[m]], paths[s].before[step[m]], tokens[s][step[m]]
-        u = _noise(seed[rows], 10 * t + 4, bytes0) * left
-        new = _pick(lat, state, taken, u)
-        # tokens after the branch are drawn afresh, the branch's own from the edge's end
-        last_tok = np.searchsorted(row, rows, "right")
-        count = last_tok - tok0 - 1
-        later = np.repeat(tok0 + 1 - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        value[rows] = x["g"]
+        pos = lat.start(taken[:, 0]).astype(np.int64)
+        left = self._left(pos, taken)
+        new = self._pick(pos, taken, _noise(self.seed[rows], 10 * t + 4, x["byte"]) * left)
+        # units after the branch are drawn afresh, the branch's own from the edge's end
         on = ~lat.final[new]
-        toks = np.concatenate([tok0[on], later])
-        pos = np.concatenate([lat.end[new[on]], lo[later]])
-        wtok, wedge, wbyte = _walk(lat, seed, 10 * t + 5, toks, pos, lo, unit_lo, row)
-        parts_row, parts_tok, parts_edge, parts_byte, rank = [], [], [], [], []
-        for s in range(t):
-            m = np.flatnonzero(parent == s)
-            begin = paths[s].bounds[rows[m]]
-            cnt = step[m] - begin
-            idx = np.repeat(begin - (np.cumsum(cnt) - cnt), cnt) + np.arange(int(cnt.sum()))
-            parts_row.append(np.repeat(rows[m], cnt))
-            parts_tok.append(tokens[s][idx])
-            parts_edge.append(paths[s].edge[idx])
-            parts_byte.append(paths[s].byte[idx])
-        head = sum(len(x) for x in parts_row)
-        parts_row += [rows, row[wtok]]
-        parts_tok += [tok0, wtok]
-        parts_edge += [new, wedge]
-        parts_byte += [bytes0, wbyte]
-        prow, ptok, pedge, pbyte = (np.concatenate(x).astype(np.int64) for x in (parts_row, parts_tok, parts_edge, parts_byte))
-        fresh = np.arange(len(prow)) >= head + len(rows)
-        order = np.lexsort((pbyte, prow))
-        prow, ptok, pedge, pbyte, fresh = prow[order], ptok[order], pedge[order], pbyte[order], fresh[order]
-        paths.append(_Paths(prow, pedge, pbyte, lat.logp[pedge], n))
-        tokens.append(ptok)
-        perturbed.append(value)
-        has.append(found)
+        begin = tok0 + ~on
+        size = np.searchsorted(self.row, rows, "right") - begin
+        tok = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        at, byte = self.lo[tok].astype(np.int64), self.at[tok].copy()
+        head = (np.cumsum(size) - size)[on]
+        at[head], byte[head] = lat.end[new[on]], x["byte"][on] + lat.v.size[lat.piece[new[on]]]
+        steps, before = np.zeros(n, np.int64), np.zeros(n)
+        steps[rows], before[rows] = step + 1, x["before"] + lat.logp[new]
         # what the opened subtree still holds
         taken = taken.copy()
         taken[np.arange(len(rows)), (taken >= 0).sum(1)] = new
         with np.errstate(divide="ignore"):
-            mass = before0 + np.log(np.maximum(_others(lat, where, taken), 0))
+            mass = x["before"] + np.log(self._left(pos, taken))
+        self._push(10 * t + 6, mass, x["g"], self.k - t, row=rows, path=parent, step=step, tok=tok0, byte=x["byte"], before=x["before"], taken=taken)
+        edge, count = self._rest(t, tok, at, byte, steps, before, value, 10 * t + 5, 10 * t + 7)
+        total = np.zeros(n, np.int64)
+        total[rows] = step + 1 + count[rows]
+        path = Paths(np.empty(int(total.sum()), np.int32), total)
+        base = path.bounds[rows]
         for s in range(t):
-            m = parent == s
-            push(s, step[m], taken[m], mass[m], g[m], 10 * t + 6)
-        sel = np.flatnonzero(fresh)
-        rest(t, sel, value[prow[sel]], 10 * t + 7)
-    return every, lat, paths, has, perturbed, kappa, text, toffs
-
-
-def _expand(lat: Lattice, state: np.ndarray):
-    a, b = lat.first[state], lat.first[state + 1]
-    cnt = b - a
-    who = np.repeat(np.arange(len(state)), cnt)
-    return who, np.repeat(a - (np.cumsum(cnt) - cnt), cnt) + np.arange(int(cnt.sum()))
-
-
-def _others(lat: Lattice, edge: np.ndarray, taken: np.ndarray) -> np.ndarray:
-    """The probability at each edge's state of the edges not taken; 0 exactly if there are none."""
-    who, e = _expand(lat, lat.state[lat.start[edge]])
-    free = np.ones(len(e), bool)
-    for c in range(taken.shape[1]):
-        if (taken[:, c] >= 0).any():
-            free &= e != taken[who, c]
-    return np.bincount(who, np.where(free, lat.p[e], 0), len(edge))
-
-
-def _pick(lat: Lattice, state, taken, u):
-    who, e = _expand(lat, state)
-    free = np.ones(len(e), bool)
-    for c in range(taken.shape[1]):
-        free &= e != taken[who, c]
-    who, e = who[free & (lat.p[e] > 0)], e[free & (lat.p[e] > 0)]
-    run = np.cumsum(lat.p[e])
-    first = np.searchsorted(who, np.arange(len(state)))
-    run -= (run[first] - lat.p[e[first]])[who]
-    below = np.bincount(who, run <= u[who], len(state)).astype(np.int64)
-    last = np.searchsorted(who, np.arange(len(state)), "right") - 1
-    return e[np.minimum(first + below, last)]
+            m = np.flatnonzero(parent == s)
+            skip = np.arange(int(step[m].sum())) - np.repeat(np.cumsum(step[m]) - step[m], step[m])
+            path.edge[np.repeat(base[m], step[m]) + skip] = self.paths[s].edge[np.repeat(self.paths[s].bounds[rows[m]], step[m]) + skip]
+        path.edge[base + step] = new
+        walked = count[rows]
+        path.edge[np.repeat(base + step + 1 - (np.cumsum(walked) - walked), walked) + np.arange(len(edge))] = edge
+        self.paths.append(path)
+        self.perturbed.append(value)
+        self.has.append(found)
+
+    def _left(self, pos: np.ndarray, taken: np.ndarray) -> np.ndarray:
+        """The probability at each place of the edges not taken; 0 exactly if there are none."""
+        who, e = _expand(self.lat.first, pos)
+        free = ~(e[:, None] == taken[who]).any(1)
+        return np.bincount(who, np.where(free, np.exp(self.lat.logp[e]), 0), len(pos))
+
+    def _pick(self, pos: np.ndarray, taken: np.ndarray, u: np.ndarray) -> np.ndarray:
+        who, e = _expand(self.lat.first, pos)
+        free = ~(e[:, None] == taken[who]).any(1) & (self.lat.logp[e] > -700)
+        who, e = who[free], e[free]
+        p = np.exp(self.lat.logp[e])
+        run = np.cumsum(p)
+        first = np.searchsorted(who, np.arange(len(pos)))
+        run -= (run[first] - p[first])[who]
+        below = np.bincount(who, run <= u[who], len(pos)).astype(np.int64)
+        last = np.searchsorted(who, np.arange(len(pos)), "right") - 1
+        return e[np.minimum(first + below, last)]
+
+
+def _expand(first: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, n = first[pos].astype(np.int64), (first[pos + 1] - first[pos]).astype(np.int64)
+    return np.repeat(np.arange(len(pos)), n), np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def decode_flat(v: Vocabulary, ids: np.ndarray) -> np.ndarray:
     """The bytes of a flat run of ids, leading spaces included."""
-    size = v.size[ids]
-    return v.pool[np.repeat(v.at[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    raw = v.pieces.take(pa.array(ids, pa.int32())).buffers()[2] if len(ids) else None
+    return np.frombuffer(raw, np.uint8)[: int(v.size[ids].sum())] if raw is not None else np.zeros(0, np.uint8)
+
+
+def _same(text: np.ndarray, bounds: np.ndarray, back: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which rows of the text equal the rows of `back`, of these sizes."""
+    good = np.diff(bounds) == size
+    if good.all():
+        bad = np.flatnonzero(text != back)
+        good[np.searchsorted(bounds, bad, "right") - 1] = False
+        return good
+    ends = np.cumsum(size)
+    for i in np.flatnonzero(good):
+        good[i] = np.array_equal(text[bounds[i] : bounds[i + 1]], back[ends[i] - size[i] : ends[i]])
+    return good
 
 
 def encode(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed: int = 0, model: str = MODEL) -> DataFrame:
@@ -415,36 +522,32 @@ def encode(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed: int = 0, model
 
     def run(batches):
         v = vocabulary(model, alpha)
-        for rows, data, offs in T.chunks(batches, 2 << 20):
+        lat = Lattice(v)
+        for rows, data, offs in T.chunks(batches, CHUNK):
             n = len(offs) - 1
             key = T.mix(rows.column(1).to_numpy().view(np.uint64) + np.uint64(seed * 2 + 1))
-            every, lat, paths, has, perturbed, kappa, text, toffs = sample(v, data, offs, key, k)
-            for t, p in enumerate(paths):
-                count = np.diff(p.bounds)
+            found = Search(lat, data, offs, key, k)
+            for t, p in enumerate(found.paths):
+                count, has = np.diff(p.bounds), found.has[t]
                 ids = lat.piece[p.edge]
-                ends = np.r_[0, np.cumsum(v.size[ids])]
-                back = decode_flat(v, ids)
-                want = text if has[t].all() else text[np.repeat(has[t], np.diff(toffs))]
-                fine = len(back) == len(want)
-                row_bytes = np.where(has[t], np.diff(toffs), 0)
-                good = ends[p.bounds[1:]] - ends[p.bounds[:-1]] == row_bytes
-                if fine and len(back):
-                    bad = np.flatnonzero(back != want)
-                    good[np.searchsorted(np.cumsum(row_bytes), bad, "right")] = False
+                total = np.bincount(np.repeat(np.arange(n), count), lat.logp[p.edge], n)
+                size = np.bincount(np.repeat(np.arange(n), count), v.size[ids], n).astype(np.int64)
+                sel = np.flatnonzero(has)
+                want, bounds = (found.text, found.offs) if has.all() else (found.text[np.repeat(has, np.diff(found.offs))], np.r_[0, np.cumsum(np.diff(found.offs)[sel])])
+                good = _same(want, bounds, decode_flat(v, ids), size[sel])
                 with np.errstate(over="ignore", divide="ignore"):
-                    x = np.exp(np.minimum(p.total - kappa, 700))
-                    log_in = np.where(x < 1e-9, p.total - kappa, np.log(-np.expm1(-x)))
-                sel = np.flatnonzero(has[t])
+                    x = np.exp(np.minimum(total - found.kappa, 700))
+                    log_in = np.where(x < 1e-9, total - found.kappa, np.log(-np.expm1(-x)))
                 # a row without this path has no pieces either, so the flat ids serve as they are
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0).take(pa.array(sel)),
                         pa.array(np.full(len(sel), t + 1), pa.int32()),
                         T.lists(ids, count[sel], pa.int32()),
-                        pa.array(p.total[sel], pa.float64()),
-                        pa.array(perturbed[t][sel], pa.float64()),
+                        pa.array(total[sel], pa.float64()),
+                        pa.array(found.perturbed[t][sel], pa.float64()),
                         pa.array(log_in[sel], pa.float64()),
-                        pa.array(good[sel]),
+                        pa.array(good),
                     ],
                     names=["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion", "round_trip"],
                 )
