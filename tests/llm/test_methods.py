@@ -80,16 +80,90 @@ def test_leaks_against_brute_force(spark):
     assert {d for d, _ in got} <= set(range(0, 120, 3))
 
 
-def test_vocabulary_too_large_for_a_square(spark, documents, monkeypatch):
+def test_every_pair_of_a_table_by_alignment_alone(spark):
+    """No retrieval at all: each item against the surroundings of each block and each two blocks of each document."""
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    own = decontam.items(bench)
+    encoded = decontam.encode(docs, own).cache()
+    w, _ = decontam.weights(encoded, own, 0.04)
+    want = set()
+    for r in encoded.collect():
+        code = np.frombuffer(r.codes, own.kind).astype(np.int64)
+        for k, item in enumerate(own.codes):
+            inside = np.r_[0, np.cumsum(np.isin(code, item))]
+            for at in range(0, len(code), decontam.BLOCK):
+                for width in (1, 2):
+                    lo, hi = max(0, at - len(item)), min(len(code), at + width * decontam.BLOCK + len(item))
+                    n, used = decontam.common_words(item, code[lo:hi]) if inside[hi] - inside[lo] >= 0.6 * len(item) else (0, None)
+                    share, heavy = n / len(item), w[item - 1] > 0
+                    if share >= 0.8 or (share >= 0.6 and used[own.answers[k] :].mean() >= 0.5 and used[heavy].sum() >= 0.5 * heavy.sum()):
+                        want.add((r.doc_id, own.ids[k]))
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()} == want and len(want) > 10
+
+
+@pytest.mark.parametrize("lost", [0, 1, 3, 4])
+def test_a_copy_that_lost_its_rare_words(spark, lost):
+    """40 words of which 4 are rare; the copy has all the common ones and the rare ones but `lost`."""
+    rng = random.Random(1)
+    common = [f"c{i}" for i in range(60)]
+    item = rng.sample(common, 36)
+    for i, at in enumerate((3, 14, 25, 36)):
+        item.insert(at, f"rare{i}")
+    gone = {f"rare{i}" for i in range(lost)}
+    say = lambda: rng.choices(common, k=200)
+    docs = [(d, " ".join(say())) for d in range(300)] + [(1000, " ".join([*say()[:70], *(x for x in item if x not in gone), *say()[:70]]))]
+    bench = [(1, " ".join(item)), *((k, " ".join(rng.choices(common, k=30) + [f"o{k}"] * 5)) for k in range(2, 20))]
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).filter("doc_id = 1000 and item_id = 1").collect()
+    assert [(r.kind, round(r.lcs, 3)) for r in got] == [("copy", (40 - lost) / 40)]
+
+
+def test_sums_of_long_runs():
+    rng = np.random.default_rng(0)
+    size = np.array([0, 1, 300, 0, 64, 65, 5000, 2])
+    table, pick, x = rng.standard_normal((50, 4)), rng.integers(0, 50, size.sum()), rng.standard_normal(size.sum())
+    ends = np.cumsum(size)
+    assert np.allclose(decontam._sums(table, pick, x, size), [(table[pick[e - n : e]] * x[e - n : e, None]).sum(0) for n, e in zip(size, ends, strict=True)])
+
+
+def test_latent_space_is_the_leading_one(spark, documents):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     own = decontam.items(bench)
     encoded = decontam.encode(documents, own).cache()
     w, n = decontam.weights(encoded, own, 0.04)
-    m = np.random.default_rng(0).standard_normal((len(w), 8))
-    square = decontam._gram(encoded, own, w, m)
-    monkeypatch.setattr(decontam, "DENSE", 0)
-    loop = decontam._gram(encoded, own, w, m)
-    assert np.allclose(square, loop, rtol=1e-3, atol=1e-3)
+    gram = decontam._gram(encoded, own, w, np.eye(len(w)))
+    a = []
+    for r in encoded.collect():
+        code = np.frombuffer(r.codes, own.kind).astype(np.int64)
+        for at in range(0, len(code), decontam.BLOCK):
+            x = np.bincount(code[at : at + decontam.BLOCK], minlength=len(w) + 1)[1:] * w
+            a.append(x / max(np.linalg.norm(x), 1e-12))
+    assert np.allclose(gram, np.array(a).T @ np.array(a), atol=1e-3)
+    size, word, x = decontam.weighted_items(own, w)
+    rows = np.zeros((len(size), len(w)))
+    rows[np.repeat(np.arange(len(size)), size), word] = x
+    full = gram + max(1.0, 0.1 * n / len(size)) * rows.T @ rows
+    q = decontam.latent(encoded, own, w, n, 64)
+    assert np.allclose(q.T @ q, np.eye(64), atol=1e-6)
+    best = np.linalg.eigvalsh(full)[::-1][:64].sum()
+    assert np.trace(q.T @ full @ q) > 0.97 * best
+
+
+def test_hash_lookup():
+    known = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    known[:3] = [0, 1, 2]
+    look = lattice.T.Lookup(known)
+    assert (look.find(known) == np.arange(len(known))).all() and (look.find(known + np.uint64(1))[3:] == -1).all()
+    assert lattice.T.Lookup(known[:0]).find(known[:9]).tolist() == [-1] * 9
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=9), min_size=1, max_size=40), st.integers(0, 3))
+def test_span_hashes_do_not_depend_on_place(parts, gap):
+    data = (b"-" * gap).join(parts)
+    size = np.array([len(x) for x in parts])
+    start = np.cumsum(size + gap) - size - gap
+    h = lattice.T.span_hash(np.frombuffer(data, np.uint8), start, start + size)
+    assert all((a == b) == (x == y) for a, x in zip(h, parts, strict=True) for b, y in zip(h, parts, strict=True))
 
 
 def test_languages(spark, documents):

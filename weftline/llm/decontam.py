@@ -1,19 +1,21 @@
 """Benchmark decontamination by latent semantic retrieval and alignment.
 
 A first pass writes every document as word numbers of the benchmark's vocabulary (0 for other words, which can match no
-item). Documents are cut into blocks of BLOCK words, and a passage is two neighbouring blocks, so each place is in
-two passages. Weights are tf-idf with frequencies over all blocks, less a floor that silences words in more than a share
-`common` of the blocks; each item's RAREST rarest words keep a weight. The latent space is a randomised SVD of the
-blocks of all documents together with the items: a random test matrix goes once through A^T A in a distributed pass, the
-result is orthonormalised, and a second pass gives the projected problem that a small eigenproblem solves. Every passage
-is a query: the items with which it shares weighted words (two of an item of at most a passage's length, else one) and
-has a latent cosine of `near` or more are its candidates.
+item). Documents are cut into blocks of BLOCK words; a passage is a block or two neighbouring ones, so each place is in
+several passages. Weights are tf-idf with frequencies over all blocks, less a floor that silences words in more than a share
+`common` of the blocks; each item's rarest words, up to a third of its length, keep a weight all the same. The latent space is a randomised
+SVD of the blocks of all documents together with the items: a random test matrix goes once through A^T A in a distributed
+pass, and the Nystrom form of the product gives the leading singular vectors. Every passage is then compared with every item in
+the latent space, as products of blocks of rows; the items at a cosine of `near` or more are its candidates, and so are those of which its surroundings
+hold as many weighted words as a copy must have.
 
 A candidate's surroundings (the passage and an item's length on either side) are aligned with the item by their longest common
 subsequence of words. A share of `copy` is a copy. From `paraphrase` on, the answer must be there too: the share `answer` of the
 item's answer, which is what follows "answer:", else its last third, is in the subsequence; and so must be half of its weighted words.
+What can't pass any more is not aligned: an alignment takes no more of the weighted words, and of all words, than the surroundings hold.
+A copy lacks at most a fifth of the words, so some of its weighted ones are always there, and no copy is missed.
 
-Defined results. One row for each document and item, at its best place; documents are rows, so repeated rows give repeated results. Null, empty and wordless texts and items
+Defined results. One row for each document and item, at its best place: the largest share, of equal ones that with the larger cosine, then the first. Documents are rows, so repeated rows give repeated results. Null, empty and wordless texts and items
 give none. Items with equal texts are all reported. A null doc_id or item_id stays null. Extra columns are ignored. No benchmark or no
 documents: no rows.
 """
@@ -33,8 +35,9 @@ from . import textcore as T
 from .session import cut, without
 
 BLOCK = 32
-RAREST = 4
-DENSE = 6000  # words up to which a square matrix of the vocabulary is held
+LEAST = 1 / 3  # of an item's words keep a weight
+FAN = 16  # arrays that a task adds up
+LONG = 64
 SCHEMA = "doc_id long, th long, item_id long, start_word int, cosine double, lcs double, kind string"
 
 
@@ -70,12 +73,12 @@ def encode(docs: DataFrame, own: Items) -> DataFrame:
     vocab, kind = own.vocab, own.kind
 
     def run(batches):
+        known = T.Lookup(vocab)
         for rows, data, offs in T.chunks(batches):
             _, _, row, h = T.words(data, offs)
             if not len(h) or not len(vocab):
                 continue
-            at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-            code = np.where(vocab[at] == h, at + 1, 0).astype(kind)
+            code = (known.find(h) + 1).astype(kind)
             some = np.unique(row[code > 0])
             bounds = np.searchsorted(row, np.arange(rows.num_rows + 1))
             raw = [code[bounds[i] : bounds[i + 1]].tobytes() for i in some]
@@ -107,17 +110,16 @@ def _pieces(batches, words: int = 1 << 19):
 
 
 def _terms(code: np.ndarray, bounds: np.ndarray, first: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(block, word, tf * weight) of the weighted words, by block; words count from 0."""
+    """(block, word, times) of the weighted words, by block; words count from 0."""
     at = np.flatnonzero((code > 0) & (weight[code - 1] > 0))
     row = np.searchsorted(bounds, at, "right") - 1
     key = (first[row] + (at - bounds[row]) // BLOCK) * len(weight) + code[at] - 1
     key, n = np.unique(key, return_counts=True)
-    word = key % len(weight)
-    return key // len(weight), word, n * weight[word]
+    return key // len(weight), key % len(weight), n
 
 
 def _sum_arrays(rows: DataFrame, shape: tuple[int, ...], part) -> np.ndarray:
-    """The sum of part(batch) over all rows; one array a partition, added up in two levels."""
+    """The sum of part(batch) over all rows: one array a partition, and FAN of them a task until few are left."""
 
     def run(batches):
         total = np.zeros(shape)
@@ -130,11 +132,15 @@ def _sum_arrays(rows: DataFrame, shape: tuple[int, ...], part) -> np.ndarray:
         for b in batches:
             for x in b.column(0):
                 total += np.frombuffer(x.as_py(), np.float32).reshape(shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["x"])
 
+    sums, n = rows.mapInArrow(run, "x binary"), rows.rdd.getNumPartitions()
+    while n > 4:
+        n = -(-n // FAN)
+        sums = sums.repartition(n).mapInArrow(add, "x binary")
     out = np.zeros(shape)
-    for r in rows.mapInArrow(run, "x binary").repartition(4).mapInArrow(add, "x binary").toArrow()["x"]:
-        out += np.frombuffer(r.as_py()).reshape(shape)
+    for r in sums.toArrow()["x"]:
+        out += np.frombuffer(r.as_py(), np.float32).reshape(shape)
     return out
 
 
@@ -154,8 +160,9 @@ def weights(encoded: DataFrame, own: Items, common: float) -> tuple[np.ndarray,
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1e-3
     w = np.maximum(idf - np.log(1 / common), 0)
     for c in own.codes:
-        c = np.unique(c) - 1
-        rare = c[np.lexsort((c, -idf[c]))][:RAREST]
+        word, n = np.unique(c - 1, return_counts=True)
+        order = np.lexsort((word, -idf[word]))
+        rare = word[order][: 1 + np.searchsorted(np.cumsum(n[order]), LEAST * len(c))]
         w[rare] = np.maximum(w[rare], idf[rare] / 4)
     return w, df[-1]
 
@@ -164,19 +171,16 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def item_matrix(own: Items, w: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(own.codes), len(w)))
-    for i, c in enumerate(own.codes):
-        np.add.at(x[i], c - 1, w[c - 1])
-    return _normal(x)
-
-
-def _pairs(size_a: np.ndarray, start_a: np.ndarray, size_b: np.ndarray, start_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(group, i, j) of every place in each run of a with every place in the same group's run of b."""
-    n = size_a * size_b
-    g = np.repeat(np.arange(len(n)), n)
-    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    return g, start_a[g] + k // size_b[g], start_b[g] + k % size_b[g]
+def weighted_items(own: Items, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, word, x): the items' weighted words, sizes by item, scaled to unit rows."""
+    size, words, values = [], [], []
+    for c in own.codes:
+        word, n = np.unique(c[w[c - 1] > 0] - 1, return_counts=True)
+        x = n * w[word]
+        size.append(len(word))
+        words.append(word)
+        values.append(x / max(np.linalg.norm(x), 1e-12))
+    return np.array(size, np.int64), np.concatenate(words).astype(np.int64), np.concatenate(values)
 
 
 def _runs(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,50 +196,65 @@ def _parts(cost: np.ndarray, step: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
 
-def _gram(encoded: DataFrame, own: Items, w: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """A^T A m over the unit rows A of all blocks.
+def _sums(table: np.ndarray, pick: np.ndarray, x: np.ndarray, size: np.ndarray, step: int = 4096) -> np.ndarray:
+    """A row for each run of entries: the sum of x times the picked rows of the table. Runs are walked side by side, a long one in parts."""
+    if size.max(initial=0) > LONG:
+        parts = -(-size // LONG)
+        own = np.full(int(parts.sum()), LONG)
+        own[(np.cumsum(parts) - 1)[parts > 0]] = (size - (parts - 1) * LONG)[parts > 0]
+        return _sums(_sums(table, pick, x, own, step), np.arange(len(own)), np.ones(len(own), table.dtype), parts, step)
+    order = np.argsort(-size, kind="stable")
+    start, size = (np.cumsum(size) - size)[order], size[order]
+    total = np.zeros((len(size), table.shape[1]), table.dtype)
+    for k in range(int(size.max(initial=0))):
+        n = int(np.searchsorted(-size, -k))
+        for a in range(0, n, step):
+            e = start[a : min(n, a + step)] + k
+            y = table[pick[e]]
+            y *= x[e, None]
+            total[a : a + len(e)] += y
+    out = np.empty_like(total)
+    out[order] = total
+    return out
 
-    As blocks hold few weighted words, a batch's own A^T A is summed from their pairs and multiplied once where it fits in memory;
-    a larger vocabulary goes through A block by block. Both give the same sums.
-    """
-    kind, v = own.kind, len(w)
+
+def _gram(encoded: DataFrame, own: Items, w: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """A^T A m over the unit rows A of all blocks, whose entries are never made dense."""
+    kind = own.kind
     m32 = m.astype(np.float32)
 
     def part(b):
-        block, word, x = _terms(*_blocks(b, kind)[:3], w)
-        if not len(block):
-            return 0
-        start, size = _runs(block)
-        x = x / np.repeat(np.sqrt(np.add.reduceat(x * x, start)), size)
-        if v <= DENSE:
-            g = np.zeros(v * v, np.float32)
-            for a, z in _parts(size * size, 1 << 21):
-                _, i, j = _pairs(size[a:z], start[a:z], size[a:z], start[a:z])
-                g += np.bincount(word[i] * v + word[j], x[i] * x[j], v * v).astype(np.float32)
-            return g.reshape(v, v) @ m32
         out = np.zeros(m.shape)
-        x = x.astype(np.float32)
-        for a, z in _parts(size, 1 << 12):
-            lo, hi = start[a], start[a] + size[a:z].sum()
-            y = np.add.reduceat(m32[word[lo:hi]] * x[lo:hi, None], start[a:z] - lo, axis=0)
-            order = np.argsort(word[lo:hi], kind="stable")
-            heads, _ = _runs(word[lo:hi][order])
-            who = np.repeat(np.arange(z - a), size[a:z])
-            out[word[lo:hi][order][heads]] += np.add.reduceat(y[who[order]] * x[lo:hi][order, None], heads, axis=0)
+        for piece in _pieces([b]):
+            block, word, n = _terms(*_blocks(piece, kind)[:3], w)
+            if not len(block):
+                continue
+            start, size = _runs(block)
+            x = n * w[word]
+            x = (x / np.repeat(np.sqrt(np.add.reduceat(x * x, start)), size)).astype(np.float32)
+            y = _sums(m32, word, x, size)
+            order = np.argsort(word, kind="stable")
+            heads, count = _runs(word[order])
+            out[word[order][heads]] += _sums(y, np.repeat(np.arange(len(size)), size)[order], x[order], count)
         return out
 
     return _sum_arrays(encoded, m.shape, part)
 
 
 def latent(encoded: DataFrame, own: Items, w: np.ndarray, n_blocks: float, rank: int, seed: int = 5) -> np.ndarray:
-    """(words, rank) leading right singular vectors. The items count as rows too, with a tenth of the blocks' weight in all."""
-    x = item_matrix(own, w)
-    load = max(1.0, 0.1 * n_blocks / len(x))
-    l = min(rank, len(w))
-    omega = np.random.default_rng(seed).standard_normal((len(w), l))
-    q = np.linalg.qr(_gram(encoded, own, w, omega) + load * (x.T @ (x @ omega)))[0]
-    small = q.T @ (_gram(encoded, own, w, q) + load * (x.T @ (x @ q)))
-    return q @ np.linalg.eigh((small + small.T) / 2)[1][:, ::-1]
+    """(words, rank) leading right singular vectors. The items count as rows too, with a tenth of the blocks' weight in all.
+
+    With G = A^T A and a random Omega, G is close to (G Omega)(Omega^T G Omega)^-1 (G Omega)^T, so one pass over the blocks is enough.
+    """
+    size, word, x = weighted_items(own, w)
+    load = max(1.0, 0.1 * n_blocks / len(size))
+    l = min(rank + 32, len(w))
+    omega = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(w), l)))[0]
+    y = _gram(encoded, own, w, omega)
+    np.add.at(y, word, load * x[:, None] * np.repeat(_sums(omega, word, x, size), size, axis=0))
+    small, v = np.linalg.eigh(omega.T @ y / 2 + y.T @ omega / 2)
+    some = small > 1e-6 * small[-1]
+    return np.linalg.svd(y @ (v[:, some] / np.sqrt(small[some])), full_matrices=False)[0][:, :rank]
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray]:
@@ -270,8 +289,11 @@ def common_words(a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def judge(code: np.ndarray, item: np.ndarray, answer_at: int, w: np.ndarray, lo: int, hi: int, copy: float, paraphrase: float, answer: float) -> tuple[float, str | None]:
-    """The share of the item in code[lo:hi], and what it is."""
-    n, used = common_words(item, code[lo:hi])
+    """The share of the item in code[lo:hi], and what it is; 0 where the words there can't be enough."""
+    around, item_set = code[lo:hi], np.unique(item)
+    if np.minimum(*(np.bincount(x, minlength=len(w) + 1)[item_set] for x in (item, around))).sum() < min(copy, paraphrase) * len(item):
+        return 0.0, None
+    n, used = common_words(item, around)
     share = n / len(item)
     if share >= copy:
         return share, "copy"
@@ -290,89 +312,69 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, common: float
     encoded = cut(encoded)
     w, n_blocks = weights(encoded, own, common)
     space = latent(encoded, own, w, n_blocks, rank).astype(np.float32)
-    matrix = item_matrix(own, w)
-    target = _normal(matrix @ space).astype(np.float32)
+    held, word_of, x_of = weighted_items(own, w)
+    target = _normal(_sums(space, word_of, x_of.astype(np.float32), held))
     kind, v, n_items = own.kind, len(w), len(own.codes)
-    item_of, word_of = np.nonzero(matrix)
-    by_word = np.argsort(word_of, kind="stable")
-    # words that a passage must share with an item: two where the item fits into a passage and weighs four or more, as an alignment takes half of them
-    enough = np.array([2 if len(c) <= 2 * BLOCK and (r > 0).sum() >= RAREST else 1 for c, r in zip(own.codes, matrix, strict=True)])
-    posted, post_at = item_of[by_word], np.searchsorted(word_of[by_word], np.arange(v + 1))
+    length = np.array([len(c) for c in own.codes])
+    weighty = np.array([(w[c - 1] > 0).sum() for c in own.codes])
+    # of an item's weighted words, a copy takes all but those among the words it may lack, and a paraphrase half
+    if_copy = weighty - np.floor((1 - copy) * length + 1e-9)
+    need = np.minimum(if_copy, np.ceil(weighty / 2))
+    reach = -(-length // BLOCK)
+    item_of = np.repeat(np.arange(n_items), held)
+    step = max(16, min(512, (64 << 20) // v))
+
+    def retrieve(word, times, size, live, row, first, after):
+        """(first live block, item, cosine, blocks) of the candidates; first and after: the blocks that begin and follow each row."""
+        z = _sums(space, word, (times * w[word]).astype(np.float32), size)
+        pair = np.flatnonzero((live[1:] == live[:-1] + 1) & (row[1:] == row[:-1]))
+        norm = np.einsum("ij,ij->i", z, z)
+        joint = norm[pair] + norm[pair + 1] + 2 * np.einsum("ij,ij->i", z[pair], z[pair + 1])
+        found = [(np.zeros(0, np.int64),) * 4]
+        for a in range(0, n_items, step):
+            inner = z @ target[a : a + step].T
+            member = np.zeros((v, inner.shape[1]), np.float32)
+            own = slice(*np.searchsorted(item_of, [a, a + step]))
+            member[word_of[own], item_of[own] - a] = 1
+            held_before = np.zeros((len(z) + 1, inner.shape[1]), np.float32)
+            np.cumsum(_sums(member, word, times.astype(np.float32), size), axis=0, out=held_before[1:])
+            for at, value, square, width in ((np.arange(len(z)), inner, norm, 1), (pair, inner[pair] + inner[pair + 1], joint, 2)):
+                value = value / np.sqrt(np.maximum(square, 1e-12))[:, None]
+                for q in np.unique(reach[a : a + step]).tolist():
+                    k = np.flatnonzero(reach[a : a + step] == q)
+                    lo = np.searchsorted(live, np.maximum(first[row[at]], live[at] - q))
+                    hi = np.searchsorted(live, np.minimum(after[row[at]], live[at] + width + q))
+                    shared = (held_before[hi] - held_before[lo])[:, k]
+                    i, j = np.nonzero((shared >= need[a + k]) & ((value[:, k] >= near) | (shared >= if_copy[a + k])))
+                    found.append((at[i], k[j] + a, value[i, k[j]], np.full(len(i), width)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def run(batches):
-        near_words = space @ space.T if v <= DENSE else None
-        near_items = space @ target.T if v <= DENSE else None
-
-        def product(i, table, other, j):
-            """Inner products of the words i with rows j of `other`, in the latent space."""
-            if table is not None:
-                return table[i, j]
-            return np.concatenate([np.zeros(0, np.float32), *(np.einsum("ij,ij->i", space[i[a : a + 4096]], other[j[a : a + 4096]]) for a in range(0, len(i), 4096))])
-
         for b in _pieces(batches):
             code, bounds, first, count = _blocks(b, kind)
-            block, word, x = _terms(code, bounds, first, w)
+            block, word, times = _terms(code, bounds, first, w)
             if not len(block):
                 continue
             start, size = _runs(block)
             live = block[start]
             row = np.searchsorted(first, live, "right") - 1
-            pair = np.flatnonzero((live[1:] == live[:-1] + 1) & (row[1:] == row[:-1]))
-
-            def inner(p, q):
-                out = np.zeros(len(p))
-                for a, z in _parts(size[p] * size[q], 1 << 20):
-                    g, i, j = _pairs(size[p[a:z]], start[p[a:z]], size[q[a:z]], start[q[a:z]])
-                    out[a:z] = np.bincount(g, x[i] * x[j] * product(word[i], near_words, space, word[j]), z - a)
-                return out
-
-            # only an item that shares weighted words with the passage can pass the alignment
-            n = post_at[word + 1] - post_at[word]
-            at = np.repeat(post_at[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            alone, shared = np.unique(np.repeat(np.repeat(np.arange(len(live)), size), n) * n_items + posted[at], return_counts=True)
-            left, right = np.full(len(live), -1), np.full(len(live), -1)
-            right[pair], left[pair + 1] = np.arange(len(pair)), np.arange(len(pair))
-            who, what = alone // n_items, alone % n_items
-            sides = [(side[who[side[who] >= 0]] * n_items + what[side[who] >= 0], shared[side[who] >= 0]) for side in (left, right)]
-            both, back = np.unique(np.concatenate([k for k, _ in sides]), return_inverse=True)
-            both = both[np.bincount(back, np.concatenate([c for _, c in sides]), len(both)) >= enough[both % n_items]]
-            alone = alone[shared >= enough[what]]
-            p, k = both // n_items, both % n_items
-            blocks = np.unique(np.concatenate([alone // n_items, pair[p], pair[p] + 1]))
-            norm = np.zeros(len(live))
-            norm[blocks] = inner(blocks, blocks)
-            joint = np.zeros(len(pair))
-            meet = np.unique(p)
-            joint[meet] = norm[pair[meet]] + norm[pair[meet] + 1] + 2 * inner(pair[meet], pair[meet] + 1)
-            known = np.unique(np.concatenate([alone, pair[p] * n_items + k, (pair[p] + 1) * n_items + k]))
-            who, what = known // n_items, known % n_items
-            value = np.zeros(len(known))
-            for a, z in _parts(size[who], 1 << 20):
-                g, i, _ = _pairs(size[who[a:z]], start[who[a:z]], np.ones(z - a, np.int64), np.zeros(z - a, np.int64))
-                value[a:z] = np.bincount(g, x[i] * product(word[i], near_items, target, what[a:z][g]), z - a)
-            of = lambda key: value[np.searchsorted(known, key)]
-            who, what = alone // n_items, alone % n_items
-            cosine = np.concatenate([of(alone) / np.sqrt(np.maximum(norm[who], 1e-12)), (of(pair[p] * n_items + k) + of((pair[p] + 1) * n_items + k)) / np.sqrt(np.maximum(joint[p], 1e-12))])
-            begin = np.concatenate([who, pair[p]])
-            width = np.concatenate([np.ones(len(who), np.int64), np.full(len(p), 2)])
-            item_no = np.concatenate([what, k])
-            pick = np.flatnonzero(cosine >= near)
+            at, item, cosine, width = retrieve(word, times, size, live, row, first, first + count)
+            r = row[at]
+            begin = (live[at] - first[r]) * BLOCK
+            lo, hi = np.maximum(0, begin - length[item]), np.minimum(bounds[r + 1] - bounds[r], begin + width * BLOCK + length[item])
             out: dict[tuple[int, int], tuple] = {}
-            for c in pick[np.lexsort((begin[pick], -cosine[pick]))].tolist():
-                r, k1 = int(row[begin[c]]), int(item_no[c])
-                had = out.get((r, k1))
+            for c in np.lexsort((begin, -cosine)).tolist():
+                key = int(r[c]), int(item[c])
+                had = out.get(key)
                 if had and had[2] >= 1:
                     continue
-                item = own.codes[k1]
-                text = code[bounds[r] : bounds[r + 1]]
-                at_word = int(live[begin[c]] - first[r]) * BLOCK
-                lo, hi = max(0, at_word - len(item)), min(len(text), at_word + int(width[c]) * BLOCK + len(item))
-                share, found = judge(text, item, own.answers[k1], w, lo, hi, copy, paraphrase, answer)
+                text = code[bounds[key[0]] : bounds[key[0] + 1]]
+                share, found = judge(text, own.codes[key[1]], own.answers[key[1]], w, int(lo[c]), int(hi[c]), copy, paraphrase, answer)
                 if found and (not had or share > had[2]):
-                    out[r, k1] = (at_word, float(cosine[c]), share, found)
+                    out[key] = (int(begin[c]), float(cosine[c]), share, found)
             keys = sorted(out)
             if keys:
-                rows = pa.array([r for r, _ in keys])
+                rows = pa.array([i for i, _ in keys])
                 got = [out[y] for y in keys]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(rows), b.column(1).take(rows), pa.array([own.ids[y] for _, y in keys], pa.int64()), pa.array([y[0] for y in got], pa.int32()), pa.array([round(y[1], 5) for y in got]), pa.array([y[2] for y in got], pa.float64()), pa.array([y[3] for y in got])],

@@ -20,6 +20,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = 0x9E3779B97F4A7C15
 _POW = np.ones(1, np.uint64)
+BLOCK = 1 << 16
+_BACK = np.full(BLOCK + 1, pow(_P, -1, 1 << 64), np.uint64)
+_BACK[0] = 1
+_BACK = np.multiply.accumulate(_BACK)
 
 
 def powers(n: int) -> np.ndarray:
@@ -99,23 +103,50 @@ def spans(data: np.ndarray, offs: np.ndarray, word: np.ndarray = _WORD) -> tuple
     return at[::2], at[1::2]
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = CHUNK) -> np.ndarray:
-    """64-bit hashes of byte spans that don't overlap and follow each other."""
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans that don't overlap, follow each other and hold at least a byte."""
     out = np.empty(len(start), np.uint64)
     at = 0
     while at < len(start):
-        to = max(at + 1, int(np.searchsorted(end, start[at] + block, "right")))
-        s, n = start[at:to], (end[at:to] - start[at:to])
-        first = np.cumsum(n) - n
-        rel = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
-        v = data[np.repeat(s, n) + rel].astype(np.uint64)
-        v += np.uint64(1)
-        v *= powers(int(n.max()) if len(n) else 1)[rel]
-        out[at:to] = np.add.reduceat(v, first) if len(v) else 0
+        base = int(start[at])
+        to = max(at + 1, int(np.searchsorted(end, base + BLOCK, "right")))
+        n = int(end[to - 1]) - base
+        v = np.zeros(n + 1, np.uint64)
+        v[:n] = data[base : base + n]
+        v[:n] += np.uint64(1)
+        v[:n] *= powers(n)
+        cuts = np.empty(2 * (to - at), np.int64)
+        cuts[::2], cuts[1::2] = start[at:to] - base, end[at:to] - base
+        # powers count from the block's first byte; dividing by the span's own first power makes them count from the span's
+        out[at:to] = np.add.reduceat(v, cuts)[::2] * (_BACK[cuts[::2]] if to > at + 1 else np.uint64(1))
         at = to
     return mix(out)
 
 
+class Lookup:
+    """Places of hashes in a sorted array of distinct ones, by a table over their leading bits."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = known
+        bits = min(20, max(8, 5 + int(len(known)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        heads = np.arange(1 << bits, dtype=np.uint64) << self.shift
+        self.first = np.r_[np.searchsorted(known, heads), len(known)].astype(np.int32)
+        self.most = int(np.diff(self.first).max(initial=0))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        slot = (h >> self.shift).astype(np.int64)
+        at, last = self.first[slot], self.first[slot + 1]
+        for _ in range(self.most):
+            on = np.flatnonzero(at < last)
+            hit = on[self.known[at[on]] == h[on]]
+            out[hit] = at[hit]
+            at[on] += 1
+        return out
+
+
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word starts, ends, rows and hashes, case folded; words are runs of letters, digits and non-ASCII."""
     start, end = spans(data, offs)
