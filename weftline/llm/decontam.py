@@ -36,7 +36,7 @@ from .session import cut, without
 
 BLOCK = 32
 LEAST = 1 / 3  # of an item's words keep a weight
-FAN = 16  # arrays that a task adds up
+FAN = 8  # arrays that a task adds up
 LONG = 64
 SCHEMA = "doc_id long, th long, item_id long, start_word int, cosine double, lcs double, kind string"
 
@@ -119,7 +119,7 @@ def _terms(code: np.ndarray, bounds: np.ndarray, first: np.ndarray, weight: np.n
 
 
 def _sum_arrays(rows: DataFrame, shape: tuple[int, ...], part) -> np.ndarray:
-    """The sum of part(batch) over all rows: one array a partition, and FAN of them a task until few are left."""
+    """The sum of part(batch) over all rows: one array a partition, and FAN of them a task until one is left."""
 
     def run(batches):
         total = np.zeros(shape)
@@ -135,7 +135,7 @@ def _sum_arrays(rows: DataFrame, shape: tuple[int, ...], part) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["x"])
 
     sums, n = rows.mapInArrow(run, "x binary"), rows.rdd.getNumPartitions()
-    while n > 4:
+    while n > 1:
         n = -(-n // FAN)
         sums = sums.repartition(n).mapInArrow(add, "x binary")
     out = np.zeros(shape)
