@@ -389,16 +389,63 @@ def test_licence_with_several_phrases(spark):
     assert [(r.doc_id, r.licence, r.start_word) for r in got] == [(1, "MIT", 2)]
 
 
-def test_near_copies_against_brute_force(spark, documents):
+@pytest.fixture(scope="module")
+def fingerprinted(documents):
     rows = simhash.fingerprint(documents).filter("f0 is not null").collect()
-    fp = np.array([[r.f0, r.f1, r.f2, r.f3] for r in rows], np.int64).view(np.uint64)
+    return rows, np.array([[r.f0, r.f1, r.f2, r.f3] for r in rows], np.int64).view(np.uint64)
+
+
+def test_near_copies_against_brute_force(documents, fingerprinted):
+    rows, fp = fingerprinted
     near = [(i, j) for i in range(len(fp)) for j in np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]).sum(1) <= 40) + i + 1]
     label = components(len(fp), near)
+    found = {r.doc_id: r for r in simhash.groups(documents).collect()}
+    hit = sum(found[rows[i].doc_id].group == found[rows[j].doc_id].group for i, j in near)
+    assert near and hit >= 0.98 * len(near)
+    assert set(found) == {r.doc_id for r in rows}
+    assert all(label[i] == label[j] for i, j in itertools.combinations(range(len(fp)), 2) if found[rows[i].doc_id].group == found[rows[j].doc_id].group)
+    own, back = np.unique(fp, axis=0, return_inverse=True)
+    links = [(np.bitwise_count(own ^ x).sum(1) <= 40).sum() - 1 for x in own]
+    copies = np.bincount(back) - 1
+    assert 0.95 * sum(links) <= sum({back[i]: found[r.doc_id].links for i, r in enumerate(rows)}.values()) <= sum(links)
+    assert all(found[r.doc_id].links <= links[back[i]] and found[r.doc_id].copies == copies[back[i]] for i, r in enumerate(rows))
+    for g in {r.group for r in found.values()}:
+        assert [r.doc_id for r in found.values() if r.group == g and r.kept] == [g] == [min(r.doc_id for r in found.values() if r.group == g)]
+
+
+def test_near_copies_by_their_texts(documents):
+    """Pairs that share 85 % of their distinct words, over all pairs."""
+    docs = documents.collect()
+    words = [set(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", r.text.lower())) for r in docs]
     group = {r.doc_id: r.group for r in simhash.groups(documents).collect()}
-    hit = sum(group.get(rows[i].doc_id, -1) == group.get(rows[j].doc_id, -2) for i, j in near)
-    assert near and hit >= 0.9 * len(near)
-    size = Counter(label)
-    assert {rows[i].doc_id for i in range(len(fp)) if size[label[i]] > 1} >= set(group)
+    near = [(a, b) for a, b in itertools.combinations(range(len(docs)), 2) if len(words[a]) > 5 and len(words[a] & words[b]) >= 0.85 * len(words[a] | words[b])]
+    assert len(near) > 50 and np.mean([group[docs[a].doc_id] == group[docs[b].doc_id] for a, b in near]) >= 0.9
+
+
+@pytest.mark.parametrize("width, most", [(16, 40), (20, 40), (26, 40), (16, 24)])
+def test_rings_find_pairs_at_the_full_distance(spark, width, most, monkeypatch):
+    """Pairs that differ in exactly `most` random bits, whatever the width that the number of fingerprints asks for."""
+    rng = np.random.default_rng(9)
+    n = 300
+    a = rng.integers(0, 2, (n, 256), dtype=np.uint8)
+    b = a.copy()
+    b[np.arange(n)[:, None], np.argsort(rng.random((n, 256)), axis=1)[:, :most]] ^= 1
+    fp = np.packbits(np.concatenate([a, b]), axis=1, bitorder="little").view(np.int64)
+    prints = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(fp)], "fid long, f0 long, f1 long, f2 long, f3 long").cache()
+    monkeypatch.setattr(simhash, "width_of", lambda _: width)
+    found = {(r.a, r.b) for r in simhash.close_pairs(prints, most, 0.95).collect()}
+    assert found <= {(i, i + n) for i in range(n)} and len(found) >= 0.91 * n
+
+
+def test_fingerprints_against_plain_python():
+    texts = ["a b a c", "", "one", " ".join(f"w{i % 700}" for i in range(3000)), "Ä ä b"]
+    raw = [t.encode() for t in texts]
+    fp, count = simhash.fingerprints(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for x, c, text in zip(fp, count, texts, strict=True):
+        h = np.unique(lattice.T.hash_words(text) >> np.uint64(simhash.ROWS)) if text else np.zeros(0, np.uint64)
+        bits = np.array([[int(lattice.T.mix(np.array([y + np.uint64(k * 0x632BE59BD9B4E019 & (1 << 64) - 1)]))[0]) >> i & 1 for k in range(4) for i in range(64)] for y in h]).reshape(-1, 256)
+        want = np.packbits((2 * bits.sum(0) > len(h)).astype(np.uint8), bitorder="little").view(np.uint64)
+        assert c == len(h) and (x == want).all()
 
 
 def test_caps_against_brute_force(spark):

@@ -166,6 +166,28 @@ def segment_sum(v: np.ndarray, seg: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(seg, v[:, k], n) for k in range(v.shape[1])], 1)
 
 
+def run_sums(table: np.ndarray, size: np.ndarray, part: int = 128, step: int = 4096) -> np.ndarray:
+    """Sums of the rows of a uint8 table of zeros and ones over runs of rows, which follow each other. Runs are walked side by side, a long one in parts."""
+    n_parts = -(-size // part)
+    own = np.full(int(n_parts.sum()), part)
+    own[(np.cumsum(n_parts) - 1)[n_parts > 0]] = (size - (n_parts - 1) * part)[n_parts > 0]
+    order = np.argsort(-own, kind="stable")
+    start, own = (np.cumsum(own) - own)[order], own[order]
+    small = np.zeros((len(own), table.shape[1]), table.dtype)
+    for k in range(int(own.max(initial=0))):
+        n = int(np.searchsorted(-own, -k))
+        for a in range(0, n, step):
+            small[a : min(n, a + step)] += table[start[a : min(n, a + step)] + k]
+    back = np.empty(len(own), np.int64)
+    back[order] = np.arange(len(own))
+    total = np.zeros((len(size), table.shape[1]), np.int32)
+    first = np.cumsum(n_parts) - n_parts
+    for k in range(int(n_parts.max(initial=0))):
+        rows = np.flatnonzero(n_parts > k)
+        total[rows] += small[back[first[rows] + k]]
+    return total
+
+
 def record(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
