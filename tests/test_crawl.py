@@ -9,10 +9,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from weftline.config import Settings, env_key, settings as read_settings
-from weftline.functions import robots, scheduling, urls
+from weftline.functions import robots, scheduling, sketch, urls
 from weftline.operators import frontier, ring
 from weftline.plans import queries, rounds
-from weftline.sources import tables, warc
+from weftline.sources import shared, state, tables, warc, web
 from weftline.streaming import crawl
 
 SF = "/root/testdata/sf0.001"
@@ -116,12 +116,21 @@ def test_between(spark):
     assert df.filter(ring.between(df.k, df.a, df.b) != df.want).count() == 0
 
 
-def test_ring_by_literals_and_by_bisection(spark):
+def test_ring_against_plain_search(spark):
     made = ring.build(tables.members(spark, tables.JOINED))
-    keys = spark.range(500).selectExpr("sha1(cast(id as string)) as key")
-    a = ring.owner(keys, made).select("key", "owner")
-    assert a.exceptAll(ring.owner(keys, made, most_literals=1).select("key", "owner")).count() == 0
+    ids = sorted((r.vnode_id, r.addr) for r in made.collect())
+    keys = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(500)] + [ids[0][0], ids[-1][0], "0" * 40, "f" * 40, None]
+    got = {r.key: (r.vnode_id, r.owner) for r in ring.owner(spark.createDataFrame([(k,) for k in keys], "key string"), made).collect()}
+    assert got == {k: (None, None) if k is None else next((x for x in ids if x[0] >= k), ids[0]) for k in keys}
+    assert ring.owner(spark.createDataFrame([("0",)], "key string"), made.limit(0)).first().owner is None
     assert ring.finger_id("0" * 40, 0) == ring.finger_id("0" * 40, 1) == "0" * 39 + "1"
+    assert ring.neighbours(made, 3).columns == ["vnode_id", "succ1", "succ2", "succ3", "pred"]
+
+
+def test_moved_hosts_are_looked_up_once_each(spark):
+    keys = tables.crawl_log(spark, SF).select("host").distinct()
+    plan = ring.moved(keys, ring.build(tables.members(spark)), ring.build(tables.members(spark, tables.JOINED)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Aggregate")
 
 
 def test_robots_longest_match():
@@ -232,3 +241,100 @@ def test_settings():
     assert env_key("FRONTIER_MAX__ACTIVE") == "frontier.max_active"
     got = read_settings("frontier.max_active: 7\nring.vnodes: x\nfrontier.politeness: 3", {"WEFTLINE_FRONTIER_POLITENESS": "4"}, {"frontier.session_budget": 9, "ring.successors": -1})
     assert got == Settings(frontier_max_active=7, frontier_politeness=4, frontier_session_budget=9)
+
+
+def test_settings_nest_and_reach_what_they_set(spark):
+    own = read_settings("# c\ndistributed:\n  vnode_num: 3\n  batch_period: 500 # ms\n  addr: \"\"\nfrontier:\n  max_active: 7\n  seed: s.txt\nfetcher:\n  timeout: '250'\n", {"WEFTLINE_DISTRIBUTED_SUCCLIST__LENGTH": "1"})
+    assert own == Settings(ring_vnodes=3, batch_period_ms=500, frontier_max_active=7, fetcher_timeout_ms=250, ring_successors=1)
+    assert own.rounds() == rounds.Conf(max_active=7)
+    made = own.ring(tables.members(spark))
+    assert made.count() == 9 and own.neighbours(made).columns == ["vnode_id", "succ1", "pred"]
+
+
+def test_sessions_follow_the_budget(spark):
+    own = queue(spark, [("h", i, "u", w) for i, w in enumerate([3, 3, 1, 9, 1])] + [("g", 0, "u", 9), ("g", 1, "u", 1)])
+    got = {(r.host, r.seq): r.session for r in frontier.sessions(own, 5).collect()}
+    assert got == {("h", 0): 0, ("h", 1): 0, ("h", 2): 1, ("h", 3): 1, ("h", 4): 2, ("g", 0): 0, ("g", 1): 1}
+    assert [r.session for r in frontier.sessions(own.filter("host = 'h'"), 0).orderBy("seq").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_filters_in_parts(spark):
+    seen = spark.range(3000).selectExpr("if(id % 3 = 0, 'a', 'b') as host", "concat('u', id) as url")
+    asked = spark.range(2000, 8000).selectExpr("if(id % 3 = 0, 'a', if(id % 3 = 1, 'b', 'c')) as host", "concat('u', id) as url", "id as seq")
+    known = {(r.host, r.url) for r in seen.collect()}
+    for most in (100, 10**6):
+        blooms = sketch.build(seen, most=most)
+        rows = sketch.probe(asked, blooms).collect()
+        assert len(rows) == 6000 and all(r.maybe for r in rows if (r.host, r.url) in known)
+        assert not any(r.maybe for r in rows if r.host == "c")
+        assert sum(r.maybe for r in rows if (r.host, r.url) not in known) < 0.03 * 6000
+        both = sketch.union(blooms.filter("host = 'a'"), blooms.filter("host = 'b'"))
+        assert both.count() == blooms.count()
+
+
+def serve(pages):
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append((self.path, self.headers["User-Agent"]))
+            body = pages.get(self.path)
+            self.send_response(200 if body is not None else 404)
+            self.end_headers()
+            self.wfile.write((body if body is not None else "gone").encode())
+
+        def log_message(self, *_):
+            pass
+
+    asked = []
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return server, f"http://127.0.0.1:{server.server_port}", asked
+
+
+def test_crawl_of_a_served_site(spark, tmp_path):
+    pages = {"/robots.txt": "User-agent: *\nDisallow: /no", "/": "<a href='/a'>a</a><a href=/no/x>n</a><a href='http://127.0.0.1:9/'>dead</a>", "/a": "<a href='/'>home</a><a href='/b'>b</a>", "/b": "<p>end</p>"}
+    server, root, asked = serve(pages)
+    own = Settings(frontier_session_budget=2, fetcher_timeout_ms=2000, fetcher_user_agent="tester/1")
+    start = rounds.put(rounds.start(spark), spark.createDataFrame([(f"{root}/", 0)], "url string, ord long"), own.rounds())
+    state, number = rounds.crawl(start, own.fetcher(keep=shared.cut), own.rounds(), str(tmp_path), 9)
+    server.shutdown()
+    out = {r.url: r for r in spark.read.parquet(f"{tmp_path}/outcomes").collect()}
+    assert number < 9 and {u for u, r in out.items() if r.ok} == {f"{root}/", f"{root}/a", f"{root}/b"}
+    assert out[f"{root}/no/x"].error == web.FORBIDDEN and "refused" in out["http://127.0.0.1:9/"].error
+    assert all(r.ttr_ms is not None and r.body and r.error is None for r in out.values() if r.ok)
+    assert [p for p, _ in asked if p == "/a"] == ["/a"] and not [p for p, _ in asked if p.startswith("/no")] and {a for _, a in asked} == {"tester/1"}
+    assert {r.url for r in state.seen.collect()} == set(out)
+    again, same = rounds.crawl(rounds.State.load(spark, str(tmp_path), number - 1), own.fetcher(), own.rounds(), str(tmp_path), 3, number)
+    assert same == number and again.queue.count() == 0
+
+
+def test_hosts_change_hands(spark):
+    own = queue(spark, [("a", 0, "u1", 1), ("a", 1, "u2", 1), ("b", 0, "v", 1)])
+    seen = spark.createDataFrame([("a", "u0"), ("b", "w")], rounds.SEEN)
+    hosts = spark.createDataFrame([(h, "ready", None, 0, 5, False, None) for h in "ab"], rounds.HOSTS)
+    gone = spark.createDataFrame([("a", "x", "y")], "host string, old_owner string, new_owner string")
+    locked = rounds.lock(rounds.State(own, seen, hosts), gone)
+    assert {r.host: r.locked for r in locked.hosts.collect()} == {"a": True, "b": False}
+    assert {r.url for r in rounds.schedule(locked)[1].collect()} == {"v"}
+    kept, given = rounds.hand_over(locked, gone)
+    assert [r.host for r in kept.hosts.collect()] == ["b"] and kept.queue.count() == kept.seen.count() == 1
+    other = rounds.State(queue(spark, [("a", 7, "u9", 1)]), spark.createDataFrame([("a", "u2")], rounds.SEEN), spark.createDataFrame([], rounds.HOSTS))
+    new = rounds.take_over(other, given)
+    assert [(r.seq, r.url) for r in new.queue.orderBy("seq").collect()] == [(7, "u9"), (8, "u1")]
+    assert {r.url for r in new.seen.collect()} == {"u0", "u2"} and [(r.host, r.locked) for r in new.hosts.collect()] == [("a", False)]
+
+
+def test_waits_are_capped(spark):
+    hosts = spark.createDataFrame([("h", "ready", None, 0, 5, False, None)], rounds.HOSTS)
+    out = spark.createDataFrame([("h", i, f"u{i}", True, 3000) for i in range(3)], "host string, seq long, url string, ok boolean, ttr_ms long")
+    rows = rounds.timed(out, hosts, rounds.Conf(politeness=5)).orderBy("seq").collect()
+    assert [(r.at_ms, r.done_ms, r.next_ms) for r in rows] == [(0, 3000, 18000), (13000, 16000, 31000), (26000, 29000, 44000)]
+
+
+def test_upsert_keeps_one_row_a_key(spark):
+    store = spark.createDataFrame([("a", 1), ("b", 2)], "key string, value int")
+    new = spark.createDataFrame([("a", 5, 1), ("a", 4, 2), ("c", 7, 1)], "key string, value int, n int")
+    assert sorted(tuple(r) for r in state.upsert(store, new, order="n").collect()) == [("a", 4), ("b", 2), ("c", 7)]
+    assert sorted(tuple(r) for r in state.upsert(store, new.drop("n")).collect()) == [("a", 5), ("b", 2), ("c", 7)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 from urllib.parse import quote, urljoin, urlsplit
 
@@ -10,9 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
-HREF = r'(?i)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"'
-TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 
 
 def host(url: Column) -> Column:
@@ -33,15 +33,6 @@ def part(url: Column, name: str) -> Column:
     return F.regexp_extract(url, pattern, 1)
 
 
-def hrefs(html: Column) -> Column:
-    """The href values of a page's anchors in order, repeats kept."""
-    return F.regexp_extract_all(html, F.lit(HREF), 1)
-
-
-def title(html: Column) -> Column:
-    return F.regexp_extract(html, TITLE, 1)
-
-
 def escape_path(path: Column) -> Column:
     """Percent-escapes for what a path may not hold; separators stay."""
     out = F.url_encode(path)
@@ -96,16 +87,21 @@ def normalize(prev: Column, url: Column) -> Column:
 
 
 class _Page(HTMLParser):
+    """Text, head titles and anchors of tag soup: quotes of any kind or none, entities decoded, comments and scripts passed over."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.text, self.titles, self.links, self.depth = [], [], [], 0
+        self.text, self.titles, self.links, self.depth, self.body = [], [], [], 0, False
 
     def handle_starttag(self, tag, attrs):
         if tag == "a":
             self.links += [v or "" for k, v in attrs if k == "href"][:1]
-        self.depth += tag == "title"
+        if tag == "body":
+            self.body = True
+        self.depth += tag == "title" and not self.body
 
     def handle_endtag(self, tag):
+        self.body |= tag == "head"
         self.depth -= tag == "title" and self.depth > 0
 
     def handle_data(self, data):
@@ -115,19 +111,31 @@ class _Page(HTMLParser):
 
 
 def parse_page(html: str | None) -> tuple[str, str, list[str]]:
+    """(text, title, hrefs) of a page."""
     page = _Page()
     page.feed(html or "")
     page.close()
     return "".join(page.text), "".join(page.titles), page.links
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def hrefs(html: pd.Series) -> pd.Series:
+    """The href values of a page's anchors in order, repeats kept."""
+    return pd.Series([parse_page(h)[2] for h in html], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def title(html: pd.Series) -> pd.Series:
+    """The text of the titles in a page's head; empty without one."""
+    return pd.Series([parse_page(h)[1] for h in html], dtype=object)
+
+
 @F.pandas_udf(StructType([StructField("body", StringType()), StructField("title", StringType()), StructField("links", ArrayType(StringType()))]))
 def parse_pages(url: pd.Series, html: pd.Series) -> pd.DataFrame:
-    """Text, title and resolved links of whole pages, by a tolerant parser that also decodes entities."""
+    """Text, title and the crawlable resolved links of whole pages."""
     rows = []
     for u, h in zip(url, html, strict=True):
         body, name, links = parse_page(h)
-        rows.append((body, name, [x for x in (resolve_link(u, y) for y in links) if x is not None]))
+        found = (resolve_link(u, y) for y in links)
+        rows.append((body, name, [x for x in found if x is not None and (SCHEME.match(x) or x.startswith("/"))]))
     return pd.DataFrame(rows, columns=["body", "title", "links"])
-
-

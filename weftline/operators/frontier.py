@@ -6,7 +6,6 @@ inactive_rank). Everything is keyed by host, so a round's windows, joins and gro
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -52,19 +51,22 @@ def session_prefix(queue: DataFrame, budget: Column) -> DataFrame:
 
 
 def sessions(queue: DataFrame, budget: int) -> DataFrame:
-    """queue with `session`: consecutive sessions of one budget; the row that spends it ends its session. One grouped pass a host."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        left, number, out = budget, 0, []
-        for weight in pdf["weight"]:
-            if left <= 0 and out and out[-1] == number:
-                left, number = budget, number + 1
-            out.append(number)
-            left -= weight
-        return pdf.assign(session=out)[["host", "seq", "session"]]
-
-    return queue.select("host", "seq", "weight").groupBy("host").applyInPandas(fold, "host string, seq long, session long")
+    """queue with `session`: consecutive sessions of one budget; the row that spends it ends its session. One pass over sorted partitions, which holds a batch at a time."""
+
+    def fold(batches):
+        last, left, number = None, budget, 0
+        for pdf in batches:
+            out = []
+            for host, weight in zip(pdf["host"], pdf["weight"], strict=True):
+                if host != last:
+                    last, left, number = host, budget, 0
+                elif left <= 0:
+                    left, number = budget, number + 1
+                out.append(number)
+                left -= weight
+            yield pdf.assign(session=out)[["host", "seq", "session"]]
+
+    return queue.select("host", "seq", "weight").repartition("host").sortWithinPartitions("host", "seq").mapInPandas(fold, "host string, seq long, session long")
 
 
 def unseen(urls: DataFrame, seen: DataFrame) -> DataFrame:

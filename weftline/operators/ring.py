@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,30 +30,25 @@ def _sorted(ring: DataFrame) -> list[tuple[str, str]]:
 
 
 def _lookup(ring: DataFrame, side: str):
+    """Ids and addresses by key, a batch at a time by binary search. Marked as not deterministic, so that a filter on the result stays above the aggregate that makes the keys distinct."""
     nodes = _sorted(ring)
-    ids = [x for x, _ in nodes]
+    ids, addrs = np.array([x for x, _ in nodes], "S40"), np.array([a for _, a in nodes] + [None], object)
+    names = np.array([x for x, _ in nodes] + [None], object)
 
     @F.pandas_udf("vnode_id string, addr string")
     def find(key: pd.Series) -> pd.DataFrame:
-        if not nodes:
-            return pd.DataFrame([(None, None)] * len(key), columns=["vnode_id", "addr"])
-        at = [bisect.bisect_left(ids, k) % len(ids) if side == "owner" else bisect.bisect_right(ids, k) - 1 for k in key]
-        return pd.DataFrame([nodes[i] for i in at], columns=["vnode_id", "addr"])
+        own = key.isna().to_numpy()
+        k = key.fillna("").to_numpy().astype("S40")
+        at = np.searchsorted(ids, k, "left") % max(1, len(ids)) if side == "owner" else np.searchsorted(ids, k, "right") - 1
+        at = np.where(own | (len(ids) == 0), len(ids), at % max(1, len(ids)))
+        return pd.DataFrame({"vnode_id": names[at], "addr": addrs[at]})
 
-    return find
+    return find.asNondeterministic()
 
 
-def owner(keys: DataFrame, ring: DataFrame, key: str = "key", most_literals: int = 512) -> DataFrame:
-    """keys with `vnode_id` and `owner`: the first vnode at or after the key, else the first of all.
-
-    A ring of up to most_literals vnodes is an array literal that the JVM searches; a larger one is searched by bisection in Arrow batches.
-    """
-    nodes = _sorted(ring)
-    if not nodes or len(nodes) > most_literals:
-        return keys.withColumn("__n", _lookup(ring, "owner")(F.col(key))).withColumns({"vnode_id": F.col("__n.vnode_id"), "owner": F.col("__n.addr")}).drop("__n")
-    lit = F.array(*(F.struct(F.lit(x).alias("id"), F.lit(a).alias("addr")) for x, a in nodes))
-    found = F.coalesce(F.get(F.filter(lit, lambda n: n["id"] >= F.col(key)), F.lit(0)), F.get(lit, F.lit(0)))
-    return keys.withColumn("__n", found).withColumns({"vnode_id": F.col("__n.id"), "owner": F.col("__n.addr")}).drop("__n")
+def owner(keys: DataFrame, ring: DataFrame, key: str = "key") -> DataFrame:
+    """keys with `vnode_id` and `owner`: the first vnode at or after the key, else the first of all; null for a null key or without members."""
+    return keys.withColumn("__n", _lookup(ring, "owner")(F.col(key))).withColumns({"vnode_id": F.col("__n.vnode_id"), "owner": F.col("__n.addr")}).drop("__n")
 
 
 def closest(keys: DataFrame, ring: DataFrame, key: str = "key") -> DataFrame:
@@ -61,13 +56,13 @@ def closest(keys: DataFrame, ring: DataFrame, key: str = "key") -> DataFrame:
     return keys.withColumn("__n", _lookup(ring, "closest")(F.col(key))).withColumn("vnode_id", F.col("__n.vnode_id")).drop("__n")
 
 
-def neighbours(ring: DataFrame) -> DataFrame:
-    """(vnode_id, succ1, succ2, pred) around the ring; the one window is over the membership table only."""
+def neighbours(ring: DataFrame, successors: int = 2) -> DataFrame:
+    """(vnode_id, succ1, ..., pred) around the ring; the one window is over the membership table only."""
     order, every = W.orderBy("vnode_id"), W.orderBy("vnode_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     ids = F.collect_list("vnode_id").over(every)
     n, at = F.size(ids), F.row_number().over(order)
     step = lambda k: F.get(ids, (at - 1 + k + n) % n)
-    return ring.select("vnode_id", step(1).alias("succ1"), step(2).alias("succ2"), step(-1).alias("pred"))
+    return ring.select("vnode_id", *(step(k).alias(f"succ{k}") for k in range(1, successors + 1)), step(-1).alias("pred"))
 
 
 def moved(hosts: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
@@ -77,10 +72,10 @@ def moved(hosts: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     return owner(before, new).select("host", "old_owner", F.col("owner").alias("new_owner")).filter("old_owner <> new_owner")
 
 
-def batches(urls: DataFrame, ring: DataFrame) -> DataFrame:
-    """(owner, urls): urls (seq, host, url) by owner, in order of arrival and with repeats."""
-    owned = owner(urls.withColumn("key", F.sha1("host")), ring)
-    return owned.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("seq", "url"))).alias("x")).select("owner", F.transform("x", lambda r: r["url"]).alias("urls"))
+def batches(urls: DataFrame, ring: DataFrame, most: int = 1000) -> DataFrame:
+    """(owner, number, urls): urls (seq, host, url) by owner, in order of arrival and with repeats; a batch spans `most` values of seq, which bounds it."""
+    owned = owner(urls.withColumn("key", F.sha1("host")), ring).withColumn("number", F.floor(F.col("seq") / most))
+    return owned.groupBy("owner", "number").agg(F.array_sort(F.collect_list(F.struct("seq", "url"))).alias("x")).select("owner", "number", F.transform("x", lambda r: r["url"]).alias("urls"))
 
 
 def finger_id(vnode_id: str, k: int, bits: int = BITS) -> str:

@@ -19,6 +19,21 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 BUDGET = 20
 POLITENESS = 5
+#: Hand-written pages, with the links and titles that a browser finds in them.
+SOUP = [
+    (1, "https://h/a/b?q#f", """<a href='/s'>x</a><A HREF=/u>y</A><a data-href="/d" href="/e">z</a><a href="/x?a&amp;b">w</a><!-- <a href="/c"> --><a name="n">no</a>""", "", ["https://h/s", "https://h/u", "https://h/e", "https://h/x?a&b"]),
+    (2, "https://h/a/b?q#f", """<html><head><title>A &lt;b&gt; &amp; c</title></head><body><svg><title>no</title></svg><a href="c"><a href="../d"><a href="//o/p"><a href="#t"><a href="?z"><a href=""><a href="mailto:m@n"><a href="http://%zz"></body>""", "A <b> & c", ["https://h/a/c", "https://h/d", "https://o/p", "https://h/a/b?q#t", "https://h/a/b?z", "https://h/a/b?q#f", "mailto:m@n"]),
+    (3, "https://h/", """<script>var s = '<a href="/in-script">';</script><p>unclosed <a href = "/sp" class=k><b>bold<a\nhref="/nl">""", "", ["https://h/sp", "https://h/nl"]),
+    (4, "https://h/", "", "", []),
+]
+#: Robots files, and which of these paths they allow an agent that is called gobot.
+ROBOTS_FILES = [
+    ("wild", "User-agent: *\nDisallow: /*.gif$\nDisallow: /private*/x\nAllow: /private-ok", [("/a.gif", False), ("/a.gif?q", True), ("/private/a/x", False), ("/private-ok/x", True), ("/privates", True), ("/", True)]),
+    ("group", "User-agent: gobot\nDisallow:\n\nUser-agent: *\nDisallow: /", [("/", True), ("/any", True)]),
+    ("shared", "# c\nUser-agent: other\nUser-agent: GoBot\nDisallow: /s\nAllow: /s/ok\n\nUser-agent: *\nDisallow: /t", [("/s", False), ("/s/ok", True), ("/t", True)]),
+    ("quote", "User-agent: *\nDisallow: /a.b\nDisallow: /c+*(", [("/a.b", False), ("/axb", True), ("/c+1(", False), ("/cc(", True)]),
+    ("none", None, [("/", True)]),
+]
 RULES = [("*", "*", True, "/"), ("h1.example.com", "*", False, "/click"), ("h1.example.com", "*", True, "/click/3"), ("h2.example.com", "gobot", False, "/"), ("h2.example.com", "gobot", True, "/view"), ("h2.example.com", "*", False, "/view"), ("h3.example.com", "other", False, "/")]
 
 LOG = """log AS (SELECT event_id AS seq, 'h' || user_id || '.example.com' AS host, 'https://h' || user_id || '.example.com/' || event_type || '/' || (event_id % 7) AS url,
@@ -43,6 +58,11 @@ def _owner_sql(key: str, name: str = "ring") -> str:
     return f"coalesce((SELECT min(vnode_id) FROM {name} WHERE vnode_id >= {key}), (SELECT min(vnode_id) FROM {name}))"
 
 
+def _values(rows) -> str:
+    quoted = lambda v: "NULL" if v is None else f"'{v.replace(chr(39), chr(39) * 2)}'" if isinstance(v, str) else str(v).lower()
+    return "(VALUES " + ", ".join(f"({', '.join(map(quoted, r))})" for r in rows) + ")"
+
+
 def query(name: str, sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[name] = f
@@ -101,12 +121,22 @@ def link_resolve(spark, sf):
     return _links(spark, sf).select("page_id", "href", "url")
 
 
+@query("soup_links", f"SELECT page_id, pos, url, title FROM {_values([(i, p, u, t) for i, _, _, t, found in SOUP for p, u in enumerate(found)])} v(page_id, pos, url, title)")
+def soup_links(spark, sf):
+    """Links and titles of the hand-written pages: quotes of any kind, entities, comments, scripts, relative and broken links."""
+    rows = spark.createDataFrame([(i, u, h) for i, u, h, _, _ in SOUP], "page_id int, url string, html string").withColumn("p", urls.parse_pages("url", "html"))
+    return rows.select("page_id", F.posexplode("p.links").alias("pos", "url"), "p.title")
+
+
 @query("link_scheme_filter", f"WITH {LINKS} SELECT page_id, count(*) AS kept FROM links WHERE url LIKE 'http%:%' OR url LIKE '/%' GROUP BY page_id")
 def link_scheme_filter(spark, sf):
     return _links(spark, sf).filter(urls.crawlable(F.col("url"))).groupBy("page_id").agg(F.count("*").alias("kept"))
 
 
-@query("title_extract", "SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages")
+TITLE = r"""replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"""
+
+
+@query("title_extract", f"SELECT page_id, {TITLE} AS title FROM pages")
 def title_extract(spark, sf):
     return _pages(spark, sf).select("page_id", urls.title(F.col("html")).alias("title"))
 
@@ -116,7 +146,10 @@ def normalize_host(spark, sf):
     return _pages(spark, sf).select("page_id", urls.host(urls.normalize(F.col("url"), F.col("url"))).alias("host"))
 
 
-@query("page_parse")
+PLAIN = r"""regexp_replace(regexp_replace(regexp_replace(replace(html, '"</p>"', '"####"'), '<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&[a-z]+;', '.', 'g')"""
+
+
+@query("page_parse", f"SELECT page_id, {TITLE} AS title, CAST(len(regexp_extract_all(html, '<a href=')) AS INT) AS n_links, CAST(length({PLAIN}) AS INT) AS body_chars FROM pages")
 def page_parse(spark, sf):
     return _pages(spark, sf).select("page_id", urls.parse_pages("url", "html").alias("p")).select("page_id", "p.title", F.size("p.links").alias("n_links"), F.length("p.body").alias("body_chars"))
 
@@ -228,10 +261,10 @@ def weight_asof_rt(spark, sf):
     return frontier.ttr_before(crawl_log(spark, sf)).select("seq", scheduling.url_weight(F.col("known_ttr"), BUDGET).alias("weight"))
 
 
-@query("seen_anti", f"WITH {LOG} SELECT seq, url FROM log l WHERE seq % 2 = 1 AND NOT EXISTS (SELECT 1 FROM log s WHERE s.seq % 2 = 0 AND s.host = l.host AND s.url = l.url)")
+@query("seen_anti", f"WITH {LOG} SELECT seq, url FROM log l WHERE NOT EXISTS (SELECT 1 FROM log s WHERE s.ttr_ms > 1000 AND s.host = l.host AND s.url = l.url)")
 def seen_anti(spark, sf):
     log = crawl_log(spark, sf)
-    return frontier.unseen(log.filter("seq % 2 = 1"), log.filter("seq % 2 = 0")).select("seq", "url")
+    return frontier.unseen(log, log.filter("ttr_ms > 1000")).select("seq", "url")
 
 
 @query("dedup_first", f"WITH {LOG} SELECT host, url, min(seq) AS seq FROM log GROUP BY host, url")
@@ -257,15 +290,22 @@ def duplicate_budget_spend(spark, sf):
     return queue.join(first, ["host", "url", "seq"], "left_anti").groupBy("host").agg(F.sum("weight").alias("wasted"))
 
 
-@query("empty_hosts", f"WITH {HOSTS} SELECT host FROM hosts WHERE host NOT IN (SELECT host FROM log WHERE ttr_ms > 900)")
+@query("empty_hosts", f"WITH {HOSTS} SELECT host FROM hosts WHERE host NOT IN (SELECT host FROM log WHERE ttr_ms > 2500)")
 def empty_hosts(spark, sf):
-    return frontier.empty_hosts(_hosts(spark, sf), crawl_log(spark, sf).filter("ttr_ms > 900").select("host")).select("host")
+    return frontier.empty_hosts(_hosts(spark, sf), crawl_log(spark, sf).filter("ttr_ms > 2500").select("host")).select("host")
 
 
-@query("kv_upsert", f"WITH {LOG} SELECT host AS key, coalesce(max(ttr_ms) FILTER (WHERE seq % 3 = 0), max(ttr_ms)) AS value FROM log GROUP BY host")
+@query("kv_upsert", f"WITH {LOG} SELECT host AS key, coalesce(max(ttr_ms) FILTER (WHERE NOT ok), max(ttr_ms)) AS value FROM log GROUP BY host")
 def kv_upsert(spark, sf):
     log = crawl_log(spark, sf).withColumnRenamed("host", "key")
-    return state.upsert(log.groupBy("key").agg(F.max("ttr_ms").alias("value")), log.filter("seq % 3 = 0").groupBy("key").agg(F.max("ttr_ms").alias("value")))
+    return state.upsert(log.groupBy("key").agg(F.max("ttr_ms").alias("value")), log.filter("not ok").groupBy("key").agg(F.max("ttr_ms").alias("value")))
+
+
+@query("kv_upsert_last", f"WITH {LOG} SELECT host AS key, coalesce(max_by(ttr_ms, seq) FILTER (WHERE NOT ok), max(ttr_ms)) AS value FROM log GROUP BY host")
+def kv_upsert_last(spark, sf):
+    """New rows that repeat their key: the last one counts."""
+    log = crawl_log(spark, sf).withColumnRenamed("host", "key")
+    return state.upsert(log.groupBy("key").agg(F.max("ttr_ms").alias("value")), log.filter("not ok").select("key", F.col("ttr_ms").alias("value"), "seq"), order="seq")
 
 
 @query("kv_get", f"WITH {LOG}, s AS (SELECT host AS key, max(seq) AS value FROM log WHERE ttr_ms > 1200 GROUP BY host) SELECT k.key, s.value, s.key IS NOT NULL AS found FROM (SELECT DISTINCT host AS key FROM log) k LEFT JOIN s ON s.key = k.key")
@@ -274,10 +314,10 @@ def kv_get(spark, sf):
     return state.get(log.filter("ttr_ms > 1200").groupBy("key").agg(F.max("seq").alias("value")), log.select("key").distinct())
 
 
-@query("kv_delete", f"WITH {LOG} SELECT host AS key, count(*) AS value FROM log GROUP BY host HAVING max(ttr_ms) <= 1200")
+@query("kv_delete", f"WITH {LOG} SELECT host AS key, count(*) AS value FROM log GROUP BY host HAVING max(ttr_ms) <= 2500")
 def kv_delete(spark, sf):
     log = crawl_log(spark, sf).withColumnRenamed("host", "key")
-    return state.delete(log.groupBy("key").agg(F.count("*").alias("value")), log.filter("ttr_ms > 1200").select("key"))
+    return state.delete(log.groupBy("key").agg(F.count("*").alias("value")), log.filter("ttr_ms > 2500").select("key"))
 
 
 @query("key_sha1", f"SELECT DISTINCT host, sha1(host) AS key FROM (SELECT {HOST} AS host FROM pages)")
@@ -324,7 +364,13 @@ def ring_neighbours(spark, sf):
     return ring.neighbours(ring.build(members(spark)))
 
 
-@query("finger_table")
+FINGERS = """f AS (SELECT vnode_id, k, CASE WHEN k = 0 THEN 0 ELSE k - 1 END AS e, [('0x' || substr(vnode_id, 31 - 10 * i, 10))::BIGINT FOR i IN range(4)] AS x FROM ring, (SELECT unnest(range(160)) AS k)),
+    s AS (SELECT vnode_id, k, [x[i + 1] + CASE WHEN e // 40 = i THEN 1::BIGINT << (e % 40)::INT ELSE 0 END FOR i IN range(4)] AS x FROM f),
+    s1 AS (SELECT *, x[1] >> 40 AS c FROM s), s2 AS (SELECT *, (x[2] + c) >> 40 AS d FROM s1), s3 AS (SELECT *, (x[3] + d) >> 40 AS g FROM s2),
+    fingers AS (SELECT vnode_id AS node, k, printf('%010x%010x%010x%010x', (x[4] + g) % (1::BIGINT << 40), (x[3] + d) % (1::BIGINT << 40), (x[2] + c) % (1::BIGINT << 40), x[1] % (1::BIGINT << 40)) AS finger FROM s3)"""
+
+
+@query("finger_table", f"WITH {RING}, {FINGERS} SELECT node AS vnode_id, k, finger, {_owner_sql('finger')} AS succ FROM fingers")
 def finger_table(spark, sf):
     return ring.fingers(ring.build(members(spark)))
 
@@ -347,10 +393,10 @@ def moved_by_owner(spark, sf):
     return _moved(spark, sf).groupBy("new_owner").agg(F.count("*").alias("hosts"), F.array_join(F.array_sort(F.collect_list("host")), ",").alias("list"))
 
 
-@query("url_batches", f"WITH {KEYS}, k AS (SELECT host, {_owner_sql('key')} AS vnode_id FROM keys) SELECT addr AS owner, count(*) AS n, md5(string_agg(url, ' ' ORDER BY seq)) AS urls_md5 FROM log JOIN k ON k.host = log.host JOIN ring ON ring.vnode_id = k.vnode_id GROUP BY addr")
+@query("url_batches", f"WITH {KEYS}, k AS (SELECT host, {_owner_sql('key')} AS vnode_id FROM keys) SELECT addr AS owner, seq // 1000 AS number, count(*) AS n, md5(string_agg(url, ' ' ORDER BY seq)) AS urls_md5 FROM log JOIN k ON k.host = log.host JOIN ring ON ring.vnode_id = k.vnode_id GROUP BY 1, 2")
 def url_batches(spark, sf):
     found = ring.batches(crawl_log(spark, sf).select("seq", "host", "url"), ring.build(members(spark)))
-    return found.select("owner", F.size("urls").cast("long").alias("n"), F.md5(F.array_join("urls", " ")).alias("urls_md5"))
+    return found.select("owner", "number", F.size("urls").cast("long").alias("n"), F.md5(F.array_join("urls", " ")).alias("urls_md5"))
 
 
 AT = "2024-01-01T00:00:00Z"
@@ -424,6 +470,14 @@ def robots_allowed(spark, sf):
     return robots.check(crawl_log(spark, sf), _rules(spark)).select("seq", "allowed")
 
 
+@query("robots_files", f"SELECT host, path, allowed FROM {_values([(h, p, a) for h, _, asked in ROBOTS_FILES for p, a in asked])} v(host, path, allowed)")
+def robots_files(spark, sf):
+    """Whole robots files: wildcards, ends, a named group without rules, shared groups, characters that a regex would take for its own."""
+    files = spark.createDataFrame([(h, body) for h, body, _ in ROBOTS_FILES], "origin_host string, body string")
+    asked = spark.createDataFrame([(h, p, f"https://{h}{p}") for h, _, a in ROBOTS_FILES for p, _ in a], "host string, path string, url string")
+    return robots.check(asked, robots.rules(files)).select("host", "path", "allowed")
+
+
 @query("forbidden_count", f"WITH {ROBOTS} SELECT host, count(*) FILTER (WHERE NOT allowed) AS forbidden, count(*) FILTER (WHERE allowed AND NOT ok) AS failed FROM checked GROUP BY host")
 def forbidden_count(spark, sf):
     checked = robots.check(crawl_log(spark, sf), _rules(spark))
@@ -453,38 +507,47 @@ def politeness_gap(spark, sf):
     return log.groupBy("host").agg(F.count_if(F.col("gap") < F.coalesce(F.col("ttr") * POLITENESS, F.lit(1000))).alias("impolite"), F.count("gap").alias("gaps"))
 
 
-@query("seen_bloom")
+@query("seen_bloom", f"WITH {LOG} SELECT host, count(DISTINCT url) AS urls, count(DISTINCT url) FILTER (WHERE ok) AS seen, true AS all_found, true AS few_false FROM log GROUP BY host")
 def seen_bloom(spark, sf):
+    """Each host's filter of what it fetched, asked for all its URLs: none of those seen may be missed, and few others found."""
     log = crawl_log(spark, sf)
-    probed = sketch.probe(log.select("host", "url").distinct(), sketch.build(log.filter("ok")))
-    return probed.groupBy("host").agg(F.count("*").alias("urls"), F.count_if("maybe").alias("maybe"))
+    asked = log.groupBy("host", "url").agg(F.max("ok").alias("ok"))
+    probed = sketch.probe(asked, sketch.build(log.filter("ok"))).groupBy("host").agg(F.count("*").alias("urls"), F.count_if("ok").alias("seen"), F.count_if(F.col("ok") & F.col("maybe")).alias("hit"), F.count_if(~F.col("ok") & F.col("maybe")).alias("extra"))
+    return probed.select("host", "urls", "seen", (F.col("hit") == F.col("seen")).alias("all_found"), (F.col("extra") <= 3 + 0.1 * (F.col("urls") - F.col("seen"))).alias("few_false"))
 
 
-@query("approx_urls_by_host")
+@query("approx_urls_by_host", f"WITH {LOG} SELECT host, count(DISTINCT url) AS urls, true AS close FROM log GROUP BY host")
 def approx_urls_by_host(spark, sf):
-    return crawl_log(spark, sf).groupBy("host").agg(F.approx_count_distinct("url").alias("urls"))
+    """The sketch's count of distinct URLs against the exact one."""
+    both = crawl_log(spark, sf).groupBy("host").agg(F.approx_count_distinct("url").alias("about"), F.countDistinct("url").alias("urls"))
+    return both.select("host", "urls", (F.abs(F.col("about") - F.col("urls")) <= 2 + 0.2 * F.col("urls")).alias("close"))
 
 
-@query("frontier_schedule", f"""WITH {QUEUE}, q AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seq) AS rn, coalesce(sum(weight) OVER (PARTITION BY host ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM queue),
+@query("frontier_schedule", f"""WITH {HOSTS}, queue AS (SELECT host, seq, url, {WEIGHT} AS weight FROM log WHERE host IN (SELECT host FROM hosts WHERE status = 'ready' AND NOT locked)),
+    q AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seq) AS rn, coalesce(sum(weight) OVER (PARTITION BY host ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM queue),
     c AS (SELECT *, row_number() OVER (PARTITION BY host, url ORDER BY seq) AS n FROM q WHERE spent < {BUDGET} OR rn = 1)
-    SELECT host, seq, url FROM c WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM log s WHERE s.seq % 11 = 0 AND s.host = c.host AND s.url = c.url)""")
+    SELECT host, seq, url FROM c WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM log s WHERE s.ttr_ms > 1000 AND s.host = c.host AND s.url = c.url)""")
 def frontier_schedule(spark, sf):
+    """What the sessions of the hosts that are ready and unlocked emit."""
     log = crawl_log(spark, sf)
-    hosts = log.select("host").distinct().selectExpr("host", "'ready' status", "cast(null as bigint) ttr_ms", "0L next_at_ms", f"{BUDGET}L budget", "false locked", "cast(null as bigint) inactive_rank")
-    made = rounds.State(_queue(spark, sf), log.filter("seq % 11 = 0").select("host", "url"), hosts)
+    hosts = _hosts(spark, sf).selectExpr("host", "status", "cast(null as bigint) ttr_ms", "next_at_ms", f"{BUDGET}L budget", "locked", "inactive_rank")
+    made = rounds.State(_queue(spark, sf), log.filter("ttr_ms > 1000").select("host", "url"), hosts)
     return rounds.schedule(made)[1].select("host", "seq", "url")
 
 
-@query("crawl_round")
+@query("crawl_round", f"""WITH p AS (SELECT url, min_by(html, page_id) AS html, min(page_id) % 3000 AS ttr FROM pages GROUP BY url),
+    q AS (SELECT {HOST} AS host, url, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id, url) - 1 AS seq FROM pages),
+    c AS (SELECT q.*, p.html, p.ttr, row_number() OVER (PARTITION BY q.host, q.url ORDER BY q.seq) AS n FROM q JOIN p ON p.url = q.url WHERE q.seq < 5),
+    t AS (SELECT host, seq, url, html, ttr, coalesce(sum(ttr + least(10000, ttr * {POLITENESS})) OVER (PARTITION BY host ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t0 FROM c WHERE n = 1)
+    SELECT host, seq, url, true AS ok, CAST(t0 AS BIGINT) AS at_ms, CAST(t0 + ttr AS BIGINT) AS done_ms, CAST(len(regexp_extract_all(html, '<a href=')) AS INT) AS n_links FROM t""")
 def crawl_round(spark, sf):
     """One round from the pages' URLs as seeds; the pages themselves are what is fetched."""
-    conf = rounds.Conf(max_active=512, politeness=POLITENESS, session_budget=5)
+    conf = rounds.Conf(max_active=1_000_000, politeness=POLITENESS, session_budget=5)
     pages = _pages(spark, sf).groupBy("url").agg(F.min_by("html", "page_id").alias("html"), (F.min("page_id") % 3000).alias("ttr"))
     found = _pages(spark, sf).select("url", F.col("page_id").alias("ord"))
 
     def fetch(rows: DataFrame) -> DataFrame:
         got = rows.join(pages, "url", "left")
-        links = F.transform(urls.hrefs(F.col("html")), lambda h: F.concat(F.regexp_extract("url", r"^([a-z]+://[^/?#]*)", 1), urls.escape_path(h)))
-        return got.select("host", "seq", "url", F.col("html").isNotNull().alias("ok"), F.col("ttr").alias("ttr_ms"), links.alias("links"))
+        return got.select("host", "seq", "url", F.col("html").isNotNull().alias("ok"), F.col("ttr").alias("ttr_ms"), urls.parse_pages("url", "html")["links"].alias("links"))
 
     return rounds.crawl_round(rounds.put(rounds.start(spark), found, conf), fetch, conf)[1].select("host", "seq", "url", "ok", "at_ms", "done_ms", F.size("links").alias("n_links"))

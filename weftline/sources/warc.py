@@ -58,19 +58,22 @@ def capture(base: DataFrame, concurrent: DataFrame) -> DataFrame:
 
 
 def rotation(sizes: DataFrame, most: int) -> DataFrame:
-    """sizes (part, seq, n_bytes) with `bucket`: a file ends with the record that reaches `most` bytes. One grouped pass a part."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        total, bucket, out = 0, 0, []
-        for n in pdf["n_bytes"]:
-            out.append(bucket)
-            total += n
-            if total >= most:
-                total, bucket = 0, bucket + 1
-        return pdf.assign(bucket=out)[["part", "seq", "n_bytes", "bucket"]]
-
-    return sizes.groupBy("part").applyInPandas(fold, "part long, seq long, n_bytes long, bucket long")
+    """sizes (part, seq, n_bytes) with `bucket`: a file ends with the record that reaches `most` bytes. One pass over sorted partitions, which holds a batch at a time."""
+
+    def fold(batches):
+        last, total, bucket = None, 0, 0
+        for pdf in batches:
+            out = []
+            for part, n in zip(pdf["part"], pdf["n_bytes"], strict=True):
+                if part != last:
+                    last, total, bucket = part, 0, 0
+                out.append(bucket)
+                total += n
+                if total >= most:
+                    total, bucket = 0, bucket + 1
+            yield pdf.assign(bucket=out)[["part", "seq", "n_bytes", "bucket"]]
+
+    return sizes.select("part", "seq", "n_bytes").repartition("part").sortWithinPartitions("part", "seq").mapInPandas(fold, "part long, seq long, n_bytes long, bucket long")
 
 
 def serialize(kind: str, rid: str, date: str, headers: dict[str, str] | None, content: bytes) -> bytes:
