@@ -449,16 +449,37 @@ def test_fingerprints_against_plain_python():
 
 
 def test_caps_against_brute_force(spark):
+    """Random vectors, pairs of near copies, a dense cluster of 150 and copies that are equal."""
     rng = np.random.default_rng(2)
     x = rng.standard_normal((1500, 64))
-    copies = x[rng.integers(0, 1500, 300)]
-    x = np.concatenate([x, copies / np.linalg.norm(copies, axis=1, keepdims=True) * 8 + rng.standard_normal((300, 64)) * 0.3])
+    near = x[rng.integers(0, 1500, 300)]
+    near = near / np.linalg.norm(near, axis=1, keepdims=True) * 8 + rng.standard_normal((300, 64)) * 0.3
+    x = np.concatenate([x, near, x[0] + rng.standard_normal((150, 64)) * 0.1, x[5:45], x[5:45]])
     u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    near = list(zip(*np.nonzero(np.triu(u @ u.T >= 0.95, 1)), strict=True))
-    group = {r.vec_id: r.group for r in capfilter.groups(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
-    assert len(near) > 200 and np.mean([group.get(i, -1) == group.get(j, -2) for i, j in near]) >= 0.9
-    label = components(len(x), near)
-    assert all(label[v] == label[g] for v, g in group.items())
+    cosine = u @ u.T
+    pairs = list(zip(*np.nonzero(np.triu(cosine >= 0.95, 1)), strict=True))
+    _, back = np.unique(u, axis=0, return_inverse=True)
+    rows = {r.vec_id: r for r in capfilter.groups(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    assert set(rows) == set(range(len(x)))
+    assert len(pairs) > 10_000 and np.mean([rows[i].group == rows[j].group for i, j in pairs]) >= 0.97
+    label = components(len(x), pairs)
+    assert all(label[v] == label[r.group] for v, r in rows.items())
+    assert all(r.copies == (back == back[v]).sum() - 1 for v, r in rows.items())
+    links = np.array([len({back[j] for j in np.flatnonzero(cosine[i] >= 0.95)} - {back[i]}) for i in range(len(x))])
+    found = np.array([rows[i].links for i in range(len(x))])
+    assert (found <= links).all() and found.sum() >= 0.95 * links.sum()
+
+
+def test_signs_lose_no_close_pair():
+    rng = np.random.default_rng(3)
+    for least in (0.5, 0.9, 0.95, 0.99):
+        x, z = rng.standard_normal((2, 4000, 48))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(1, keepdims=True) * x
+        y = least * x + np.sqrt(1 - least**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        side = rng.standard_normal((48, capfilter.SIGNS))
+        apart = ((x @ side > 0) != (y @ side > 0)).sum(1)
+        assert (apart <= capfilter.differing(least)).all() and capfilter.differing(least) < (64 if least >= 0.9 else 80)
 
 
 def test_list_decoding_finds_every_filter():

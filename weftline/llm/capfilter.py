@@ -8,12 +8,14 @@ order. The codebooks grow with the number of vectors of a length so that filters
 dimension, leaves each vector `lists` filters of each code on average, so chance meetings stay in proportion to the input. They stop growing
 where a vector at cosine `least` would leave more than 1 - STAY of its neighbour's filters: from there on filters fill up instead, so that recall
 does not fall with the number of vectors (64 dimensions and cosine .95: from some 2 million on). Below NARROW dimensions a direction is one codeword.
-Vectors that share a filter are verified by their cosine; of a filter's close pairs only a spanning forest goes on, as a group is a connected component anyway.
+Postings carry a vector's number and SIGNS signs of random projections, not the vector. Of two vectors that share a filter the signs must agree about as
+often as at cosine `least` (a closer pair fails this once in a million); only such pairs are joined with their vectors and verified by their cosine.
 
-Equal vectors are folded first. Only vectors of equal length are compared.
+Equal vectors are folded first, so copies cost one row. Links between different vectors are all kept, as they are counted. Only vectors of equal length are compared.
 
-Defined results. Null, empty, zero and non-finite embeddings (or with a null in them) are nobody's duplicate. Rows are the distinct pairs of
-vec_id and embedding; repeated rows are one. The keeper of a group is its smallest vec_id (null last). Extra columns are ignored.
+Defined results. Null, empty, zero and non-finite embeddings (or with a null in them) are nobody's duplicate and have no row. Rows are the distinct pairs of
+vec_id and embedding; repeated rows are one. A group is a connected component of close vectors; its keeper is the smallest vec_id (null last; of equal ones
+the smallest hash of the vector). Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ CODES = 3
 NARROW = 8
 STAY = 0.4
 SEED = 31
+SIGNS = 128
 
 
 @lru_cache(64)
@@ -154,80 +157,72 @@ class Code:
         return row[who], i[who].astype(np.int64) * w + j
 
 
-def _forest(ids: np.ndarray, x: np.ndarray, least: float, block: int = 2048) -> list[tuple[int, int]]:
-    """Edges that connect what cosines of `least` or more connect; each is a close pair."""
-    n = len(ids)
-    label = np.arange(n)
-    edges = []
-    for a in range(0, n, block):
-        for b in range(a, n, block):
-            if (label[a : a + block] == label[a]).all() and (label[b : b + block] == label[a]).all():
-                continue
-            r, c = np.nonzero(x[a : a + block] @ x[b : b + block].T >= least)
-            r, c = r + a, c + b
-            keep = r < c
-            r, c = r[keep], c[keep]
-            while len(r):
-                differ = label[r] != label[c]
-                r, c = r[differ], c[differ]
-                if not len(r):
-                    break
-                # each component joins once a round, so that every edge taken merges two
-                lo = np.minimum(label[r], label[c])
-                hi = np.maximum(label[r], label[c])
-                _, first = np.unique(hi, return_index=True)
-                edges += [(int(ids[r[k]]), int(ids[c[k]])) for k in first]
-                to = np.arange(n)
-                to[hi[first]] = lo[first]
-                while (to[to] != to).any():
-                    to = to[to]
-                label = to[label]
-    return edges
+def differing(least: float) -> int:
+    """Signs in which a pair at cosine `least` may differ, so that one in a million differs in more."""
+    p, n = np.arccos(np.clip(least, -1, 1)) / np.pi, SIGNS
+    logs = np.cumsum(np.r_[0, np.log(np.arange(1, n + 1))])
+    k = np.arange(n + 1)
+    mass = np.exp(logs[n] - logs[k] - logs[n - k] + k * np.log(max(p, 1e-300)) + (n - k) * np.log1p(-min(p, 1 - 1e-16)))
+    return int(np.searchsorted(np.cumsum(mass), 1 - 1e-6))
 
 
-def links(prints: DataFrame, least: float, lists: float, fill: float) -> DataFrame:
-    """(a, b) close pairs that connect every group found; prints are (fid, dim, v)."""
+def postings(prints: DataFrame, least: float, lists: float, fill: float) -> DataFrame:
+    """(dim, key, fid, s0, s1): a row for each filter of each vector, with the vector's signs."""
     size = {r["dim"]: book_size(r["dim"], r["count"], least, lists, fill) for r in prints.groupBy("dim").count().collect()}
 
-    def filters(batches):
-        codes = {}
+    def run(batches):
+        codes, sides = {}, {}
         for b in batches:
-            dims, raw = b.column("dim").to_numpy(), b.column("v").to_pylist()
-            for dim in np.unique(dims):
+            dims, raw, fid = b.column("dim").to_numpy(), b.column("v"), b.column("fid")
+            for dim in np.unique(dims).tolist():
                 if dim not in codes:
-                    codes[dim] = [Code(int(dim), c, size[int(dim)], lists) for c in range(CODES)]
+                    codes[dim] = [Code(dim, c, size[dim], lists) for c in range(CODES)]
+                    sides[dim] = np.random.default_rng([SEED, dim, CODES]).standard_normal((dim, SIGNS)).astype(np.float32)
                 own = np.flatnonzero(dims == dim)
                 for at in range(0, len(own), 256):
                     part = own[at : at + 256]
-                    x = np.frombuffer(b"".join(raw[i] for i in part), np.float32).reshape(len(part), -1)
+                    x = np.frombuffer(b"".join(raw.take(pa.array(part)).to_pylist()), np.float32).reshape(len(part), -1)
+                    signs = np.packbits(x @ sides[dim] > 0, axis=1).view(np.int64)
                     found = [code.decode(x) for code in codes[dim]]
-                    pick = pa.array(np.concatenate([part[row] for row, _ in found]))
+                    row = np.concatenate([r for r, _ in found])
                     key = np.concatenate([key * CODES + c for c, (_, key) in enumerate(found)])
-                    yield pa.RecordBatch.from_arrays([b.column("dim").take(pick), pa.array(key, pa.int64()), b.column("fid").take(pick), b.column("v").take(pick)], names=["dim", "key", "fid", "v"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(row), dim), pa.int32()), pa.array(key, pa.int64()), fid.take(pa.array(part[row])), pa.array(signs[row, 0]), pa.array(signs[row, 1])], names=["dim", "key", "fid", "s0", "s1"]
+                    )
+
+    return prints.select("fid", "dim", "v").mapInArrow(run, "dim int, key long, fid long, s0 long, s1 long")
+
+
+def links(prints: DataFrame, least: float, lists: float, fill: float) -> DataFrame:
+    """(a, b), a < b: the close pairs of different vectors that share a filter; prints are (fid, dim, v)."""
 
     def verify(batches):
         for b in batches:
-            col = b.column(0)
-            offs, flat = col.offsets.to_numpy(), col.flatten()
-            ids, raw = flat.field(0).to_numpy(), flat.field(1)
-            out = []
-            base = offs[0] if len(offs) else 0
-            for a, z in zip(offs[:-1] - base, offs[1:] - base, strict=True):
-                x = np.frombuffer(b"".join(raw.slice(a, z - a).to_pylist()), np.float32).reshape(z - a, -1)
-                out += _forest(ids[a:z], x, least)
-            e = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(e.min(1) if len(e) else e[:, 0]), pa.array(e.max(1) if len(e) else e[:, 0])], names=["a", "b"])
+            size = b.column("dim").to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.float32) for c in ("va", "vb"))
+            at = np.cumsum(size) - size
+            keep = pa.array(np.flatnonzero(np.add.reduceat(x.astype(np.float64) * y, at) >= least) if len(at) else at)
+            yield pa.RecordBatch.from_arrays([b.column("a").take(keep), b.column("b").take(keep)], names=["a", "b"])
 
-    met = prints.select("fid", "dim", "v").mapInArrow(filters, "dim int, key long, fid long, v binary").groupBy("dim", "key").agg(F.collect_list(F.struct("fid", "v")).alias("x")).filter("size(x) > 1")
-    return met.select("x").mapInArrow(verify, "a long, b long").distinct()
+    own = postings(prints, least, lists, fill)
+    apart = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
+    met = own.alias("x").join(own.alias("y"), (F.col("x.dim") == F.col("y.dim")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fid") < F.col("y.fid")) & (apart <= differing(least)))
+    met = met.select(F.col("x.fid").alias("a"), F.col("y.fid").alias("b")).distinct()
+    met = met.join(prints.select(F.col("fid").alias("a"), "dim", F.col("v").alias("va")), "a").join(prints.select(F.col("fid").alias("b"), F.col("v").alias("vb")), "b")
+    return met.select("a", "b", "dim", "va", "vb").mapInArrow(verify, "a long, b long")
 
 
 def groups(vectors: DataFrame, least: float = 0.95, lists: float = 12, fill: float = 4) -> DataFrame:
-    """(vec_id, vh, group, kept) of the rows that have a near duplicate; group is the vec_id of the one kept."""
+    """(vec_id, group, links, copies, kept), a row for each usable vector: group is the vec_id of the one that its group keeps, links the number of other
+    vectors close to it, copies that of other rows with the same vector."""
     rows = cut(unit(vectors))
-    prints = rows.groupBy(F.col("vh").alias("fid")).agg(F.min("dim").alias("dim"), F.min("v").alias("v"))
-    labels = components(cut(links(prints, least, lists, fill)))
-    joined = cut(rows.select("vec_id", "vh").join(labels, F.col("vh") == F.col("fid"), "left").select("vec_id", "vh", F.coalesce("label", "vh").alias("comp")))
-    best = joined.groupBy("comp").agg(F.min(F.struct(F.col("vec_id").isNull().alias("z"), "vec_id", "vh")).alias("k"), F.count("*").alias("n")).filter("n > 1")
+    prints = cut(rows.groupBy(F.col("vh").alias("fid")).agg(F.min("dim").alias("dim"), F.min("v").alias("v"), F.count("*").alias("size")))
+    pairs = cut(links(prints, least, lists, fill))
+    labels = components(pairs)
+    ends = pairs.select(F.col("a").alias("fid")).unionAll(pairs.select(F.col("b").alias("fid"))).groupBy("fid").agg(F.count("*").alias("links"))
+    about = prints.select("fid", "size").join(labels, "fid", "left").join(ends, "fid", "left")
+    about = about.select("fid", F.coalesce("label", "fid").alias("comp"), F.coalesce("links", F.lit(0).cast("long")).alias("links"), (F.col("size") - 1).alias("copies"))
+    joined = cut(rows.select("vec_id", "vh").join(about, F.col("vh") == F.col("fid")).drop("fid"))
+    best = joined.groupBy("comp").agg(F.min(F.struct(F.col("vec_id").isNull().alias("z"), "vec_id", "vh")).alias("k"))
     kept = F.col("vec_id").eqNullSafe(F.col("k.vec_id")) & (F.col("vh") == F.col("k.vh"))
-    return joined.join(best, "comp").select("vec_id", "vh", F.col("k.vec_id").alias("group"), kept.alias("kept"))
+    return joined.join(best, "comp").select("vec_id", F.col("k.vec_id").alias("group"), "links", "copies", kept.alias("kept"))

@@ -78,6 +78,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _FRAMED = "72 + n + 7 * (n // 1000) + CASE WHEN n % 1000 = 0 THEN 5 WHEN n % 1000 < 16 THEN 10 WHEN n % 1000 < 256 THEN 11 ELSE 12 END"
 
 ORACLES: dict[str, str] = {
+    "op9_embedding_near_dedup": """
+        WITH RECURSIVE near AS (SELECT a.vec_id AS a, b.vec_id AS b, a.embedding = b.embedding AS equal FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding, b.embedding) >= 0.95),
+        reach AS (SELECT vec_id AS id, vec_id AS g FROM embeddings UNION SELECT near.b, reach.g FROM reach JOIN near ON near.a = reach.id)
+        SELECT vec_id, min(g) AS "group", (SELECT count(*) FILTER (WHERE NOT equal) FROM near WHERE near.a = vec_id) AS links,
+            (SELECT count(*) FILTER (WHERE equal) FROM near WHERE near.a = vec_id) AS copies, vec_id = min(g) AS kept
+        FROM embeddings JOIN reach ON reach.id = vec_id GROUP BY vec_id
+    """,
     # 72 bytes of head, 7 of framing for each full chunk of 1000, 5 for the end and 5 to 7 for a shorter last chunk
     "op10_warc_segments": f"""
         SELECT page_id, url, payload_bytes, (payload_bytes + 2047) // 2048 AS segments, n AS body_bytes, body_md5, 'ok' AS status
