@@ -389,6 +389,35 @@ def test_licence_with_several_phrases(spark):
     assert [(r.doc_id, r.licence, r.start_word) for r in got] == [(1, "MIT", 2)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_of_phrases_against_brute_force(spark, seed):
+    """Texts of few words with templates of one to three phrases; a chain may leave out a nearer place of a phrase to reach the next one."""
+    rng = random.Random(seed)
+    texts = {"A": ["a b", "c d", "a e"], "B": ["d a b"], "C": ["b c", "e e"]}
+    docs = [" ".join(rng.choices("abcde", k=rng.randint(0, 80))) for _ in range(60)]
+    templates = licences.Templates(texts)
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    posts, _ = templates.index(licences.frequencies(frame, templates))
+    anchored = {templates.names[t]: which for t, which, _, _ in posts}
+    want = Counter()
+    for d, text in enumerate(docs):
+        w = text.split()
+        for name, phrases in texts.items():
+            parts = [p.split() for p in phrases]
+            chains = [[]]
+            for p in parts:
+                here = [i for i in range(len(w)) if w[i : i + len(p)] == p]
+                chains = [[*c, i] for c in chains for i in here if not c or 0 <= i - c[-1] - len(parts[len(c) - 1]) <= 4]
+            by = defaultdict(list)
+            for c in chains:
+                by[c[anchored[name]]].append((c[0], c[-1] + len(parts[-1])))
+            for spans in by.values():
+                begin = max(b for b, _ in spans)
+                want[d, name, begin, min(e for _, e in spans) - begin] += 1
+    got = Counter((r.doc_id, r.licence, r.start_word, r.n_words) for r in licences.scan(frame, texts, 4).collect())
+    assert got == want and len(want) > 20
+
+
 @pytest.fixture(scope="module")
 def fingerprinted(documents):
     rows = simhash.fingerprint(documents).filter("f0 is not null").collect()
@@ -526,6 +555,21 @@ def test_chunked_framing_round_trip(body, chunk):
     assert warcseg.unframe(framed[:-1])[1] is False
 
 
+def test_archives_in_several_pieces(spark, monkeypatch):
+    monkeypatch.setattr(warcseg, "PIECE", 3000)
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * (i * 997 % 20_000)) for i in range(200)], "page_id long, url string, html string").coalesce(1)
+    archive = warcseg.archive(pages).cache()
+    assert archive.count() > 100
+    rows = warcseg.reassemble(warcseg.records(archive)).collect()
+    assert sorted((r.target_uri, len(r.body), r.status) for r in rows) == sorted((f"u{i}", i * 997 % 20_000, "ok") for i in range(200))
+
+
+def test_a_page_of_many_segments(spark):
+    big = "0123456789abcdef" * 400_000
+    rows = warcseg.reassemble(warcseg.records(warcseg.archive(spark.createDataFrame([(1, "u", big), (2, "v", "x")], "page_id long, url string, html string")))).collect()
+    assert {(r.target_uri, r.body.decode() == (big if r.target_uri == "u" else "x"), r.status) for r in rows} == {("u", True, "ok"), ("v", True, "ok")}
+
+
 def test_segment_faults(spark):
     body = b"HTTP/1.1 200 OK\r\n\r\n" + b"0123456789" * 3
 

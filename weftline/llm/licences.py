@@ -38,6 +38,19 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-NC-4.0-notice": ["licensed under CC BY-NC 4.0"],
     "CC-BY-4.0-notice": ["licensed under CC BY 4.0"],
     "CC-BY-SA-4.0-notice": ["licensed under CC BY-SA 4.0"],
+    "MIT-licensed": ["licensed under the MIT License"],
+    "BSD-3-Clause-notice": ["licensed under the BSD 3-Clause License"],
+    "BSD-2-Clause-notice": ["licensed under the BSD 2-Clause License"],
+    "ISC-notice": ["licensed under the ISC License"],
+    "MPL-2.0-notice": ["licensed under the Mozilla Public License, v. 2.0"],
+    "CC-BY-3.0-notice": ["licensed under CC BY 3.0"],
+    "CC-BY-ND-4.0-notice": ["licensed under CC BY-ND 4.0"],
+    "SPDX-MIT": ["SPDX-License-Identifier: MIT"],
+    "SPDX-Apache-2.0": ["SPDX-License-Identifier: Apache-2.0"],
+    "SPDX-GPL-2.0": ["SPDX-License-Identifier: GPL-2.0"],
+    "SPDX-GPL-3.0": ["SPDX-License-Identifier: GPL-3.0"],
+    "SPDX-BSD": ["SPDX-License-Identifier: BSD"],
+    "SPDX-MPL-2.0": ["SPDX-License-Identifier: MPL-2.0"],
     "MIT": ["permission is hereby granted, free of charge, to any person obtaining a copy", "the above copyright notice and this permission notice shall be included", "the software is provided \"as is\", without warranty of any kind"],
     "ISC": ["permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "the author disclaims all warranties"],
     "BSD-2-Clause": ["redistribution and use in source and binary forms", "redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice"],
@@ -100,28 +113,26 @@ def frequencies(docs: DataFrame, templates: Templates) -> np.ndarray:
     return out
 
 
-def _follow(h: np.ndarray, first: int, last: int, at: int, phrases: list[np.ndarray], slack: int) -> int | None:
-    """The end of the phrases, each found at its earliest place from `at`; None if one is missing."""
+def _places(h: np.ndarray, lo: int, hi: int, p: np.ndarray) -> list[int]:
+    """Where the phrase p begins, from lo to hi."""
+    at = lo + np.flatnonzero(h[lo : max(lo, hi + 1)] == p[0])
+    return [x for x in at.tolist() if (h[x : x + len(p)] == p).all()]
+
+
+def _follow(h: np.ndarray, last: int, at: int, phrases: list[np.ndarray], slack: int) -> int | None:
+    """The earliest end of a chain of the phrases from `at`, with at most `slack` words before each; None if there is no chain."""
+    ends = {at}
     for p in phrases:
-        stop = min(at + slack, last - len(p))
-        while at <= stop and not (h[at] == p[0] and (h[at : at + len(p)] == p).all()):
-            at += 1
-        if at > stop:
-            return None
-        at += len(p)
-    return at
+        ends = {x + len(p) for e in ends for x in _places(h, e, min(e + slack, last - len(p)), p)}
+    return min(ends, default=None)
 
 
 def _before(h: np.ndarray, first: int, at: int, phrases: list[np.ndarray], slack: int) -> int | None:
-    """The begin of the phrases that precede `at`, each found at its latest place."""
+    """The latest begin of a chain of the phrases up to `at`."""
+    begins = {at}
     for p in reversed(phrases):
-        at -= len(p)
-        stop = max(first, at - slack)
-        while at >= stop and not (h[at : at + len(p)] == p).all():
-            at -= 1
-        if at < stop:
-            return None
-    return at
+        begins = {x for e in begins for x in _places(h, max(first, e - len(p) - slack), e - len(p), p)}
+    return max(begins, default=None)
 
 
 def scan(docs: DataFrame, texts: dict[str, list[str]] = TEMPLATES, slack: int = SLACK) -> DataFrame:
@@ -152,7 +163,7 @@ def scan(docs: DataFrame, texts: dict[str, list[str]] = TEMPLATES, slack: int =
                         continue
                     first, last = bounds[row[s]], bounds[row[s] + 1]
                     begin = _before(h, first, s, phrases[:which], slack)
-                    end = None if begin is None else _follow(h, first, last, s + len(p), phrases[which + 1 :], slack)
+                    end = None if begin is None else _follow(h, last, s + len(p), phrases[which + 1 :], slack)
                     if end is not None:
                         out.append((row[s], t, begin - first, end - begin))
             if out:

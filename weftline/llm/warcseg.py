@@ -22,6 +22,13 @@ from pyspark.sql import functions as F
 RECORD = "record_id string, warc_type string, target_uri string, segment_number int, origin_id string, total_length long, content binary"
 RESULT = "origin_id string, target_uri string, segments int, payload_bytes long, body binary, status string"
 _CRLF = b"\r\n"
+PIECE = 4 << 20
+
+
+def _rows(b: pa.RecordBatch, step: int = 64):
+    """The rows of a batch as Python values, few at a time."""
+    for at in range(0, b.num_rows, step):
+        yield from zip(*(c.to_pylist() for c in b.slice(at, step).columns), strict=True)
 
 
 def frame(body: bytes, chunk: int) -> bytes:
@@ -70,12 +77,12 @@ def _record(head: dict[str, object], content: bytes) -> bytes:
 
 
 def archive(pages: DataFrame, segment_bytes: int = 2048, chunk_bytes: int = 1000) -> DataFrame:
-    """(archive binary): pages (page_id, url, html) as chunked HTTP responses in WARC records of at most segment_bytes, one byte string a batch, with the segments of a page in falling order."""
+    """(archive binary): pages (page_id, url, html) as chunked HTTP responses in WARC records of at most segment_bytes, in byte strings of whole records of about PIECE bytes, with the segments of a page in falling order."""
 
     def run(batches):
         for b in batches:
-            out = []
-            for page, key, url, html in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            out, size = [], 0
+            for page, key, url, html in _rows(b):
                 payload = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nTransfer-Encoding: chunked\r\n\r\n" + frame(html or b"", chunk_bytes)
                 origin = f"<urn:x-page:{'null' if page is None else page}:{key & (1 << 64) - 1:016x}>"
                 n = -(-len(payload) // segment_bytes)
@@ -89,7 +96,12 @@ def archive(pages: DataFrame, segment_bytes: int = 2048, chunk_bytes: int = 1000
                         if k == n:
                             head["WARC-Segment-Total-Length"] = len(payload)
                     out.append(_record(head, piece))
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["archive"])
+                    size += len(out[-1])
+                    if size >= PIECE:
+                        yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["archive"])
+                        out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["archive"])
 
     html = F.col("html").cast("binary")
     cols = pages.select(F.col("page_id").cast("long").alias("page_id"), F.xxhash64("page_id", "url", html).alias("key"), F.col("url").cast("string").alias("url"), html.alias("html"))
@@ -112,13 +124,19 @@ def _parse(data: bytes):
         yield head, data[end + 4 : at]
 
 
+def _batch(columns: list[list], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], names=[n for n, _ in names])
+
+
 def records(archives: DataFrame, column: str = "archive") -> DataFrame:
     """The records of uncompressed WARC byte strings, such as `content` of spark.read.format("binaryFile")."""
 
     def run(batches):
         for b in batches:
             for raw in b.column(0):
-                rows = [[] for _ in range(7)]
+                rows, size = [[] for _ in range(7)], 0
                 for head, content in _parse(raw.as_py() or b""):
                     rid, seg, total = head.get(b"warc-record-id"), head.get(b"warc-segment-number"), head.get(b"warc-segment-total-length")
                     if rid is None or (seg is not None and not (seg.isdigit() and int(seg) > 0)):
@@ -126,8 +144,12 @@ def records(archives: DataFrame, column: str = "archive") -> DataFrame:
                     row = (rid, head.get(b"warc-type"), head.get(b"warc-target-uri"), seg and int(seg), head.get(b"warc-segment-origin-id"), int(total) if total and total.isdigit() else None, content)
                     for c, v in zip(rows, row, strict=True):
                         c.append(v)
-                kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=[x.split()[0] for x in RECORD.split(", ")])
+                    size += len(content)
+                    if size >= PIECE:
+                        yield _batch(rows, RECORD)
+                        rows, size = [[] for _ in range(7)], 0
+                if rows[0]:
+                    yield _batch(rows, RECORD)
 
     return archives.select(F.col(column).alias("archive")).mapInArrow(run, RECORD)
 
@@ -137,8 +159,8 @@ def reassemble(found: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = [[] for _ in range(6)]
-            for origin, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            out, size = [[] for _ in range(6)], 0
+            for origin, parts in _rows(b):
                 by: dict[int, bytes] = {}
                 total, status, uri = None, "ok", None
                 for p in sorted(parts, key=lambda p: (p["n"], p["content"] or b"")):
@@ -162,8 +184,12 @@ def reassemble(found: DataFrame) -> DataFrame:
                     status = "framing"
                 for c, v in zip(out, (origin, uri, len(by), len(payload), body, status), strict=True):
                     c.append(v)
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])
+                size += len(body)
+                if size >= PIECE:
+                    yield _batch(out, RESULT)
+                    out, size = [[] for _ in range(6)], 0
+            if out[0]:
+                yield _batch(out, RESULT)
 
     part = F.struct(F.coalesce("segment_number", F.lit(1)).alias("n"), F.col("segment_number").isNull().alias("alone"), F.col("total_length").alias("total"), F.col("target_uri").alias("uri"), "content")
     return (
