@@ -203,6 +203,27 @@ def test_toxicity_on_labels(documents, labels):
     assert np.mean(caught) > 0.5
 
 
+def test_toxicity_with_the_parameters_of_the_query(spark):
+    """Fitted to the labels of every other document of a larger table, tried on the others. Two thirds of the toxic ones hold one of ten insults, the others rare words of other languages."""
+    docs, known = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicpu.fit(docs, known.filter("doc_id % 2 = 0"))
+    rows = toxicpu.detect(docs, model).withColumnRenamed("toxic", "said").join(known.filter("doc_id % 2 = 1"), "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
+    insults = {"pathetic", "stupid", "moron", "disgusting", "scum", "worthless", "trash", "idiot", "loser", "clown"}
+    assert np.mean([r.said for r in rows if r.toxic == 1 and insults & set(re.findall(r"\w+", r.text.lower()))]) > 0.98
+    assert np.mean([r.said for r in rows if r.toxic == 1]) > 0.7
+    assert np.mean([r.said for r in rows if r.toxic == 0]) < 0.01
+
+
+def test_shares_of_near_copies(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words)) for i in range(5)] + [(5, " ".join([*words, "more"])), (6, "quite another text"), (7, ""), (8, None)]
+    h = np.unique(lattice.T.hash_words("another w3 absent"))
+    got = {r.doc_id: (r.share, [int(h[k]) for k in r.held]) for r in toxicpu.weighted(spark.createDataFrame(rows, "doc_id long, text string"), h).collect()}
+    own = lambda x: [int(v) for v in lattice.T.hash_words(x)]
+    assert set(got) == set(range(7)) and got[6] == (1.0, own("another")) and got[0][1] == own("w3")
+    assert {got[i][0] for i in range(5)} <= {1 / 5, 1 / 6} and got[5][0] in (1 / 6, 1.0)
+
+
 @pytest.fixture(scope="module")
 def insulted(spark):
     """3,000 documents, 300 of them with two of ten insults, and the labels of every third; further ones by copies and heat."""

@@ -1,10 +1,13 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic examples are the positives (at most `max_positive` of them, those with the smallest hash of doc_id);
-every document of the corpus is unlabelled text. Features say whether a document holds each of `width` words: of the
-words that `min_support` positives or more hold (near copies among the positives share one vote), those with the largest log-likelihood ratio of positives over the corpus, if at
-least the share `least_rate` of the documents that hold the word would be toxic (prior times its rate in positives over its rate in the corpus). In these
-rates, the moments and the prior a document counts as one over its near copies in the corpus, be they labelled or not. The loss is
+every document of the corpus is unlabelled text. Features say whether a document holds each of some words: of the
+words that `min_support` positives or more hold (near copies among the positives share one vote), those whose log-likelihood ratio of positives over the corpus
+exceeds GAIN, if at least the share `least_rate` of the documents that hold the word would be toxic (prior times its rate in positives over its rate in the corpus);
+`width` bounds the size of the model, the largest ratios come first, of equal ones the smallest hashes. In these
+rates, the moments and the prior a document counts as one over its near copies in the corpus, be they labelled or not: documents are near copies
+that agree in a band of min-hashes, and the largest band counts. One pass over the texts writes what a document holds of the candidate words, and its bands;
+everything else is computed from that. The loss is
 squared, so that the risk needs only means and second moments of the features: those of the unlabelled text are summed over all
 documents, as one small matrix a partition. Gradient steps follow the non-negative estimator: with class prior p,
     risk = p * E_pos[l(f)] + max(0, E_unl[l(-f)] - p * E_pos[l(-f)]),
@@ -14,7 +17,7 @@ share that the rates allow; the labels' rate, where there are too few of them fo
 however many documents lie above it.
 
 Defined results. Null and empty texts score as a document without any of the words. Null labels and doc_ids are ignored; a doc_id with several labels is
-positive if any says so. Without positives nothing is toxic and the score is -1. Repeated rows get the same score. Extra columns are ignored.
+positive if any says so. A score at the cut-off isn't toxic. Without min_support positives that share a word, nothing is toxic and the score is -1. Repeated rows get the same score and count as near copies of each other. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as T
+from .session import cut
 
+GAIN = 6.0
 SCHEMA = "doc_id long, score double, toxic boolean"
 
 
@@ -71,39 +76,44 @@ def sketches(row: np.ndarray, h: np.ndarray, n: int, bands: int = 6, rows: int =
     return np.tile(some, len(keys)), np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def copied(docs: DataFrame, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys that several documents share, with their numbers of documents; of a large corpus only those of a `most`-th of it or more."""
+def compact(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """(doc_id, keys, held): the bands of each document that has words, and which of the given words it holds, by their places."""
 
     def run(batches):
+        known = T.Lookup(words)
         for rows, row, h in _ids(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(sketches(row, h, rows.num_rows)[1].view(np.int64))], names=["key"])
-
-    least = max(2, -(-_text(docs).count() // most))
-    found = _text(docs).mapInArrow(run, "key long").groupBy("key").count().filter(F.col("count") >= least).toArrow()
-    key, n = found["key"].to_numpy().view(np.uint64), found["count"].to_numpy()
-    order = np.argsort(key)
-    return key[order], n[order]
-
-
-def shares(known: tuple[np.ndarray, np.ndarray], row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """One over the number of near copies of each document in the corpus, itself included."""
-    size = np.ones(n)
-    if len(known[0]) and len(h):
-        doc, key = sketches(row, h, n)
-        at = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
-        hit = known[0][at] == key
-        np.maximum.at(size, doc[hit], known[1][at[hit]])
-    return 1 / size
-
-
-def _text(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("text").cast("string").alias("text")).filter("text <> ''")
+            n = rows.num_rows
+            doc, key = sketches(row, h, n)
+            order = np.argsort(doc, kind="stable")
+            at = known.find(h)
+            hit = at >= 0
+            held = np.unique(row[hit] * len(words) + at[hit])
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), T.lists(key[order].view(np.int64), np.bincount(doc, minlength=n), pa.int64()), T.lists(held % len(words), np.bincount(held // len(words), minlength=n), pa.int32())],
+                names=["doc_id", "keys", "held"],
+            )
+
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).filter("text <> ''").mapInArrow(run, "doc_id long, keys array<long>, held array<int>")
+
+
+def weighted(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """(doc_id, share, held): share is one over the documents in the largest of a document's bands."""
+    own = cut(compact(docs, words)).withColumn("row", F.monotonically_increasing_id())
+    bands = own.select("row", F.explode("keys").alias("key"))
+    large = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    most = bands.join(large, "key").groupBy("row").agg(F.max("n").alias("n"))
+    return cut(own.join(most, "row", "left").select("doc_id", (F.lit(1.0) / F.coalesce("n", F.lit(1))).alias("share"), "held"))
+
+
+def chosen(labels: DataFrame, most: int, y: int = 1) -> DataFrame:
+    """(__id) of at most `most` documents that are labelled y, those with the smallest hashes."""
+    known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    return known.filter(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(most).select("__id")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int, y: int = 1) -> list[np.ndarray]:
-    """The distinct words of each document labelled y."""
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    chosen = known.filter(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(most).select("__id")
+def labelled(docs: DataFrame, known: DataFrame) -> list[np.ndarray]:
+    """The distinct words of each of the chosen documents."""
 
     def run(batches):
         for rows, row, h in _ids(batches):
@@ -111,7 +121,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int, y: int = 1) -> list[
                 x = np.unique(x)
                 yield pa.RecordBatch.from_arrays([rows.column(0).slice(i, 1), pa.array([x.view(np.int64)], pa.list_(pa.int64()))], names=["id", "h"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("text <> ''").join(F.broadcast(chosen), F.col("id") == F.col("__id")).select("id", "text").mapInArrow(run, "id long, h array<long>").toArrow()
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("text <> ''").join(F.broadcast(known), F.col("id") == F.col("__id")).select("id", "text").mapInArrow(run, "id long, h array<long>").toArrow()
     rows = [np.asarray(x, np.int64).view(np.uint64) for x in found["h"].to_pylist()]
     return sorted(rows, key=lambda x: (len(x), x[:1].tolist()))
 
@@ -136,13 +146,20 @@ def votes(pos: list[np.ndarray], bands: int = 6, rows: int = 6) -> np.ndarray:
     return 1 / np.bincount(group, minlength=len(pos))[group]
 
 
-def _summed(docs: DataFrame, shape: tuple[int, ...], part) -> np.ndarray:
-    """The sum over all documents of part(row, h, rows) with the given shape; one array a partition, added up in two levels."""
+def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and place of all words that are held, and the rows' shares."""
+    col = b.column("held")
+    return np.repeat(np.arange(len(col)), np.diff(col.offsets.to_numpy())), col.flatten().to_numpy().astype(np.int64), b.column("share").to_numpy()
+
+
+def _summed(rows: DataFrame, shape: tuple[int, ...], part, fan: int = 16) -> np.ndarray:
+    """The sum of part(row, place, share) over all documents: one array a partition, and `fan` of them a task until one is left."""
 
     def run(batches):
         total = np.zeros(shape)
-        for rows, row, h in _ids(batches):
-            total += part(row, h, rows.num_rows)
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                total += part(*_flat(b.slice(at, 4096)))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
 
     def add(batches):
@@ -152,8 +169,12 @@ def _summed(docs: DataFrame, shape: tuple[int, ...], part) -> np.ndarray:
                 total += np.frombuffer(x.as_py()).reshape(shape)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
 
+    sums, n = rows.mapInArrow(run, "x binary"), rows.rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // fan)
+        sums = sums.repartition(n).mapInArrow(add, "x binary")
     out = np.zeros(shape)
-    for r in _text(docs).mapInArrow(run, "x binary").repartition(4).mapInArrow(add, "x binary").toArrow()["x"]:
+    for r in sums.toArrow()["x"]:
         out += np.frombuffer(r.as_py()).reshape(shape)
     return out
 
@@ -199,68 +220,63 @@ def class_prior(p: np.ndarray, q: np.ndarray, r: np.ndarray, n_pos: float, n_neg
     return float(np.sum((diff * (q - r) / noise)[use]) / max(np.sum((diff**2 / noise)[use]), 1e-300)) if use.any() else 1.0
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, width: int = 256, min_support: int = 8, prior: float | None = None, least_rate: float = 0.5, floor: float = 0.2) -> Model:
-    pos = labelled(docs, labels, max_positive)
+def _held(rows: DataFrame, known: DataFrame, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, words) ones and zeros of the chosen documents, and their shares; at most max_positive rows reach the driver."""
+    found = rows.join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("share", "held").toArrow().combine_chunks()
+    x = np.zeros((len(found), len(words)), np.float32)
+    for b in found.to_batches():
+        row, place, _ = _flat(b)
+        x[row, place] = 1
+    return x, found["share"].to_numpy()
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, width: int = 1024, min_support: int = 8, prior: float | None = None, least_rate: float = 0.5, floor: float = 0.2) -> Model:
+    toxic = chosen(labels, max_positive)
+    pos = labelled(docs, toxic)
     none = Model(np.zeros(0, np.uint64), np.zeros(0), -1.0, 0.0)
     if not pos or not (prior is None or 0 < prior < 1):
         return none
-    vote = votes(pos)
     words, at = np.unique(np.concatenate(pos), return_inverse=True)
-    support = np.bincount(at, np.repeat(vote, [len(x) for x in pos]), len(words))
-    enough = support >= min(min_support, max(1, vote.sum() // 10))
-    words = words[enough]
+    words = words[np.bincount(at, np.repeat(votes(pos), [len(x) for x in pos]), len(words)) >= min_support - 1e-9]
     if not len(words):
         return none
 
-    known = copied(docs)
-
-    def df(row, h, n):
-        x = np.zeros(len(words) + 1)
-        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-        hit = words[at] == h
-        held = np.unique(row[hit] * len(words) + at[hit])
-        share = shares(known, row, h, n)
-        x[:-1] = np.bincount(held % len(words), share[held // len(words)], len(words))
-        x[-1] = share.sum()
-        return x
-
-    counts = _summed(docs, (len(words) + 1,), df)
-    rows = np.repeat(np.arange(len(pos)), [len(x) for x in pos])
-    weight = shares(known, rows, np.concatenate(pos), len(pos))
-    support = np.bincount(at, weight[rows], len(enough))[enough]
+    rows, n_words = weighted(docs, words), len(words)
+    counts = _summed(rows, (n_words + 1,), lambda row, place, share: np.r_[np.bincount(place, share[row], n_words), share.sum()])
+    xp, weight = _held(rows, toxic, words)
     n_all, n_pos = counts[-1], weight.sum()
-    q, p = np.clip((counts[:-1] + 0.5) / (n_all + 1), 1e-9, 1 - 1e-9), np.clip(support / n_pos, 1e-9, 1 - 1e-9)
+    q, p = np.clip((counts[:-1] + 0.5) / (n_all + 1), 1e-9, 1 - 1e-9), np.clip(weight @ xp / n_pos, 1e-9, 1 - 1e-9)
     if prior is None:
-        neg = labelled(docs, labels, max_positive, 0)
-        held = np.repeat(np.arange(len(neg)), [len(x) for x in neg])
-        h = np.concatenate([np.zeros(0, np.uint64), *neg])
-        by = shares(known, held, h, len(neg))
-        spot = np.minimum(np.searchsorted(words, h), len(words) - 1)
-        hit = words[spot] == h
-        r = np.bincount(spot[hit], by[held[hit]], len(words)) / max(by.sum(), 1e-9)
-        prior = class_prior(p, q, r, n_pos, by.sum())
-        if not 0 < prior < 1 and neg:  # too few labels to tell words apart
+        xn, by = _held(rows, chosen(labels, max_positive, 0), words)
+        prior = class_prior(p, q, by @ xn / max(by.sum(), 1e-9), n_pos, by.sum())
+        if not 0 < prior < 1 and len(xn):  # too few labels to tell words apart
             prior = labels.filter("doc_id is not null").agg(F.avg(F.col("toxic").cast("int"))).first()[0]
         if not 0 < prior < 1:
             return none
+    support = n_pos * p
     gain = np.where((p > q) & (prior * p / q >= least_rate), support * np.log(p / q) + (n_pos - support) * np.log((1 - p) / (1 - q)), 0)
     pick = np.lexsort((words, -gain))[:width]
-    words = np.sort(words[pick[gain[pick] > 6]])
-    if not len(words):
+    pick = np.sort(pick[gain[pick] > GAIN])
+    if not len(pick):
         return none
-    d = len(words)
-    xp = np.c_[presence(words, rows, np.concatenate(pos), len(pos)), np.ones(len(pos))].astype(float)
-
-    def moments(row, h, n):
-        x = np.c_[presence(words, row, h, n), np.ones(n, np.float32)]
-        return x.T @ (x * shares(known, row, h, n)[:, None])
-
-    su = _summed(docs, (d + 1, d + 1), moments)
+    d = len(pick)
+    place_of = np.full(n_words, -1)
+    place_of[pick] = np.arange(d)
+
+    def moments(row, place, share):
+        x = np.zeros((len(share), d + 1), np.float32)
+        x[:, d] = 1
+        own = place_of[place]
+        x[row[own >= 0], own[own >= 0]] = 1
+        return x.T @ (x * share[:, None])
+
+    su = _summed(rows, (d + 1, d + 1), moments)
+    xp = np.c_[xp[:, pick], np.ones(len(xp))].astype(float)
     w = train((xp * weight[:, None]).T @ xp / n_pos, su / max(su[-1, -1], 1), prior)
     score = xp @ w
     some = score[xp[:, :-1].any(1)]
     middle = np.median(some) if len(some) else w[-1]
-    return Model(words, w[:-1], float(w[-1]), float(floor * middle + (1 - floor) * w[-1]))
+    return Model(words[pick], w[:-1], float(w[-1]), float(floor * middle + (1 - floor) * w[-1]))
 
 
 def detect(docs: DataFrame, model: Model) -> DataFrame:
