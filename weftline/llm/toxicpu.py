@@ -122,7 +122,7 @@ def labelled(docs: DataFrame, known: DataFrame) -> list[np.ndarray]:
                 yield pa.RecordBatch.from_arrays([rows.column(0).slice(i, 1), pa.array([x.view(np.int64)], pa.list_(pa.int64()))], names=["id", "h"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("text <> ''").join(F.broadcast(known), F.col("id") == F.col("__id")).select("id", "text").mapInArrow(run, "id long, h array<long>").toArrow()
-    rows = [np.asarray(x, np.int64).view(np.uint64) for x in found["h"].to_pylist()]
+    rows = [x for c in found["h"].chunks for x in np.split(c.flatten().to_numpy().view(np.uint64), c.offsets.to_numpy()[1:-1] - c.offsets.to_numpy()[0])] if len(found) else []
     return sorted(rows, key=lambda x: (len(x), x[:1].tolist()))
 
 
@@ -220,14 +220,13 @@ def class_prior(p: np.ndarray, q: np.ndarray, r: np.ndarray, n_pos: float, n_neg
     return float(np.sum((diff * (q - r) / noise)[use]) / max(np.sum((diff**2 / noise)[use]), 1e-300)) if use.any() else 1.0
 
 
-def _held(rows: DataFrame, known: DataFrame, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(documents, words) ones and zeros of the chosen documents, and their shares; at most max_positive rows reach the driver."""
+def _held(rows: DataFrame, known: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and place of the words that the chosen documents hold, and their shares; at most max_positive rows reach the driver."""
     found = rows.join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("share", "held").toArrow().combine_chunks()
-    x = np.zeros((len(found), len(words)), np.float32)
-    for b in found.to_batches():
-        row, place, _ = _flat(b)
-        x[row, place] = 1
-    return x, found["share"].to_numpy()
+    parts = [_flat(b) for b in found.to_batches()]
+    first = np.cumsum([0, *(len(x[2]) for x in parts)])
+    join = lambda xs, kind: np.concatenate([np.zeros(0, kind), *xs])
+    return join([x[0] + at for x, at in zip(parts, first, strict=False)], np.int64), join([x[1] for x in parts], np.int64), join([x[2] for x in parts], np.float64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, width: int = 1024, min_support: int = 8, prior: float | None = None, least_rate: float = 0.5, floor: float = 0.2) -> Model:
@@ -243,13 +242,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, width: int
 
     rows, n_words = weighted(docs, words), len(words)
     counts = _summed(rows, (n_words + 1,), lambda row, place, share: np.r_[np.bincount(place, share[row], n_words), share.sum()])
-    xp, weight = _held(rows, toxic, words)
+    row_p, place_p, weight = _held(rows, toxic)
     n_all, n_pos = counts[-1], weight.sum()
-    q, p = np.clip((counts[:-1] + 0.5) / (n_all + 1), 1e-9, 1 - 1e-9), np.clip(weight @ xp / n_pos, 1e-9, 1 - 1e-9)
+    q, p = np.clip((counts[:-1] + 0.5) / (n_all + 1), 1e-9, 1 - 1e-9), np.clip(np.bincount(place_p, weight[row_p], n_words) / n_pos, 1e-9, 1 - 1e-9)
     if prior is None:
-        xn, by = _held(rows, chosen(labels, max_positive, 0), words)
-        prior = class_prior(p, q, by @ xn / max(by.sum(), 1e-9), n_pos, by.sum())
-        if not 0 < prior < 1 and len(xn):  # too few labels to tell words apart
+        row_n, place_n, by = _held(rows, chosen(labels, max_positive, 0))
+        prior = class_prior(p, q, np.bincount(place_n, by[row_n], n_words) / max(by.sum(), 1e-9), n_pos, by.sum())
+        if not 0 < prior < 1 and len(by):  # too few labels to tell words apart
             prior = labels.filter("doc_id is not null").agg(F.avg(F.col("toxic").cast("int"))).first()[0]
         if not 0 < prior < 1:
             return none
@@ -263,15 +262,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, width: int
     place_of = np.full(n_words, -1)
     place_of[pick] = np.arange(d)
 
-    def moments(row, place, share):
-        x = np.zeros((len(share), d + 1), np.float32)
+    def matrix(row, place, n):
+        x = np.zeros((n, d + 1), np.float32)
         x[:, d] = 1
         own = place_of[place]
         x[row[own >= 0], own[own >= 0]] = 1
+        return x
+
+    def moments(row, place, share):
+        x = matrix(row, place, len(share))
         return x.T @ (x * share[:, None])
 
     su = _summed(rows, (d + 1, d + 1), moments)
-    xp = np.c_[xp[:, pick], np.ones(len(xp))].astype(float)
+    xp = matrix(row_p, place_p, len(weight)).astype(float)
     w = train((xp * weight[:, None]).T @ xp / n_pos, su / max(su[-1, -1], 1), prior)
     score = xp @ w
     some = score[xp[:, :-1].any(1)]
