@@ -51,12 +51,26 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL: str | None = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what passes between them is in the shared checkpoint folder."""
+    """All stages over the documents of sf_dir, without and with rows, whatever other columns they have.
+
+    What passes between them is in the shared checkpoint folder: a stage's result goes once the next one is written, so only the last, which is returned, stays.
+    Repeated rows, nulls, empty and very long texts, ties and clashing columns are as each stage defines them; a row without letters goes in the first one, and a
+    text of which nothing is left in the second. No documents: no rows, and the same columns.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = posixpath.join(shared_dir(spark), f"pipeline-{uuid.uuid4().hex}")
+    last = None
     for name, stage in STAGES:
         out = posixpath.join(folder, name)
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if last:
+            _delete(spark, last)
+        last = out
     return docs

@@ -182,6 +182,80 @@ def test_languages(spark, documents):
     assert not junk.kept
 
 
+def test_languages_of_documents_it_did_not_see(documents):
+    p = langmix.fit(documents.filter("doc_id % 2 = 0"))
+    rows = langmix.detect(documents.filter("doc_id % 2 = 1"), p).join(documents.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r.top_language == r.lang for r in rows if r.n_words > 5]) > 0.97
+    assert np.mean([r.kept for r in rows if r.n_words > 5]) > 0.97
+
+
+def test_language_sets_against_all_sets(documents):
+    """Short mixtures: the penalised likelihood of the set that is chosen against the best of all 31 sets, each by many rounds."""
+    p = langmix.fit(documents)
+    rng = random.Random(4)
+    by = defaultdict(list)
+    for r in documents.filter("n_chars > 500").select("lang", "text").collect():
+        by[r.lang] += re.findall(r"[^\W\d_]+", r.text)[:400]
+    gaps, same = [], 0
+    for _ in range(60):
+        words = [w for lang in rng.sample(sorted(by), rng.choice([1, 1, 2, 3])) for w in rng.sample(by[lang], rng.randint(8, 40))]
+        raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+        share, n = langmix.infer(raw, np.array([0, len(raw)]), p, 1.0, 12)
+        h, ok = langmix.trigrams(raw, np.array([0, len(raw)]))
+        start, _ = lattice.T.spans(raw, np.array([0, len(raw)]))
+        ll = np.add.reduceat(p.logp[h] * ok[:, None], start)
+        lik = np.exp(np.maximum(ll - ll.max(1, keepdims=True), -60))
+
+        def score(chosen, lik=lik):
+            x = lik[:, list(chosen)]
+            w = np.full(len(chosen), 1 / len(chosen))
+            for _ in range(300):
+                post = x * w
+                w = (post / post.sum(1, keepdims=True)).mean(0)
+            return np.log(x @ w).sum() - 0.5 * len(chosen) * np.log(len(lik) + 1)
+
+        sets = {c: score(c) for k in range(1, 6) for c in itertools.combinations(range(5), k)}
+        got = tuple(np.flatnonzero(share[0] > 0).tolist())
+        best = max(sets, key=sets.get)
+        assert n[0] == len(lik)
+        same += got == best
+        gaps.append(sets[best] - sets[got])
+    assert same >= 54 and max(gaps) < 3
+
+
+def test_site_posteriors_in_plain_python(spark):
+    rng = random.Random(6)
+    rows = [(i, h, f"{h}/{rng.randint(0, 2)}", rng.gauss(0, 2)) for i in range(300) for h in [f"h{rng.choice([0, 0, 0, 1, 2, 3])}"]]
+    known = {i: float(rng.random() < 0.7) for i in range(0, 300, 4)}
+    n, y = len(known), sum(known.values())
+    rate = (y + 1) / (n + 2)
+    p = {i: known.get(i, 1 / (1 + np.exp(-(e + np.log(rate / (1 - rate)))))) for i, _, _, e in rows}
+    base = (sum(p.values()) + 1) / (len(rows) + 2)
+
+    def concentration(groups):  # of (number, sum, mean above it)
+        g = [x for x in groups if x[0] > 1]
+        rho = (sum(n * (s / n - m) ** 2 for n, s, m in g) - sum(m * (1 - m) for _, _, m in g)) / sum((n - 1) * m * (1 - m) for n, _, m in g)
+        return 1 / min(max(rho, 1e-4), 0.9) - 1
+
+    def sums(column):
+        out = defaultdict(lambda: [0, 0.0])
+        for r in rows:
+            out[r[column]][0] += 1
+            out[r[column]][1] += p[r[0]]
+        return out
+
+    hosts, paths = sums(1), sums(2)
+    kh = concentration([(n, s, base) for n, s in hosts.values()])
+    mean = {h: (s + kh * base) / (n + kh) for h, (n, s) in hosts.items()}
+    kp = concentration([(n, s, mean[x.split("/")[0]]) for x, (n, s) in paths.items()])
+    got = {r.doc_id: r for r in siteprior.posterior(spark.createDataFrame(rows, "doc_id long, host string, path string, evidence double"), spark.createDataFrame([(i, v) for i, v in known.items()], "doc_id long, quality double")).collect()}
+    for i, h, x, e in rows:
+        hm = (hosts[h][1] - p[i] + kh * base) / (hosts[h][0] - 1 + kh)
+        pm = (paths[x][1] - p[i] + kp * hm) / (paths[x][0] - 1 + kp)
+        q = 1 / (1 + np.exp(-(e + np.log(pm / (1 - pm)))))
+        assert np.allclose([got[i].host_mean, got[i].path_mean, got[i].quality], [hm, pm, q], atol=1e-9) and got[i].kept == (q >= 0.5)
+
+
 def test_quality_on_labels_it_did_not_see(documents, labels):
     even, odd = labels.filter("doc_id % 2 = 0"), labels.filter("doc_id % 2 = 1")
     rows = siteprior.classify(documents, even).join(odd, "doc_id").select("kept", odd["quality"]).collect()

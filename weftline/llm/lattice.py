@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as T
+from .session import fresh
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
@@ -557,18 +558,20 @@ def encode(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed: int = 0, model
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """Adds `decoded`, the text of the column `ids`; null for null ids."""
+    """Adds `decoded` (with underscores before it where that is a column already), the text of the column `ids`; null for null ids, empty for no ids."""
     from pyspark.sql.types import StringType, StructField, StructType
 
+    name = fresh(encoded, "decoded")[0]
+
     def run(batches):
         v = vocabulary(model, 1.0)
         for b in batches:
             col = b.column("ids")
-            offs = col.offsets.to_numpy()
-            ids = col.values.to_numpy(zero_copy_only=False)
-            ends = np.r_[0, np.cumsum(v.size[ids])]
+            offs = col.offsets.to_numpy().astype(np.int64)
+            ids = col.values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]] if len(col) else np.zeros(0, np.int32)
+            ends = np.r_[0, np.cumsum(v.size[ids])][offs - offs[0]] if len(col) else np.zeros(1, np.int64)
             flat = decode_flat(v, ids).tobytes()
-            text = [None if none else flat[ends[a] : ends[z]][1:].decode("utf-8", "surrogateescape") for a, z, none in zip(offs[:-1], offs[1:], col.is_null().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*b.schema.names, "decoded"])
+            text = [None if none else flat[a:z][1:].decode("utf-8", "surrogateescape") for a, z, none in zip(ends[:-1], ends[1:], col.is_null().to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*b.schema.names, name])
 
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(name, StringType())]))

@@ -1,32 +1,13 @@
-"""Shared folder for cut lineage, and reading of tables."""
+"""Reading of tables, and names that clash with no column. Lineage is cut in the shared folder, as in the rest of the library."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that checkpoint() writes to: the cluster's spark.checkpoint.dir; one of our own only where that is unset, as in local tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return sc._jsc.sc().getCheckpointDir().get()
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "weftline-checkpoints")
-    sc.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder, so that a lost executor costs no earlier step."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "fresh", "shared_dir", "table", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
