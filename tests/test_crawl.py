@@ -338,3 +338,110 @@ def test_upsert_keeps_one_row_a_key(spark):
     new = spark.createDataFrame([("a", 5, 1), ("a", 4, 2), ("c", 7, 1)], "key string, value int, n int")
     assert sorted(tuple(r) for r in state.upsert(store, new, order="n").collect()) == [("a", 4), ("b", 2), ("c", 7)]
     assert sorted(tuple(r) for r in state.upsert(store, new.drop("n")).collect()) == [("a", 5), ("b", 2), ("c", 7)]
+
+
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    yield spark
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def drive(spark, tmp_path, first, react, **how):
+    """Feeds events a micro-batch at a time: what react makes of the actions is the next batch."""
+    from weftline.streaming import frontier as live
+
+    folder, log, batch, number = tmp_path / "in", [], first, 0
+    folder.mkdir()
+    while batch and number < 40:
+        spark.createDataFrame(batch, live.EVENTS).coalesce(1).write.parquet(f"{folder}/b{number}")
+        stream = spark.readStream.schema(live.EVENTS).option("recursiveFileLookup", True).parquet(str(folder))
+        found = []
+        q = live.actions(stream, **how).writeStream.foreachBatch(lambda df, _: found.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        rows = list(found)
+        log += rows
+        batch, number = react(rows), number + 1
+    return log
+
+
+def test_stream_of_a_frontier(rocks, tmp_path):
+    """Sessions by budget and weight, the seen set, politeness, idle and empty hosts, in the order of one host."""
+    site = {"u0": (1000, ["u1", "u2", "u1", "u0"]), "u1": (3000, ["u3"]), "u2": (None, []), "u3": (1000, ["u0"])}
+    clock = [0]
+
+    def react(rows):
+        out = []
+        for r in rows:
+            clock[0] += 10_000
+            if r.kind == "fetch":
+                ttr, links = site[r.url]
+                found = [("h", clock[0] + i, "found", u, None, None, None) for i, u in enumerate(links)]  # links come before the outcome
+                out += [*found, ("h", clock[0] + 99, "done", r.url, ttr is not None, ttr, r.at_ms + (ttr or 0))]
+            elif r.kind == "idle":
+                out.append(("h", clock[0], "wake", None, None, None, None))
+        return out
+
+    log = drive(rocks, tmp_path, [("h", 0, "found", "u0", None, None, None)], react, session_budget=2, politeness=5)
+    # u1 and u0 were found again before they were processed, so each spends a session of budget 0
+    idle = ("idle", None)
+    assert [(r.kind, r.url) for r in log] == [("fetch", "u0"), ("fetch", "u1"), idle, ("fetch", "u2"), idle, idle, idle, ("fetch", "u3"), ("empty", None)]
+    assert [r.at_ms for r in log if r.kind == "fetch"][:2] == [0, 1000 + 5000]
+
+
+def test_a_locked_host_waits(rocks, tmp_path):
+    steps = iter([[("h", 1, "found", "b", None, None, None), ("h", 2, "done", "a", True, 10, 10)], [("h", 3, "unlock", None, None, None, None)], []])
+    log = drive(rocks, tmp_path, [("h", 0, "found", "a", None, None, None), ("h", 0, "lock", None, None, None, None)], lambda rows: next(steps))
+    assert [(r.kind, r.url) for r in log] == [("fetch", "a"), ("fetch", "b")] and log[1].n == 3
+
+
+def test_a_lost_fetch_times_out(rocks, tmp_path):
+    steps = iter([[("g", 0, "found", "x", None, None, None)], [("h", 1, "found", "b", None, None, None)], []])
+    log = drive(rocks, tmp_path, [("h", 0, "found", "a", None, None, None)], lambda rows: next(steps), idle_ms=1)
+    assert [(r.kind, r.url) for r in log if r.host == "h"] == [("fetch", "a"), ("lost", None), ("fetch", "b")]
+
+
+def test_flushed_batches_replace_themselves(spark, tmp_path):
+    out = f"{tmp_path}/out"
+    for _ in range(2):  # the second run has lost its checkpoint, and repeats the batch
+        q = crawl.flush_batches(crawl.crawl_stream(spark, SF), out, f"{tmp_path}/cp{_}", every="1 second").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert spark.read.parquet(out).count() == tables.crawl_log(spark, SF).count()
+
+
+def test_first_seen_in_a_stream(spark, tmp_path):
+    rows = crawl.run_once(crawl.first_seen(crawl.crawl_stream(spark, SF), "400 days"), "firsts", "append", f"{tmp_path}/c")
+    log = tables.crawl_log(spark, SF)
+    assert rows.count() == log.select("host", "url").distinct().count()
+
+
+def test_counters_are_observed(spark):
+    from weftline.streaming import metrics
+
+    log, seen = metrics.observed(tables.crawl_log(spark, SF))
+    log.write.format("noop").mode("overwrite").save()
+    want = tables.crawl_log(spark, SF).selectExpr("count(*) as p", "count_if(ok) as g").first()
+    assert (seen.get["processed"], seen.get["good"]) == (want.p, want.g)
+
+
+def test_stream_counters(spark, tmp_path):
+    from weftline.streaming import metrics
+
+    sink = metrics.Counters()
+    spark.streams.addListener(sink)
+    try:
+        q = metrics.observe_stream(crawl.crawl_stream(spark, SF)).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/m").trigger(availableNow=True).start()
+        q.awaitTermination()
+        import time
+
+        for _ in range(100):
+            if sink.total["processed"]:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(sink)
+    assert sink.total["processed"] == tables.crawl_log(spark, SF).count()
+    assert f"crawler_processed_total {sink.total['processed']}\n" in sink.exposition()
