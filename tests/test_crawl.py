@@ -399,9 +399,29 @@ def test_a_locked_host_waits(rocks, tmp_path):
 
 
 def test_a_lost_fetch_times_out(rocks, tmp_path):
-    steps = iter([[("g", 0, "found", "x", None, None, None)], [("h", 1, "found", "b", None, None, None)], []])
-    log = drive(rocks, tmp_path, [("h", 0, "found", "a", None, None, None)], lambda rows: next(steps), idle_ms=1)
-    assert [(r.kind, r.url) for r in log if r.host == "h"] == [("fetch", "a"), ("lost", None), ("fetch", "b")]
+    import time
+
+    from weftline.streaming import frontier as live
+
+    (tmp_path / "in").mkdir()
+    feed = lambda k, *rows: rocks.createDataFrame(rows, live.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/b{k}")
+    feed(0, ("h", 0, "found", "a", None, None, None))
+    stream, found = rocks.readStream.schema(live.EVENTS).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in"), []
+    q = live.actions(stream, idle_ms=50).writeStream.foreachBatch(lambda df, _: found.extend((r.kind, r.url) for r in df.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="200 milliseconds").start()
+
+    def wait(n):
+        for _ in range(400):
+            if len(found) >= n:
+                return
+            time.sleep(0.1)
+
+    try:
+        wait(2)
+        feed(1, ("h", 1, "found", "b", None, None, None))
+        wait(3)
+    finally:
+        q.stop()
+    assert found[:3] == [("fetch", "a"), ("lost", None), ("fetch", "b")]
 
 
 def test_flushed_batches_replace_themselves(spark, tmp_path):
