@@ -98,7 +98,7 @@ def _blocks(batch: pa.RecordBatch, kind) -> tuple[np.ndarray, np.ndarray, np.nda
     return (np.concatenate(parts) if parts else np.zeros(0, kind)).astype(np.int64), np.r_[0, np.cumsum(n)], np.cumsum(count) - count, count
 
 
-def _pieces(batches, words: int = 1 << 19):
+def _pieces(batches, words: int = 1 << 18):
     """The batches in slices of whole rows of about `words` words, so that what is held for one stays small."""
     for b in batches:
         if not b.num_rows:

@@ -34,11 +34,11 @@ SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, perturbed do
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
 _SLOTS = 21
-CHUNK = 1 << 20
-SLICE = 1 << 16  # units drawn at a time
+CHUNK = 1 << 19
+SLICE = 1 << 15  # units drawn at a time
 EARLY = 24  # edges of a path whose subtrees are queued before the others
 HIGHEST = 37.0  # Gumbel noise from a 52-bit uniform number stays below this
-SOLVED = 2 << 20  # bytes of units whose lattices are kept between chunks
+SOLVED = 3 << 18  # bytes of units whose lattices are kept between chunks
 
 
 class Vocabulary:
