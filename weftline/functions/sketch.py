@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from ..sources.shared import cut
+
 RATE = 0.01
 MOST = 1_000_000  # URLs a filter; a host with more has several, by hash
 
@@ -71,6 +73,7 @@ def probe(urls: DataFrame, blooms: DataFrame) -> DataFrame:
             rows = b.column("row").take(asked)
             yield pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(out).take(asked)], names=[*names, "maybe"])
 
+    blooms = cut(blooms)  # read twice, built once
     parts = blooms.groupBy("host").agg(F.max("parts").alias("__parts"))
     own = urls.select("host", F.xxhash64("url").alias("h"), F.struct(*urls.columns).alias("row")).join(parts, "host", "left")
     asked = own.select(F.xxhash64("host", F.coalesce(F.pmod("h", "__parts"), F.lit(0))).alias("g"), F.lit(1).alias("first"), "h", "row")
