@@ -590,6 +590,38 @@ def test_rings_find_pairs_at_the_full_distance(spark, width, most, monkeypatch):
     assert found <= {(i, i + n) for i in range(n)} and len(found) >= 0.91 * n
 
 
+@pytest.mark.parametrize("most, task, work", [(40, 1 << 20, 1 << 22), (40, 250, 1 << 22), (40, 1 << 20, 1 << 12), (7, 250, 1 << 12), (3, 1 << 20, 1 << 22), (0, 1 << 20, 1 << 22), (90, 1 << 20, 1 << 12)])
+def test_no_close_pair_is_left_out(spark, most, task, work, monkeypatch):
+    """Pairs at the full distance and one bit beyond it, chance pairs and a dense cluster, in one task and in several: the same pairs as brute force, each once."""
+    rng = np.random.default_rng(12)
+    n = 400
+    bits = rng.integers(0, 2, (n, 256), dtype=np.uint8)
+    far = np.argsort(rng.random((n, 256)), axis=1)
+    far[: n // 4] = (np.arange(256) + rng.integers(0, 256, (n // 4, 1))) % 256  # differing bits beside each other
+    apart = np.zeros((n, 256), np.uint8)
+    np.put_along_axis(apart, far, (np.arange(256) < most + np.arange(n)[:, None] % 4 // 3).astype(np.uint8), 1)
+    cluster = bits[:1] ^ (rng.random((60, 256)) < 0.02).astype(np.uint8)
+    fp = np.unique(np.packbits(np.concatenate([bits, bits ^ apart, cluster]), axis=1, bitorder="little").view(np.uint64), axis=0)
+    want = {(i, j) for i in range(len(fp)) for j in (np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]).sum(1) <= most) + i + 1).tolist()}
+    prints = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(fp.view(np.int64))], "fid long, f0 long, f1 long, f2 long, f3 long").cache()
+    monkeypatch.setattr(simhash, "TASK", task)
+    monkeypatch.setattr(simhash, "WORK", work)
+    found = [(r.a, r.b) for r in simhash.close_pairs(prints, most, 0.95).collect()]
+    assert len(found) == len(set(found)) and set(found) == want and (len(want) >= 300 or not most)
+
+
+def test_all_links_of_the_documents(documents, fingerprinted):
+    rows, fp = fingerprinted
+    own, back = np.unique(fp, axis=0, return_inverse=True)
+    near = [np.flatnonzero(np.bitwise_count(own ^ x).sum(1) <= 40) for x in own]
+    label = components(len(own), [(i, j) for i in range(len(own)) for j in near[i].tolist() if i < j])
+    first = {}
+    for i, r in enumerate(rows):
+        first[label[back[i]]] = min(first.get(label[back[i]], r.doc_id), r.doc_id)
+    found = {r.doc_id: (r.group, r.links) for r in simhash.groups(documents).collect()}
+    assert found == {r.doc_id: (first[label[back[i]]], len(near[back[i]]) - 1) for i, r in enumerate(rows)}
+
+
 def test_fingerprints_against_plain_python():
     texts = ["a b a c", "", "one", " ".join(f"w{i % 700}" for i in range(3000)), "Ä ä b"]
     raw = [t.encode() for t in texts]

@@ -1,13 +1,15 @@
-"""Near duplicates by SimHash, with pigeonring filtering of the candidates.
+"""Near duplicates by SimHash: every pair of fingerprints within `most` bits, by pigeonring chains that start at covered segments.
 
 A text's features are its distinct case-folded words; its fingerprint has BITS bits.
-These are cut into segments laid out on a ring, in several fixed orders of the bits. If two fingerprints differ in at most
-`most` bits, some segment starts a chain in which every run of l consecutive segments differs in at most
-l * most / segments bits (the pigeonring principle). Candidates are the pairs that agree in a whole segment and whose
-chain from there keeps that budget for as many segments as 64 bits hold; only these reach the full Hamming check. A chain may also start
-at a segment with some differing bits, which no equality join sees; so many rings are used that a pair at the full distance `most`
-is missed with a chance of 1 - `recall` at most, as simulated; closer pairs are missed less often. Segments widen with the number of fingerprints, so that
-chance meetings grow with it in proportion. Equal fingerprints are folded into one before the join, so thousands of exact copies cost one row.
+These are cut into segments on a ring, and each may differ in so many bits that these numbers, each plus one, add up to `most` + 1. If two fingerprints differ in at most
+`most` bits, some segment starts a chain in which every run of segments from there keeps the sum of its numbers plus one, less one bit (the pigeonring principle); of the whole
+ring that is the Hamming check itself. The first segment of a chain may differ, too, in up to t bits. So each of its bits gets a code of t + 1 bits, and each of the 2^(t + 1) - 1
+masks holds the bits whose codes have an odd number of ones in common with its number. The codes of t bits leave out some dimension, hence some mask meets none of the
+differing bits, and the two agree on it: no pair is missed (covering, Pagh 2016). A mask holds about half of a segment, and segments widen with the number of rows, so that
+chance meetings stay few. Of the masks and segments that find a pair, the first gives it.
+
+A task holds up to TASK rows and some of the masks; it sorts the rows under each of them. More fingerprints are cut into blocks, and every two blocks meet in a task.
+Equal fingerprints are folded into one before the search, so thousands of exact copies cost one row.
 
 Defined results. Documents are the distinct pairs of doc_id and text: repeated rows are one document and share its row.
 Null, empty and wordless texts have no fingerprint and are nobody's duplicate. A group is a connected component of
@@ -16,10 +18,12 @@ close pairs; its keeper is the smallest doc_id (a null one is last; of equal one
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,34 +34,41 @@ from .session import cut, without
 BITS = 256
 WORDS = BITS // 64
 ROWS = 20  # bits that number the rows of a slice
+TASK = 1 << 20  # rows that a task of the search holds
+TASKS = 12  # tasks of the search, unless there are more pairs of blocks
+WORK = 1 << 20  # rows times masks that are worth a task
 
 
-@lru_cache(256)
-def orders(rings: int) -> np.ndarray:
-    """The order of the bits on each ring; the first is as they come."""
-    rng = np.random.default_rng(20)
-    return np.stack([np.arange(BITS), *(rng.permutation(BITS) for _ in range(rings - 1))])
+def width_of(n: int) -> int:
+    """Bits of a segment for n rows of a task: half of them are in a mask, so that some n keys may differ."""
+    return min(64, max(16, int(2 * np.log2(max(n, 2)))))
 
 
-def width_of(n: int) -> int:
-    """Bits of a segment for n fingerprints: two of them agree in one by chance some 16 times a fingerprint at most."""
-    return min(32, max(16, int(np.ceil(np.log2(max(n, 2)))) - 4))
+def ring(width: int, most: int) -> list[tuple[int, int, int]]:
+    """(first bit, last bit + 1, number of bits that may differ) of each segment; -1 where no chain starts. Narrower ones where over 10 bits might differ."""
+    n = max(BITS // width, -(-(most + 1) // 11))
+    return [(k * BITS // n, (k + 1) * BITS // n, (most + 1) // n + (k < (most + 1) % n) - 1) for k in range(n)]
 
 
 @lru_cache(64)
-def rings_of(width: int, most: int, recall: float, tries: int = 20_000) -> int:
-    """Rings on which a pair that differs in `most` bits anywhere meets with the wanted chance."""
-    segments, chain = BITS // width, 64 // width
-    rng = np.random.default_rng(3)
-    where = np.argsort(rng.random((tries, BITS)), axis=1)[:, :most] // width
-    differ = np.zeros((tries, segments + 1), np.int32)
-    np.add.at(differ, (np.arange(tries)[:, None], np.minimum(where, segments)), 1)
-    differ = differ[:, :segments]
-    ok, run = differ == 0, differ.copy()
-    for k in range(1, chain):
-        run += np.roll(differ, -k, axis=1)
-        ok &= run <= (k + 1) * most // segments
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - max(1e-3, min(ok.any(1).mean(), 1 - 1e-9)))))
+def masks_of(bits: int, may: int, tries: int = 1000) -> np.ndarray:
+    """Masks over a segment of so many bits, one of which meets none of any `may` bits; codes are drawn, then changed one by one, until masks are about as wide as each other."""
+    if may < 1:
+        return np.full(may + 1, (1 << bits) - 1, np.uint64)
+    rng = np.random.default_rng(20)
+    number = np.arange(1, 2 << may)
+    odd = lambda code: np.bitwise_count(number[:, None] & code) & 1
+    best, least = None, np.inf
+    for k in range(tries):
+        if k < tries // 4:
+            code = np.concatenate([rng.permutation(number) for _ in range(-(-bits // len(number)))])[:bits]
+        else:
+            code = best.copy()
+            code[rng.integers(bits)] = rng.choice(number)
+        cost = np.ldexp(1.0, -odd(code).sum(1, dtype=int)).sum()
+        if cost < least:
+            best, least = code, cost
+    return (odd(best).astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
 def distinct_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,47 +114,108 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     )
 
 
-def segments(prints: DataFrame, width: int, rings: int) -> DataFrame:
-    """(key, chain, fid) for each distinct fingerprint, ring and segment: key holds ring, segment and its bits, chain the segments from there on."""
-    n, chain = BITS // width, 64 // width
-    lead = np.uint64(width)
-
-    def run(batches):
-        order = orders(rings)
-        weight = np.uint64(1) << np.arange(width, dtype=np.uint64)
-        for b in batches:
-            if not b.num_rows:
+def segment(fp: np.ndarray, first: int, end: int) -> np.ndarray:
+    """Bits first to end of each fingerprint, 64 at most."""
+    k, at = divmod(first, 64)
+    x = fp[:, k] >> np.uint64(at)
+    if at + end - first > 64:
+        x |= fp[:, k + 1] << np.uint64(64 - at)
+    return x & np.uint64((1 << end - first) - 1)
+
+
+def starts(apart: np.ndarray, parts: list[tuple[int, int, int]], at: int) -> np.ndarray:
+    """Whether a chain starts at a segment, by the differing bits (rows, WORDS); it goes round the whole ring, so all of them are within `most`."""
+    ok, run, room = np.ones(len(apart), bool), np.zeros(len(apart), np.int32), -1
+    for first, end, may in parts[at:] + parts[:at]:
+        run += np.bitwise_count(segment(apart, first, end))
+        room += may + 1
+        ok &= run <= room
+    return ok
+
+
+def owned(fp: np.ndarray, a: np.ndarray, b: np.ndarray, parts: list[tuple[int, int, int]], masks: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs with a chain from segment p on, but from none before it, and with none of the masks, which are those before their own."""
+    apart = fp[a] ^ fp[b]
+    ok = np.bitwise_count(apart).sum(1, dtype=np.int32) <= sum(may + 1 for _, _, may in parts) - 1
+    a, b, apart = a[ok], b[ok], apart[ok]
+    for mask in masks:
+        if not len(a):
+            break
+        ok = segment(apart, *parts[p][:2]) & mask != 0
+        a, b, apart = a[ok], b[ok], apart[ok]
+    ok = starts(apart, parts, p)
+    for q in range(p):
+        ok &= ~starts(apart, parts, q)
+    return a[ok], b[ok]
+
+
+def search(fp: np.ndarray, side: np.ndarray | None, parts: list[tuple[int, int, int]], masks: list[np.ndarray], share: int, shares: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the pairs that the masks numbered share, share + shares, ... give, each pair of one mask only; with sides, only pairs between them."""
+    n = len(fp)
+    low = np.uint64((1 << n.bit_length()) - 1)
+    row = np.arange(n, dtype=np.uint64)
+    number = -1
+    for p, (first, end, may) in enumerate(parts):
+        seg = segment(fp, first, end)
+        for v, mask in enumerate(masks[p]):
+            number += 1
+            if number % shares != share:
                 continue
-            fp = np.stack([b.column(f"f{k}").to_numpy() for k in range(WORDS)], 1)
-            bits = np.unpackbits(fp.view(np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
-            for g in range(rings):
-                seg = (bits[:, order[g][: n * width]].reshape(-1, n, width) * weight).sum(2, dtype=np.uint64)
-                for i in range(n):
-                    on = np.zeros(len(seg), np.uint64)
-                    for k in range(chain):
-                        on |= seg[:, (i + k) % n] << np.uint64(k * width)
-                    key = np.uint64(g * n + i) << lead | seg[:, i]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(on.view(np.int64)), b.column("fid")], names=["key", "chain", "fid"])
-
-    return prints.mapInArrow(run, "key long, chain long, fid long")
+            key = seg & mask
+            key *= np.uint64(T._P)
+            key &= ~low
+            key |= row
+            key.sort()
+            at, step, met, size = np.flatnonzero((key[1:] ^ key[:-1]) <= low), 1, [], 0
+            while len(at):
+                a, b = (key[at] & low).astype(np.int64), (key[at + step] & low).astype(np.int64)
+                ok = np.bitwise_count(seg[a] ^ seg[b]) <= may
+                if side is not None:
+                    ok &= side[a] != side[b]
+                met.append((a[ok], b[ok]))
+                size += len(met[-1][0])
+                step += 1
+                at = at[: np.searchsorted(at, n - step)]
+                at = at[(key[at] ^ key[at + step]) <= low]
+                if size and (size > 1 << 18 or not len(at)):
+                    yield owned(fp, *map(np.concatenate, zip(*met, strict=True)), parts, masks[p][:v], p)
+                    met, size = [], 0
 
 
 def close_pairs(prints: DataFrame, most: int, recall: float) -> DataFrame:
-    """(a, b) fids of distinct fingerprints within `most` bits, a < b."""
-    width = width_of(prints.count())
-    rings = rings_of(width, most, recall)
-    n, chain = BITS // width, 64 // width
-    seg = segments(prints, width, rings)
-    ok = F.lit(True)
-    diff = F.col("x.chain").bitwiseXOR(F.col("y.chain"))
-    for k in range(2, chain + 1):
-        ok = ok & (F.bit_count(diff.bitwiseAND(F.lit(-1 if k * width == 64 else (1 << k * width) - 1).cast("long"))) <= k * most // n)
-    met = seg.alias("x").join(seg.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fid") < F.col("y.fid")) & ok)
-    met = met.select(F.col("x.fid").alias("a"), F.col("y.fid").alias("b")).distinct()
-    for end in ("a", "b"):
-        met = met.join(prints.select(F.col("fid").alias(end), *(F.col(f"f{k}").alias(f"{end}{k}") for k in range(WORDS))), end)
-    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(WORDS)), F.lit(0))
-    return met.filter(apart <= most).select("a", "b")
+    """(a, b) fids of all distinct fingerprints within `most` bits, a < b; `recall` is what a caller asks for at least, and all pairs are more."""
+    n = prints.count()
+    blocks = 1 if n <= TASK else -(-2 * n // TASK)
+    parts = ring(width_of(min(n, TASK)), most)
+    masks = [masks_of(end - first, may) for first, end, may in parts]
+    met = blocks * (blocks + 1) // 2
+    shares = min(-(-TASKS // met), -(-min(n, TASK) * sum(map(len, masks)) // WORK) or 1)
+    names = [f"f{k}" for k in range(WORDS)]
+
+    def run(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        task = got[0].column("task")[0].as_py()
+        assert all(pc.all(pc.equal(b.column("task"), task)).as_py() for b in got)
+        fp = np.empty((sum(b.num_rows for b in got), WORDS), np.uint64)
+        for k, name in enumerate(names):
+            fp[:, k] = np.concatenate([b.column(name).to_numpy() for b in got]).view(np.uint64)
+        fid = np.concatenate([b.column("fid").to_numpy() for b in got])
+        block = np.concatenate([b.column("block").to_numpy() for b in got])
+        got.clear()
+        second = int((np.sqrt(8 * (task // shares) + 1) - 1) / 2)  # of two blocks; the first is equal or less
+        inner = task // shares == second * (second + 1) // 2 + second
+        for a, b in search(fp, None if inner else block == second, parts, masks, task % shares, shares):
+            a, b = fid[a], fid[b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    # of two blocks i <= j, task (j * (j + 1) / 2 + i) * shares + share
+    rows = prints.select("fid", *names, F.pmod("fid", F.lit(blocks)).cast("int").alias("block"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks * shares - 1))).alias("x")).withColumn("other", F.expr(f"cast(x div {shares} as int)"))
+    task = f"cast((greatest(block, other) * (greatest(block, other) + 1) div 2 + least(block, other)) * {shares} + x % {shares} as int)"
+    rows = rows.select("fid", *names, "block", F.expr(task).alias("task"))
+    return rows.repartitionById(met * shares, "task").mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, most: int = 40, recall: float = 0.95) -> DataFrame:
