@@ -145,6 +145,28 @@ def test_pipeline_with_other_columns(spark, tmp_path):
     assert {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()} == {1, 7}
 
 
+def test_pipeline_loses_no_near_copy(spark, tmp_path):
+    """Texts and copies with so many words replaced that they are as far apart as near copies may be: of each pair the first stays."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    rng = np.random.default_rng(21)
+    pairs, d = [], lambda raw: simhash.fingerprints(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))[0]
+    for i in range(200):
+        words = [f"w{x}" for x in rng.choice(100_000, 200, replace=False)]
+        texts = [" ".join([*(f"new{i}x{j}" for j in range(k)), *words[k:]]) for k in range(45)]
+        fp = d([t.encode() for t in texts])
+        apart = np.bitwise_count(fp ^ fp[0]).sum(1)
+        near = np.flatnonzero((apart >= 38) & (apart <= 40))
+        if len(near):
+            pairs.append((texts[0], texts[near[0]]))
+    raw = [t for pair in pairs for t in pair]
+    fp = d([t.encode() for t in raw])
+    want = [(i, j) for i in range(len(fp)) for j in (np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]).sum(1) <= 40) + i + 1).tolist()]
+    assert want == [(i, i + 1) for i in range(0, len(raw), 2)] and len(pairs) > 120
+    docs = spark.createDataFrame(list(enumerate(raw)), "doc_id long, text string")
+    kept = pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, len(raw), 2))
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Each stage again in plain Python over small documents: line runs, all pairs of fingerprints, all alignments; what is tokenized decodes to what is left."""
     from .test_methods import brute_runs, components
